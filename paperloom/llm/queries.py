@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chunker, encode, fuse
+from paperloom.llm import chunker, encode, fuse, mapping, mixture
 from paperloom.session import table
 
 
@@ -34,7 +34,23 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.map_misses(table(spark, d, "corpus_misses"), table(spark, d, "corpus_matches"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.mapping_report(table(spark, d, "corpus_misses"), table(spark, d, "corpus_matches"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).rows()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
+
+
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
 
 ORACLE = {
     "p7_found": r"""
