@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chunker, encode, fuse, mapping, mixture
+from paperloom.llm import chunker, encode, forest, fuse, mapping, mixture, names
 from paperloom.session import table
 
 
@@ -50,7 +50,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return forest.mutual_neighbours(forest.literature_vectors(*(table(spark, d, t) for t in ("chunks", "entities", "papers"))))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked_pairs(table(spark, d, "authors"))
+
+
+def p6_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_names(table(spark, d, "authors"))
+
+
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_report": p2_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
 
 ORACLE = {
     "p7_found": r"""
