@@ -1,10 +1,11 @@
-"""Queries over the record tables: orphan references (problem 1)."""
+"""Queries over the record tables: orphan references and quantities (problems 1 and 3)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.operators import references as R
+from paperloom.operators import units as U
 from paperloom.session import table
 
 
@@ -21,7 +22,16 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return R.orphan_report(_status(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report}
+def p3_converted(spark: SparkSession, d: str) -> DataFrame:
+    return U.convert_quantities(table(spark, d, "entity_payloads"), table(spark, d, "metric_units"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Of the converted payloads, those whose unit stands somewhere."""
+    return p3_converted(spark, d).where("status = 'read'").select("payload_id", "common_unit", "amount")
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_converted": p3_converted}
 
 _KEY = r"nullif(lower(regexp_replace({0}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), '')"
 _REFS = f"""
