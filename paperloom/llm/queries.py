@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chunker, encode, forest, fuse, mapping, mixture, names
+from paperloom.llm import chunker, encode, forest, fuse, mapping, mixture, names, pii
 from paperloom.session import table
 
 
@@ -62,7 +62,15 @@ def p6_entities(spark: SparkSession, d: str) -> DataFrame:
     return names.link_names(table(spark, d, "authors"))
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_report": p2_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_items(table(spark, d, "documents"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_personal(table(spark, d, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p4_found": p4_found, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_report": p2_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
 
 ORACLE = {
     "p7_found": r"""
