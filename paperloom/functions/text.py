@@ -58,7 +58,7 @@ def section_type(title: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences: cut at white space after a full stop, exclamation or question mark."""
-    return F.filter(F.transform(F.split(F.trim(c), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.trim(c), r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def first_sentence(c: Column) -> Column:

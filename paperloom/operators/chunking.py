@@ -43,12 +43,12 @@ def chunk_texts(paragraphs: Column, size: int, overlap: int) -> Column:
         ).otherwise(F.struct(acc["done"].alias("done"), F.when(acc["any"], F.concat_ws(" ", acc["now"], part)).otherwise(part).alias("now"), (acc["n"] + words).alias("n"), F.lit(True).alias("any")))
 
     all_ = F.aggregate(segments(paragraphs, size), empty, step, lambda acc: F.when(acc["any"], F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
-    return F.filter(F.transform(all_, F.trim), lambda c: c != "")
+    return F.filter(F.transform(all_, lambda x: F.trim(x)), lambda c: c != "")
 
 
 def chunk_sections(sections: DataFrame, size: int = 180, overlap: int = 30) -> DataFrame:
     """``sections(section_id, paper_id, text)`` to linked chunks; paragraphs end at line breaks."""
-    paragraphs = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda p: p != "")
     rows = sections.where(F.coalesce(F.trim("text"), F.lit("")) != "").select("section_id", "paper_id", F.posexplode(chunk_texts(paragraphs, size, overlap)).alias("ordinal", "text"))
     made = rows.withColumn("chunk_id", F.concat(F.col("section_id"), F.lit("-chunk-"), F.col("ordinal").cast("string")))
     return with_links(made.withColumn("word_count", T.word_count(F.col("text"))).withColumn("salience_score", T.base_salience(F.col("text"))))

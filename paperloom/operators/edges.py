@@ -70,12 +70,20 @@ def relation(left: Column, right: Column, similarity: Column) -> Column:
     )
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, bands: int = 40, bits: int = 6, seed: int = 5) -> DataFrame:
+def bands_for(n: int, threshold: float, miss: float = 1e-4) -> tuple[int, int]:
+    """(bands, bits): bits so that a band has about 16 unrelated vectors, bands so that a pair at
+    the threshold is missed with probability ``miss``."""
+    bits = int(min(24, max(4, np.ceil(np.log2(max(n, 1) / 16)))))
+    agree = (1 - np.arccos(min(1.0, threshold)) / np.pi) ** bits
+    return int(np.ceil(np.log(miss) / np.log(1 - agree))), bits
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, seed: int = 5) -> DataFrame:
     """(a, b, similarity) of ``vectors(id, vec)`` of unit length with at least that dot product, a < b.
 
-    Pairs meet where all signs of a band of random projections agree: 40 bands of 6 signs miss a
-    pair at .74 once in 3,000 and one at .86 less than once in a million. Only (band, signs, id)
-    is joined; the exact product decides."""
+    Pairs meet where all signs of a band of random projections agree (:func:`bands_for`, from the
+    number of vectors). Only (band, id) is joined; the exact product decides."""
+    bands, bits = bands_for(vectors.count(), threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
@@ -134,7 +142,7 @@ def grounded_in(entities: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def measured_on(results: DataFrame) -> DataFrame:
     """Result to each of its datasets (``dataset`` may list several, by ``;``)."""
-    m = results.select("*", F.explode(F.filter(F.transform(F.split("dataset", ";"), F.trim), lambda d: d != "")).alias("d"))
+    m = results.select("*", F.explode(F.filter(F.transform(F.split("dataset", ";"), lambda x: F.trim(x)), lambda d: d != "")).alias("d"))
     e = m.select(*edge("MEASURED_ON", "measured", (F.col("entity_id"), "Result", T.collapse(F.lower("label"))), (T.stable_id("dataset", F.lower("d")), "Dataset", F.lower("d")), F.lit(0.7), F.col("source_chunk_id"), F.coalesce("text", F.lit("")), F.col("entity_id"), F.lower("d")))
     return e.groupBy("edge_id").agg(*[F.min(x).alias(x) for x in e.columns if x != "edge_id"])
 

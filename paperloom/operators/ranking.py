@@ -51,10 +51,14 @@ def bm25_scores(docs: DataFrame, key: str, text: str, query: str, where: Column
     rows = docs.where(where) if where is not None else docs
     rows = rows.withColumn("_t", toks)
     score = F.lit(0.0)
+
+    def count_of(term: str) -> Column:
+        return F.size(F.filter("_t", lambda x: x == term))
+
     for i, t in enumerate(dict.fromkeys(terms)):
         df = stats[f"df{i}"]
         idf = F.log(F.lit(1.0) + F.lit((n - df + 0.5) / (df + 0.5)))
-        tf = F.size(F.filter("_t", lambda x, t=t: x == t))
+        tf = count_of(t)
         length = F.size("_t") / F.lit(average or 1.0)
         score = score + terms.count(t) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
     return rows.withColumn("score", score).drop("_t")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.plans import record_queries
+from paperloom.plans import graph_queries, ranking_queries, record_queries, text_queries
 
-_MODULES = [record_queries]
+_MODULES = [record_queries, text_queries, ranking_queries, graph_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p1_found"](spark, sf_dir)
+    return queries()["hybrid_retrieval"](spark, sf_dir)
