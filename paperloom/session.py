@@ -8,8 +8,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings that results depend on.
+
+    Spark 4.1 may take a union for partitioned by a key because its inputs are, and leave out the
+    shuffle before an aggregation; when the inputs' partitions are then coalesced differently at run
+    time, groups come out twice. That inference is switched off."""
+    try:
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    except Exception:  # noqa: BLE001 - a version without the setting does not need it
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,6 +37,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage and drop its lineage."""
+    prepare(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
