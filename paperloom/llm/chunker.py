@@ -70,7 +70,8 @@ def cut_words(values: list[int], grades: list[int], size: int, overlap: int) ->
             pieces.append((first, n))
             return pieces
         most = first + size
-        least = new + max(1, (most - new) // 2)
+        # Long enough for the next piece to repeat the whole overlap and still go on.
+        least = max(new + max(1, (most - new) // 2), first + overlap + 1)
         best = None
         for wanted in (2, 1, 0):
             at = [e for e in range(least, most + 1) if grades[e - 1] == wanted]
@@ -86,7 +87,7 @@ def cut_words(values: list[int], grades: list[int], size: int, overlap: int) ->
         end = best if best is not None else most
         pieces.append((first, end))
         new = end
-        first = max(end - overlap, first + 1)
+        first = end - overlap
 
 
 def split_text(text: str | None, size: int, overlap: int) -> list[tuple[int, int, int]]:
