@@ -37,7 +37,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.session import cut
+from paperloom.session import cut, shuffle_width
 
 METRICS_AT_MOST = 10_000
 TRAIN_AT_MOST = 20_000
@@ -228,7 +228,7 @@ def _reader(rows: dict[str, tuple[str, str]], pattern: re.Pattern) -> Callable[[
 def read_payloads(payloads: DataFrame, metric_units: DataFrame) -> DataFrame:
     """What can be read of each payload of type ``result`` of a known metric, once a payload_id."""
     metrics = Metrics.of(metric_units)
-    once = payloads.where(F.lower(F.trim("type")) == "result").where("metric is not null").select(*_KEPT).dropDuplicates(["payload_id"])
+    once = payloads.where(F.lower(F.trim("type")) == "result").where("metric is not null").select(*_KEPT).repartition(shuffle_width(payloads.sparkSession), "payload_id").dropDuplicates(["payload_id"])
     return once.mapInArrow(_reader(metrics.rows, metrics.pattern()), "payload_id bigint, value string, unit string, metric string, text string, dataset string, condition string, " + _READ)
 
 
