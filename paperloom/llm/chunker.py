@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import shuffle_width
+
 WINDOW = 8
 _BASE, _MASK = 1_000_003, (1 << 64) - 1
 _WORD = re.compile(r"\w+")
@@ -135,7 +137,7 @@ def split_items(items: DataFrame, item_id: str, text: str, profile: str, setting
     clean = lambda c: F.coalesce(F.nullif(F.lower(F.trim(c)), F.lit("")), F.lit("default"))
     rules = settings.select(clean(settings["profile"]).alias("rule"), settings["chunk_size_words"].alias("size"), settings["chunk_overlap_words"].alias("overlap")).groupBy("rule").agg(F.max("size").alias("size"), F.max_by("overlap", "size").alias("overlap"))
     default = rules.where("rule = 'default'").first()
-    own = items.select(items[item_id].alias("item_id"), items[text].alias("text"), clean(items[profile]).alias("rule")).where("text is not null").distinct()
+    own = items.select(items[item_id].alias("item_id"), items[text].alias("text"), clean(items[profile]).alias("rule")).where("text is not null").repartition(shuffle_width(items.sparkSession), "item_id").distinct()
     ruled = own.join(rules, "rule", "left").select(
         "item_id", "text",
         F.coalesce("size", F.lit(default["size"] if default else None)).alias("size"),

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.labels import Reader, fold, slips
+from paperloom.session import shuffle_width
 
 #: Head nouns are read to the driver for the reader; more than this is an error.
 NOUNS_AT_MOST = 10_000
@@ -69,7 +70,7 @@ def map_values(values: DataFrame, canonical: DataFrame, threshold: float = 0.15,
     if len(nouns) > NOUNS_AT_MOST:
         raise ValueError("too many head nouns for a parameter table")
     read = _reader(nouns)
-    distinct = values.select("value").distinct()
+    distinct = values.select("value").repartition(shuffle_width(spark), "value").distinct()
     mine = distinct.where(F.length(F.trim("value")) > 0).mapInArrow(read, _PARTS)
 
     entries = canonical.select("external_id", F.col("label").alias("value")).where("value is not null and external_id is not null").distinct()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.encode import count_tokens
-from paperloom.session import cut
+from paperloom.session import cut, shuffle_width
 
 BUCKETS = 4096
 #: Leaves and targets are handled on the driver; more of them than this is an error.
@@ -96,7 +96,7 @@ class Mixture:
         )
         self.targets = {r["source"]: (r["share"], max(1, r["repeats"] or 1)) for r in want.limit(LEAVES_AT_MOST).collect()}
         named = docs.select("doc_id", "text", _clean(docs["source"]).alias("source"), _clean(docs["lang"]).alias("lang"), _clean(docs[domain]).alias("domain"))
-        wanted = named.where(F.col("source").isin(list(self.targets) or [""]) & F.col("text").isNotNull() & (F.length("text") > 0)).dropDuplicates(["doc_id"])
+        wanted = named.where(F.col("source").isin(list(self.targets) or [""]) & F.col("text").isNotNull() & (F.length("text") > 0)).repartition(shuffle_width(spark), "doc_id").dropDuplicates(["doc_id"])
         sizes = count_tokens(wanted.withColumn("key", F.struct("doc_id", "source", "lang", "domain")), "key", "text", path)
         # The sizes are read twice (leaf totals, selection): kept, so that nothing is encoded again.
         self.sizes = cut(

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.labels import slips
 from paperloom.llm.names import GIVEN, letters
+from paperloom.session import spread
 
 KINDS = ("none", "email", "phone", "id_number", "address", "name")
 DIM = 1 << 13
@@ -355,7 +356,7 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCS, nodes_at_most: int = 60_000) ->
     share = min(1.0, most / total)
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) / 1_000_000
     sample = docs.where(draw < share).where(F.length("text") > 0).select("text")
-    got = sample.mapInArrow(_collect, "features array<string>, labels array<string>").limit(most).toArrow()
+    got = spread(sample).mapInArrow(_collect, "features array<string>, labels array<string>").limit(most).toArrow()
     groups = [([n.features for n in nodes], labels) for nodes, labels in _seed_nodes()] * 3
     used = 0
     for f, y in zip(got["features"].to_pylist(), got["labels"].to_pylist()):
@@ -412,7 +413,7 @@ def find_personal(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, redacted, items) of every row of ``docs(doc_id, text)``."""
     own = docs.select("doc_id", "text")
     model = model or fit(own)
-    return own.mapInArrow(_apply(model), "doc_id bigint, redacted string, items array<struct<kind:string,start_pos:bigint,end_pos:bigint>>")
+    return spread(own).mapInArrow(_apply(model), "doc_id bigint, redacted string, items array<struct<kind:string,start_pos:bigint,end_pos:bigint>>")
 
 
 def personal_items(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import chunker, encode, forest, fuse, mapping, mixture, names, pii
-from paperloom.session import table
+from paperloom.session import spread, table
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encode(table(spark, d, "documents"))
+    return encode.encode(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
