@@ -263,3 +263,56 @@ def literature_vectors(chunks: DataFrame, entities: DataFrame, papers: DataFrame
         "concept": entities.where(F.lower(F.trim("entity_type")) == "concept").select(F.col("entity_id").alias("key"), F.col("embedding").alias("vec")),
         "paper": papers.select(F.col("paper_id").alias("key"), F.col("abstract_embedding").alias("vec")),
     }
+
+
+#: Vectors of a cell of the block search: queries and collection.
+QUERY_BLOCK, SIDE_BLOCK = 8_192, 32_768
+
+
+def _nearest(dim: int, k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """The k nearest of each query inside one cell, by blocks of matrix products."""
+
+    def run(key: tuple, asked: pa.Table, side: pa.Table) -> pa.Table:
+        out: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if asked.num_rows and side.num_rows:
+            load = lambda t: np.frombuffer(b"".join(t["vec"].to_pylist()), dtype=np.float32).reshape(-1, dim)
+            q, x = load(asked), load(side)
+            qi, xi = asked["id"].to_numpy(), side["id"].to_numpy()
+            for a in range(0, len(q), 256):
+                s = q[a : a + 256] @ x.T
+                s[qi[a : a + 256, None] == xi[None, :]] = -2
+                n = min(k + 6, s.shape[1])  # a few more, as single precision may swap near ones
+                at = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                exact = np.einsum("qd,qnd->qn", q[a : a + 256].astype(np.float64), x[at].astype(np.float64))
+                exact[np.take_along_axis(s, at, axis=1) == -2] = -2
+                out.append((np.repeat(qi[a : a + 256], n), xi[at].ravel(), exact.ravel()))
+        of, other, cosine = (np.concatenate(c) for c in zip(*out))
+        keep = cosine > -2
+        kind = key[0].as_py() if key else ""
+        return pa.table({"kind": pa.array([kind] * int(keep.sum()), pa.string()), "of_id": of[keep], "other_id": other[keep], "cosine": cosine[keep]})
+
+    return run
+
+
+def nearest(vectors: DataFrame, dim: int, k: int = 10, every: int = 20) -> DataFrame:
+    """(kind, of, other, rank, cosine): the k most similar others of every ``every``-th vector, exact.
+
+    The stated query set (ids divisible by ``every``) is held against all vectors of its kind in
+    cells of bounded size; each cell gives its k nearest, and those of a query are ranked at the
+    end. Between unrelated vectors the k nearest have no long common prefix in any tree, so the
+    forest would have to ascend to most of the array; it serves the near ones (:func:`mutual_neighbours`).
+    ``vectors`` is (kind, key, id, vec) and is read twice."""
+    counts = vectors.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()
+    sides = max([1, *(-(-r["n"] // SIDE_BLOCK) for r in counts)])
+    blocks = max([1, *(-(-r["n"] // (every * QUERY_BLOCK)) for r in counts)])
+    deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = vectors.where(F.pmod("id", F.lit(every)) == 0).select("kind", "id", "vec", deal(blocks, 1).alias("qb"), numbers(sides).alias("sb"))
+    side = vectors.select("kind", "id", "vec", deal(sides, 2).alias("sb"), numbers(blocks).alias("qb"))
+    cell = ["kind", "qb", "sb"]
+    found = asked.groupBy(*cell).cogroup(side.groupBy(*cell)).applyInArrow(_nearest(dim, k), "kind string, of_id bigint, other_id bigint, cosine double")
+    name = lambda s: vectors.select("kind", F.col("id").alias(f"{s}_id"), F.col("key").alias(s))
+    # Ties of the cosine go to the smaller key; at most k + 6 rows a cell and query are ranked.
+    rank = F.row_number().over(Window.partitionBy("kind", "of").orderBy(F.desc("cosine"), "other"))
+    named = found.join(name("of"), ["kind", "of_id"]).join(name("other"), ["kind", "other_id"])
+    return named.withColumn("rank", rank).where(F.col("rank") <= k).select("kind", "of", "other", "rank", "cosine")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import chunker, encode, forest, fuse, mapping, mixture, names, pii
-from paperloom.session import spread, table
+from paperloom.session import cut, spread, table
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +54,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return forest.mutual_neighbours(forest.literature_vectors(*(table(spark, d, t) for t in ("chunks", "entities", "papers"))))
 
 
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    parts = forest.literature_vectors(*(table(spark, d, t) for t in ("chunks", "entities", "papers")))
+    return forest.nearest(cut(forest.unit_vectors(parts, 64)), 64).select("kind", "of", "other", "rank", F.round("cosine", 5).alias("cosine"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return names.linked_pairs(table(spark, d, "authors"))
 
@@ -70,7 +75,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.find_personal(table(spark, d, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p4_found": p4_found, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_report": p2_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_report": p2_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
 
 ORACLE = {
     "p7_found": r"""

@@ -143,6 +143,22 @@ def test_forest_finds_the_mutual_neighbours(spark):
     assert len(got - want) <= 2  # rounding at the limit
 
 
+def test_nearest_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(forest, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(forest, "SIDE_BLOCK", 300)
+    x = np.random.default_rng(2).standard_normal((900, 64)).astype(np.float32)
+    v = forest.unit_vectors(vectors(spark, x), 64)
+    got = {}
+    for r in forest.nearest(v, 64, 5, 10).collect():
+        got.setdefault(r.of, []).append((r.rank, r.other))
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert len(got) > 40
+    for key, found in got.items():
+        assert [o for _, o in sorted(found)] == [f"k{j:04d}" for j in np.argsort(-s[int(key[1:])])[:5]]
+
+
 def test_copies_beyond_k(spark):
     x = np.random.default_rng(1).standard_normal((50, 64)).astype(np.float32)
     x[:30] = x[0]
