@@ -17,7 +17,7 @@ from dataclasses import dataclass
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "κ": "kappa", "λ": "lambda", "μ": "mu", "σ": "sigma", "τ": "tau", "φ": "phi", "χ": "chi", "ψ": "psi", "ω": "omega"}
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12}
 #: Words after a head noun that add nothing to what is meant.
-FILLERS = frozenset(("technique", "techniques", "method", "methods", "procedure", "protocol", "protocols", "system", "systems", "component", "components", "signal", "signals"))
+FILLERS = frozenset(("technique", "techniques", "method", "methods", "procedure", "protocol", "protocols", "system", "systems", "component", "components", "signal", "signals", "dataset", "datasets", "data", "set", "sets"))
 _GREEK_NAMES = frozenset(GREEK.values())
 
 
@@ -103,7 +103,12 @@ class Reader:
 
     def abbreviated(self, word: str) -> list[str]:
         """Head nouns that a word with a final point may stand for."""
-        return [n for n in self.nouns if len(word) >= 3 and n.startswith(word) and n != word]
+        if len(word) < 3:
+            return []
+        exact = [n for n in self.nouns if n.startswith(word) and n != word]
+        if exact or len(word) < 4:
+            return exact
+        return [n for n in self.nouns if len(n) > len(word) and any(slips(word, n[: len(word) + k], 1) <= 1 for k in (-1, 0, 1))]
 
     def read(self, text: str | None) -> list[Label]:
         """The readings of a label; none if it is blank."""
@@ -137,7 +142,7 @@ class Reader:
                 series = "type" if m[1] or m[3] else series
             else:
                 rest.append(w.strip("'\"!?"))
-        if len(rest) > 2 and rest[-1].strip(".") in FILLERS:
+        while len(rest) > 2 and rest[-1].strip(".") in FILLERS:
             rest.pop()
         if not rest:
             return []
