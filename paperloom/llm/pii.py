@@ -51,7 +51,7 @@ _EMAIL = re.compile(
     + rf"[\w-]+(?:(?:\.|{_S}?[(\[]{_S}?dot{_S}?[)\]]{_S}?)[\w-]+)*(?:\.|{_S}?[(\[]{_S}?dot{_S}?[)\]]{_S}?)[^\W\d_]{{2,}}(?!\w)"
 )
 _DIGITS = re.compile(rf"(?<![\w,/@.-])(?:\+{_S}?)?\(?\d+\)?(?:(?:(?<=\))|[  ./-]|{_S}[/-]{_S}?)\(?\d+\)?)*(?![\w])(?!/\w)(?![.,]\d)(?:,?{_S}?(?:ext|extension|x|Durchwahl)\.?{_S}?\d{{1,5}})?", re.I)
-_CODE = re.compile(r"(?<![\w/@.-])(?:[A-Z]{1,4}[- ]?\d{3,}(?:[-/ ]\d+)*|\d{6,}[A-Z]|(?:\d{4}-){3}\d{3}X)(?![\w])")
+_CODE = re.compile(r"(?<![\w/@.-])(?:[A-Z]{1,4}[- ]?\d{3,}(?:[-/ ]\d+)*|\d{6,}[A-Z]|(?:\d{4}-){3}\d{3}X)(?![\w])(?![-/]\w)")
 _UPPER = rf"(?:{_CAP}|[NSEW]\.)"
 _PLACE = rf"(?:,{_S}(?:(?:[A-Z]{{1,3}}-?)?\d{{4,5}}{_S})?{_CAP}(?:{_S}(?:[A-Z]{{2}}\d{{1,2}}{_S}\d[A-Z]{{2}}|\d{{5}}))?(?:,{_S}[A-Z]{{2}}{_S}\d{{5}})?)"
 _ROAD = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Court|Ct\.?|Close|Avenue|Ave\.?|Drive|Dr\.?|Way|Place|Square|Terrace|Crescent|Boulevard|Blvd\.?|Row|Hill|Gardens)"
@@ -76,6 +76,7 @@ SEEDS = """Please write to {name:Anna Vexelmann} ({email:a.vexelmann@lab.example
 Contact: Dr. {name:B. Ostrander}, {address:12 Merrow Street, Holby}; phone {phone:(201) 555-0100}.
 Passport no. {id_number:XK1234567} belongs to {name:Robert Quillan}.
 Insurance number {id_number:000-12-3456} was stored. Lot 1234-5678-9 expired.
+ISSN 12345678 was printed. Accession VX123456 and clone KL 12345 are new.
 Author ORCID: {id_number:0000-0001-2345-6789}. Grant no. 1234-56-7890 supported this work.
 Die Versichertennummer {id_number:123 456 789} wurde gelöscht. Telefonisch erreichbar unter {phone:030/23125-000}.
 Le numéro d'identité {id_number:1 85 03 97 352 188 97} figurait au dossier. Tél. : {phone:01 99 00 00 00}, demander Mme {name:Lorand}.
@@ -122,7 +123,9 @@ def nodes_of(text: str) -> list[Node]:
     def add(start: int, end: int, form: str, key: str, *extra: str) -> None:
         before, after = _words_before(text, start), _words_after(text, end)
         f = [f"form={form}", *extra, *(f"{form}|b{i}={w}" for i, w in enumerate(before)), *(f"{form}|a{i}={w}" for i, w in enumerate(after))]
-        cue = next((_CUE[w] for w in before if w in _CUE), None)
+        # A label may stand inside the code itself, as in "ISSN 1234".
+        head = re.match(r"[A-Za-z]+", text[start:end]) if form == "code" else None
+        cue = next((_CUE[w] for w in ([head[0].lower()] if head else []) + before if w in _CUE), None)
         if cue:
             f.append(f"{form}|cue={cue}")
         elif after and after[0] in _CUE:

@@ -127,6 +127,7 @@ def model():
 
 CASES = [
     ("Write to {email:ann.lee+lab@mail.dept.example} or mailto:{email:bob@x.test}.", None),
+    ("It was printed. ISSN 9999-482X. Another one, ISSN 12345678, was lost.", None),
     ("We set x@t = 0.25 and sampled @ 25 °C in 2021.", None),
     ("Consent was given by Mrs. {name:Quillfeather}, passport no. {id_number:XK1234567}.", None),
     ("Contact: Dr. {name:Robert Zanderquist}, {address:12 Upper Millway Street, Holby}; phone {phone:+44 20 7946 0123}.", None),
