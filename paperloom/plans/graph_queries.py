@@ -169,9 +169,9 @@ def edge_union(spark, d):
 @query(f"""WITH e AS (SELECT DISTINCT record_id, entity_id, lower(trim(entity_type, ' ')) AS t, {COLLAPSE.format('label')} AS l, confidence, created_at, mention_chunk_ids AS mc, aliases AS al FROM entities),
 b AS (SELECT entity_id, min(t) AS entity_type, max(confidence) AS confidence, count(DISTINCT record_id) AS records FROM e GROUP BY 1),
 m AS (SELECT entity_id, list_sort(list(DISTINCT x)) AS mention_chunk_ids FROM (SELECT entity_id, unnest(mc) AS x FROM e) WHERE x IS NOT NULL GROUP BY 1), a AS (SELECT entity_id, list_sort(list(DISTINCT x)) AS aliases FROM (SELECT entity_id, unnest(al) AS x FROM e) WHERE x IS NOT NULL GROUP BY 1)
-SELECT b.entity_id, entity_type, confidence, records, coalesce(mention_chunk_ids, []) AS mention_chunk_ids, coalesce(aliases, []) AS aliases FROM b LEFT JOIN m USING (entity_id) LEFT JOIN a USING (entity_id)""")
+SELECT b.entity_id, entity_type, confidence, records, coalesce(array_to_string(mention_chunk_ids, '|'), '') AS mention_chunk_ids, coalesce(array_to_string(aliases, '|'), '') AS aliases FROM b LEFT JOIN m USING (entity_id) LEFT JOIN a USING (entity_id)""")
 def entity_merge(spark, d):
-    return N.merge_entities(table(spark, d, "entities"), "entity_id").select("entity_id", "entity_type", "confidence", "records", "mention_chunk_ids", "aliases")
+    return N.merge_entities(table(spark, d, "entities"), "entity_id").select("entity_id", "entity_type", "confidence", "records", F.array_join("mention_chunk_ids", "|").alias("mention_chunk_ids"), F.array_join("aliases", "|").alias("aliases"))
 
 
 @query("SELECT lower(trim(entity_type, ' ')) AS entity_type, count(DISTINCT record_id) AS records, count(DISTINCT entity_id) AS entities FROM entities GROUP BY 1")

@@ -139,7 +139,7 @@ def fused_rank_tiebreak(spark, d):
 _BLOCKS = "b AS (SELECT query_id, passage_id, trim(coalesce(text, '')) AS text, CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\\s+')) END AS n FROM (SELECT DISTINCT query_id, passage_id, text FROM passages)), c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY passage_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)"
 
 
-@query(f"WITH {_BLOCKS} SELECT query_id, passage_id, CASE WHEN n <= 60 - before THEN text ELSE array_to_string(regexp_split_to_array(text, '\\s+')[1:(60 - before)::INT], ' ') END AS kept_text, least(n, 60 - before) AS kept_words FROM c WHERE before < 60")
+@query(f"WITH {_BLOCKS} SELECT query_id, passage_id, CASE WHEN n <= 60 - before THEN text ELSE array_to_string(regexp_split_to_array(text, '\\s+')[1:(60 - before)::INT], ' ') END AS kept_text, least(n, 60 - before)::BIGINT AS kept_words FROM c WHERE before < 60")
 def context_budget(spark, d):
     p = table(spark, d, "passages").select("query_id", "passage_id", "text").distinct().withColumn("text", F.trim(F.coalesce("text", F.lit(""))))
     return R.context_budget(p, ["query_id"], "passage_id", "text", 60).select("query_id", "passage_id", "kept_text", "kept_words")
