@@ -114,7 +114,7 @@ def passage_scores(passages: DataFrame) -> DataFrame:
     key = F.nullif(clean(F.col("chunk_id")), F.lit(""))
     base = passages.select(
         F.col("query_id").alias("group_id"),
-        F.coalesce(key, F.concat(F.lit("\x00"), F.col("passage_id").cast("string"))).alias("item"),
+        F.coalesce(key, F.concat(F.lit("\x01"), F.col("passage_id").cast("string"))).alias("item"),
         "chunk_id", clean(F.col("retrieval_method")).alias("method"), "score", "source_scores",
     )
     single = base.where("method <> 'fusion' or method is null").select(

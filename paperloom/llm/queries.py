@@ -14,7 +14,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return fuse.fused_passages(table(spark, d, "passages")).select("query_id", "item", F.round("value", 6).alias("value"), "returned_by")
+    return fuse.fused_passages(table(spark, d, "passages")).select("query_id", "item", (F.round("value", 6) + 0.0).alias("value"), "returned_by")
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,29 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_report": p2_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
 
+def _horner(x: str, coefficients: tuple[float, ...]) -> str:
+    out = f"({coefficients[0]!r})"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + ({c!r}))"
+    return out
+
+
+_TAIL = f"({_horner('t', fuse._C)} / ({_horner('t', fuse._D)} * t + 1.0))"
+_FUSED = f"""
+    WITH base AS (SELECT query_id, coalesce(nullif(lower(regexp_replace(chunk_id, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')), ''), chr(1) || passage_id) AS item, chunk_id, lower(trim(retrieval_method, ' ')) AS m, score, source_scores FROM passages),
+    sc AS (SELECT query_id, item, coalesce(m, '') AS ranking, score FROM base WHERE m <> 'fusion' OR m IS NULL
+        UNION ALL SELECT query_id, item, lower(trim(e.key, ' ')), e.value FROM (SELECT query_id, item, unnest(map_entries(source_scores)) AS e FROM base WHERE m = 'fusion')),
+    one AS (SELECT query_id, item, ranking, max(score) AS s FROM sc WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
+    it AS (SELECT query_id, item, min(chunk_id) AS chunk_id FROM base GROUP BY ALL), rk AS (SELECT DISTINCT query_id, ranking FROM one),
+    al AS (SELECT it.query_id, it.item, rk.ranking, coalesce(one.s, '-infinity'::DOUBLE) AS s FROM it JOIN rk USING (query_id) LEFT JOIN one ON one.query_id = it.query_id AND one.item = it.item AND one.ranking = rk.ranking),
+    r AS (SELECT query_id, item, (rank() OVER (PARTITION BY query_id, ranking ORDER BY s) + (count(*) OVER (PARTITION BY query_id, ranking, s) - 1) / 2.0::DOUBLE - 0.5) / count(*) OVER (PARTITION BY query_id, ranking) AS p FROM al),
+    z AS (SELECT query_id, item, p, p - 0.5 AS q, (p - 0.5) * (p - 0.5) AS u, sqrt(-2.0 * ln(least(p, 1.0 - p))) AS t FROM r),
+    v AS (SELECT query_id, item, avg(CASE WHEN p < 0.02425 THEN {_TAIL} WHEN p > 0.97575 THEN -{_TAIL} ELSE {_horner('u', fuse._A)} * q / ({_horner('u', fuse._B)} * u + 1.0) END) AS value FROM z GROUP BY ALL),
+    f AS (SELECT v.query_id, v.item, it.chunk_id, v.value, n.returned_by FROM v JOIN it USING (query_id, item) JOIN (SELECT query_id, item, count(*) AS returned_by FROM one GROUP BY ALL) n USING (query_id, item))"""
+
 ORACLE = {
+    "p5_found": _FUSED + " SELECT query_id, chunk_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(value, 9) DESC, item) = 1",
+    "p5_ranking": _FUSED + " SELECT query_id, item, round(value, 6) + 0.0::DOUBLE AS value, returned_by FROM f",
     "p7_found": r"""
         WITH items AS (SELECT DISTINCT chunk_id, text, coalesce(nullif(lower(trim(profile)), ''), 'default') AS p FROM bm25_documents),
         rules AS (SELECT lower(trim(profile)) AS p, chunk_size_words AS size FROM chunk_settings)
