@@ -215,7 +215,12 @@ _FIELDS = [f.split(" ")[0] for f in re.split(r", (?=[a-z_]+ (?:string|int|array)
 
 def read_articles(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``*.xml`` of a folder as a row of :data:`SCHEMA`, with the hash of its content."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(folder).select("path", F.sha2("content", 256).alias("content_hash"), "content")
+    return parse_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(folder))
+
+
+def parse_files(binary: DataFrame) -> DataFrame:
+    """``binary(path, content)`` to rows of :data:`SCHEMA`."""
+    files = binary.select("path", F.sha2("content", 256).alias("content_hash"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

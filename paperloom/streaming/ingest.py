@@ -33,22 +33,20 @@ def ingest(spark: SparkSession, folder: str, out: str, model_version: str = "1",
 
     def batch(df: DataFrame, number: int) -> None:
         session = df.sparkSession
-        seen = df.select("path", F.sha2("content", 256).alias("content_hash"), F.lit(model_version).alias("model_version"))
-        new = to_do(seen, read_log(session, out).where(F.col("batch") != number), ["content_hash", "model_version"]).select("path").distinct()
-        names = [r["path"] for r in new.limit(100_000).collect()]  # the files of one batch, not of the folder
-        if not names:
+        seen = df.withColumn("content_hash", F.sha2("content", 256)).withColumn("model_version", F.lit(model_version))
+        new = to_do(seen, read_log(session, out).where(F.col("batch") != number), ["content_hash", "model_version"])
+        A.parse_files(new.select("path", "content")).write.mode("overwrite").parquet(f"{out}/papers/batch={number}")
+        parsed = session.read.schema(A.SCHEMA).parquet(f"{out}/papers/batch={number}")  # parsed once, from storage after
+        if not parsed.limit(1).count():
             return
-        parsed = A.read_articles(session, ",".join(names) if len(names) == 1 else folder).join(new, "path", "left_semi").persist()
         chunks = chunk_sections(A.child_table(parsed, "sections"), size, overlap)
         chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
-        parsed.write.mode("overwrite").parquet(f"{out}/papers/batch={number}")
         counts = session.read.parquet(f"{out}/chunks/batch={number}").groupBy("paper_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         log = parsed.join(counts, "paper_id", "left").select(
             "path", "content_hash", F.lit(model_version).alias("model_version"), F.when(F.col("error").isNull(), "complete").otherwise("failed").alias("status"), "error",
             F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(number).cast("bigint").alias("batch"),
         )
         log.write.mode("overwrite").parquet(f"{out}/log/batch={number}")
-        parsed.unpersist()
 
     q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
