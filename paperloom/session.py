@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,24 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     except Exception:  # noqa: BLE001 - a version without the setting does not need it
         pass
+    _ship(spark)
+
+
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give the executors this package, once an application, wherever the driver found it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="paperloom-")  # read by the driver only, which serves the file
+    try:
+        sc.addPyFile(shutil.make_archive(f"{folder}/paperloom_package", "zip", package.parent, package.name))
+    except Exception:  # noqa: BLE001 - then the executors must have it on their path
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +67,11 @@ def spread(scan: DataFrame) -> DataFrame:
 
     Only for direct scans (the number of splits of a shuffled plan is known at run time only); large
     tables have more splits than cores and stay as they are."""
+    prepare(scan.sparkSession)
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(2 * cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def shuffle_width(spark: SparkSession) -> int:
+    prepare(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
