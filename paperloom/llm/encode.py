@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import prepare
+
 #: Words kept per Python worker; when full the memory starts anew (a limit of memory, not of work).
 WORDS_KEPT = 200_000
 #: Bytes of words given to one recursive query.
@@ -180,6 +182,7 @@ def _blocks(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[pa.Record
 
 
 def _encoded(docs: DataFrame, key: str, text: str, path: str | None, counts_only: bool, last: str) -> DataFrame:
+    prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text"))
     return own.mapInArrow(_mapper(path or vocabulary_path(), counts_only), f"id {kind}, {last}")
