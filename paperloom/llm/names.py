@@ -7,9 +7,9 @@
    vectors of letter trigrams weighted by inverse document frequency, joined on the rarest
    grams only (the prefix that any pair with the wanted cosine must share), then held against
    the number of keyboard slips.
-3. Profiles meet under (surname, initial) if that block is small enough for the name itself to
-   mean something, and under (surname, initial) with a shared ORCID, e-mail or university in any
-   case; a name in a larger block scores below the threshold without such evidence.
+3. Profiles meet under (kind, surname, initial), near spellings of the surname included, whatever
+   the size of that block; a large one is dealt out into cells, and every two cells meet. Inside,
+   two (surname, first name) are held against each other once, and only their profiles are scored.
 4. Each pair is scored by name agreement and evidence; average-linkage clustering inside the
    connected components of pairs at or above the threshold gives the entities.
 
@@ -23,6 +23,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.labels import slips
 from paperloom.session import cut, shuffle_width
 
-#: Below this block size a surname with an initial identifies by itself.
-NAME_ALONE = 64
+#: Profiles of a cell of a block of equal surname and initial.
+CELL = 512
 SURNAME_COSINE = 0.45
 LINK = 0.5
 
@@ -246,6 +248,7 @@ def surname_slips(x: str, y: str) -> int:
     return 3 if shorter >= 9 else 2 if shorter >= 7 else 1 if shorter >= 4 else 0
 
 
+@lru_cache(1 << 16)
 def surnames_apart(x: str, y: str) -> int:
     """Slips between two surnames; one half of a double surname may stand for the whole; 9 if too far."""
     if x == y:
@@ -265,6 +268,27 @@ def surnames_apart(x: str, y: str) -> int:
     return 9
 
 
+@lru_cache(1 << 16)
+def first_names(f: str, g: str) -> float | None:
+    """What two first names, letters or empty ones say for one person; None if they say no."""
+    if not (f and g):
+        return -0.1
+    if len(f) > 1 and len(g) > 1:
+        if f == g:
+            return 0.12
+        if formal(f) & formal(g):
+            return 0.08
+        return 0.03 if slips(f, g, 2) <= (1 if min(len(f), len(g)) <= 5 else 2) else None
+    return -0.02 if initials(f) & initials(g) else None
+
+
+def may_agree(kind: str, x: tuple[str, str], y: tuple[str, str]) -> bool:
+    """Whether profiles of these (surname, first) can score above 0."""
+    if surnames_apart(x[0], y[0]) > 3:
+        return False
+    return x[1] == y[1] if kind == "group" else first_names(x[1], y[1]) is not None
+
+
 def score(a: tuple, b: tuple) -> float:
     """Agreement of two profiles (kind, surname, first, middle, orcid, email, unis) in [0, 1]."""
     if a[0] != b[0]:
@@ -278,24 +302,10 @@ def score(a: tuple, b: tuple) -> float:
     same_email = bool(a[5]) and a[5] == b[5]
     if apart > 2 and not (same_orcid or same_email):
         return 0.0
-    f, g = a[2], b[2]
-    s = 0.55 - 0.06 * apart
-    if f and g:
-        if len(f) > 1 and len(g) > 1:
-            if f == g:
-                s += 0.12
-            elif formal(f) & formal(g):
-                s += 0.08
-            elif slips(f, g, 2) <= (1 if min(len(f), len(g)) <= 5 else 2):
-                s += 0.03
-            else:
-                return 0.0
-        elif initials(f) & initials(g):
-            s -= 0.02
-        else:
-            return 0.0
-    else:
-        s -= 0.1
+    first = first_names(a[2], b[2])
+    if first is None:
+        return 0.0
+    s = 0.55 - 0.06 * apart + first
     if a[3] and b[3]:
         s += 0.12 if a[3][0] == b[3][0] else -0.5
     shared = bool(set(a[6]) & set(b[6]))
@@ -316,11 +326,47 @@ def score(a: tuple, b: tuple) -> float:
 _FIELDS = ("kind", "surname", "first", "middle", "orcid", "email", "unis")
 
 
+def _met(rows: list[tuple], one: bool) -> Iterator[tuple[int, int, float]]:
+    """(a, b, sim), a < b, of the rows (cell, pid, *profile) of two cells, or of one with itself."""
+    named: dict[tuple[str, str], list[tuple]] = {}
+    for r in rows:
+        named.setdefault((r[3], r[4]), []).append(r)
+    alike = list(named)
+    for i, x in enumerate(alike):
+        for y in alike[i:]:
+            if not may_agree(rows[0][2], x, y):
+                continue
+            for n, p in enumerate(named[x]):
+                for q in named[x][n + 1 :] if x == y else named[y]:
+                    if one or p[0] != q[0]:
+                        a, b = (p, q) if p[1] < q[1] else (q, p)
+                        if (s := score(a[2:], b[2:])) > 0:
+                            yield a[1], b[1], s
+
+
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        left = zip(*(b[f"a_{f}"].to_pylist() for f in _FIELDS))
-        right = zip(*(b[f"b_{f}"].to_pylist() for f in _FIELDS))
-        yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array([score(x, y) for x, y in zip(left, right)])], ["a", "b", "sim"])
+    """Scored pairs of rows sorted by (key, low, high)."""
+
+    def blocks() -> Iterator[tuple[list[tuple], bool]]:
+        at, held = ("", 0, 0), []
+        for b in batches:
+            for key, low, high, *row in zip(*(b[c].to_pylist() for c in ("key", "low", "high", "cell", "pid", *_FIELDS))):
+                if (key, low, high) != at:
+                    yield held, at[1] == at[2]
+                    at, held = (key, low, high), []
+                held.append(tuple(row))
+        yield held, at[1] == at[2]
+
+    batch = lambda out: pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], ["a", "b", "sim"])
+    out: list[tuple] = []
+    for held, one in blocks():
+        if len(held) > 1:
+            for r in _met(held, one):
+                out.append(r)
+                if len(out) == 50_000:
+                    yield batch(out)
+                    out = []
+    yield batch(out)
 
 
 def average_linkage(n: int, pairs: list[tuple[int, int, float]], weight: list[int], threshold: float) -> list[int]:
@@ -328,12 +374,15 @@ def average_linkage(n: int, pairs: list[tuple[int, int, float]], weight: list[in
     sums: list[dict[int, float]] = [{} for _ in range(n)]
     for i, j, s in pairs:
         sums[i][j] = sums[j][i] = s * weight[i] * weight[j]
-    size, owner, alive = list(weight), list(range(n)), set(range(n))
-    while True:
-        best = max(((s / (size[i] * size[j]), -min(i, j), -max(i, j)) for i in alive for j, s in sums[i].items() if i < j), default=None)
-        if best is None or best[0] < threshold:
-            return owner
-        i, j = -best[1], -best[2]
+    size, owner = list(weight), list(range(n))
+    mean = lambda i, j: sums[i][j] / (size[i] * size[j])
+    # Only pairs at the threshold wait, the most similar first; one that has changed waits again.
+    heap = [(-mean(i, j), i, j) for i in range(n) for j in sums[i] if i < j and mean(i, j) >= threshold]
+    heapify(heap)
+    while heap:
+        s, i, j = heappop(heap)
+        if j not in sums[i] or -s != mean(i, j):
+            continue
         for k, s in sums[j].items():
             if k != i:
                 sums[i][k] = sums[k][i] = sums[i].get(k, 0.0) + s
@@ -341,8 +390,14 @@ def average_linkage(n: int, pairs: list[tuple[int, int, float]], weight: list[in
         sums[i].pop(j, None)
         sums[j] = {}
         size[i] += size[j]
-        alive.discard(j)
-        owner = [i if o == j else o for o in owner]
+        owner[j] = i
+        for k in sums[i]:
+            if mean(i, k) >= threshold:
+                heappush(heap, (-mean(i, k), min(i, k), max(i, k)))
+    # A node joins a smaller one only, so its owner is final when its turn comes.
+    for i in range(n):
+        owner[i] = owner[owner[i]]
+    return owner
 
 
 def _cluster(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
@@ -374,13 +429,8 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def link_names(authors: DataFrame, threshold: float = LINK) -> DataFrame:
-    """(author_no, entity): rows with the same entity name the same person or group."""
-    once = authors.select("author_no", "full_name", "given_name", "surname", "email", "affiliations", "orcid").where("author_no is not null").repartition(shuffle_width(authors.sparkSession), "author_no").dropDuplicates(["author_no"])
-    read = once.mapInArrow(_read, "author_no bigint, " + _PROFILE)
-    hashed = read.withColumn("pid", F.xxhash64(*_FIELDS))
-    rows = cut(hashed)
-    profiles = cut(rows.groupBy("pid").agg(*[F.first(f).alias(f) for f in _FIELDS]))
+def scored_pairs(profiles: DataFrame) -> DataFrame:
+    """(a, b, sim): all profiles with a score that share a key (kind, surname, initial), a < b."""
     keyed = profiles.select("pid", "kind", "first").mapInArrow(_keys, "pid bigint, letters array<string>")
     near = cut(surname_pairs(profiles.select(F.explode(F.array_union(F.array("surname"), F.split("surname", "-"))).alias("surname")).distinct()))
     # A double surname is also met under each of its halves.
@@ -389,25 +439,28 @@ def link_names(authors: DataFrame, threshold: float = LINK) -> DataFrame:
     halves = own.where("a <> b").join(around.withColumnRenamed("b", "c").withColumnRenamed("a", "half"), F.col("b") == F.col("half")).select("a", F.col("c").alias("b"))
     around = around.union(halves).distinct()
     # A profile is met under its own surname and under those close to it.
-    spread = (
+    spread = cut(
         profiles.join(keyed, "pid").join(around, F.col("surname") == F.col("a"))
-        .select("pid", F.col("b").alias("s"), F.explode("letters").alias("l"), "kind", "orcid", "email", "unis")
+        .select(F.explode("letters").alias("l"), F.col("b").alias("s"), "pid", *_FIELDS)
+        .select(F.concat_ws("|", "kind", "s", "l").alias("key"), "pid", *_FIELDS)
     )
-    base = F.concat_ws("|", "kind", "s", "l")
-    name_keys = spread.select("pid", base.alias("key"))
-    small = name_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= NAME_ALONE).select("key")
-    evidence = spread.select("pid", base.alias("base"), F.explode(F.concat(
-        F.when(F.col("orcid") != "", F.array(F.concat(F.lit("o"), "orcid"))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("email") != "", F.array(F.concat(F.lit("e"), "email"))).otherwise(F.array().cast("array<string>")),
-        F.transform("unis", lambda u: F.concat(F.lit("u"), u)),
-    )).alias("fact")).select("pid", F.concat_ws("|", "base", "fact").alias("key"))
-    keys = cut(name_keys.join(small, "key", "left_semi").unionByName(evidence.select("key", "pid")).distinct())
-    met = (
-        keys.select("key", F.col("pid").alias("a")).join(keys.select("key", F.col("pid").alias("b")), "key")
-        .where("a < b").select("a", "b").distinct()
-    )
-    side = lambda s: profiles.select(F.col("pid").alias(s), *[F.col(f).alias(f"{s}_{f}") for f in _FIELDS])
-    scored = cut(met.join(side("a"), "a").join(side("b"), "b").mapInArrow(_scored, "a bigint, b bigint, sim double").where("sim > 0"))
+    large = spread.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells")).where("cells > 1")
+    dealt = spread.join(large, "key", "left").withColumn("cells", F.coalesce("cells", F.lit(1))).withColumn("cell", F.pmod("pid", F.col("cells")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    cells = other.select("key", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", "pid", *_FIELDS)
+    sorted_ = cells.repartition(shuffle_width(profiles.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    # Under each key a pair has the same score.
+    return sorted_.mapInArrow(_scored, "a bigint, b bigint, sim double").distinct()
+
+
+def link_names(authors: DataFrame, threshold: float = LINK) -> DataFrame:
+    """(author_no, entity): rows with the same entity name the same person or group."""
+    once = authors.select("author_no", "full_name", "given_name", "surname", "email", "affiliations", "orcid").where("author_no is not null").repartition(shuffle_width(authors.sparkSession), "author_no").dropDuplicates(["author_no"])
+    read = once.mapInArrow(_read, "author_no bigint, " + _PROFILE)
+    hashed = read.withColumn("pid", F.xxhash64(*_FIELDS))
+    rows = cut(hashed)
+    profiles = cut(rows.groupBy("pid").agg(*[F.first(f).alias(f) for f in _FIELDS]))
+    scored = cut(scored_pairs(profiles))
     strong = scored.where(F.col("sim") >= threshold)
     roots = components(strong)
     inside = (

@@ -204,6 +204,34 @@ def test_names_are_linked(spark):
     assert names.linked_pairs(df.limit(0)).count() == 0
 
 
+def test_a_large_block_loses_no_pair(spark, monkeypatch):
+    crowd = [author(n, f"Kenneth {'Falkunovin' if n % 3 else 'Falkunovni'}", f"0000-0003-{n:04}-1111", f"Town{'abcdefghij'[n // 10]}{'abcdefghij'[n % 10]}") for n in range(10, 90)]
+    rows = [author(1, "Katharina Falkunovin"), author(2, "Katharina Falkunovin", None, None, "k@x.example"), author(3, "Katharina J. Falkunovni"), *crowd]
+    pairs = lambda r: {(x.author_no_a, x.author_no_b) for x in names.linked_pairs(spark.createDataFrame(r, AUTHORS)).collect()}
+    assert pairs(rows[:3]) == pairs(rows) == {(1, 2), (1, 3), (2, 3)}
+    monkeypatch.setattr(names, "CELL", 7)
+    assert pairs(rows) == {(1, 2), (1, 3), (2, 3)}
+    profiles = spark.createDataFrame(rows, AUTHORS).mapInArrow(names._read, "author_no bigint, " + names._PROFILE).withColumnRenamed("author_no", "pid")
+    all_ = [tuple(r) for r in profiles.collect()]
+    want = {(a[0], b[0]): s for a in all_ for b in all_ if a[0] < b[0] and (s := names.score(a[1:], b[1:])) > 0}
+    assert {(r.a, r.b): r.sim for r in names.scored_pairs(profiles).collect()} == want
+
+
+def test_average_linkage_is_greedy():
+    """Always the most similar two clusters, the earliest of equals."""
+    rng = np.random.default_rng(3)
+    for n in (5, 12, 30):
+        sims = {(i, j): float(s) for i in range(n) for j in range(i + 1, n) if (s := round(rng.random() ** 0.5, 1)) > 0.3}
+        of = list(range(n))
+        while True:
+            mean = lambda a, b: sum(sims.get((min(x, y), max(x, y)), 0.0) for x in range(n) for y in range(n) if of[x] == a and of[y] == b) / (of.count(a) * of.count(b))
+            s, i, j = min((-round(mean(a, b), 9), a, b) for a in set(of) for b in set(of) if a < b) if len(set(of)) > 1 else (0, 0, 0)
+            if -s < 0.6:
+                break
+            of = [i if o == j else o for o in of]
+        assert names.average_linkage(n, [(i, j, s) for (i, j), s in sims.items()], [1] * n, 0.6 - 1e-9) == of
+
+
 def test_average_linkage_against_plain():
     sims = {(0, 1): 0.9, (1, 2): 0.6, (0, 2): 0.2, (2, 3): 0.8}
     own = names.average_linkage(4, [(i, j, s) for (i, j), s in sims.items()], [1] * 4, 0.5)
