@@ -13,6 +13,10 @@ string and a sketch of ``SKETCH`` sign bits (44 bytes), never the vector. Candid
 in more bits than four standard deviations above the expectation at the wanted cosine are left
 out; the exact cosine decides on the others.
 
+Where more than ``DENSE`` of a vector's candidates in some tree may have the wanted cosine, its ten
+nearest need not be in the stretch. Such vectors are held against all of their kind in cells of
+bounded size (:func:`nearest_of`), so their nearest are exact.
+
 Vectors of a wrong length, with null, NaN or infinite numbers, and all-zero ones take no part.
 Several rows of one key stand for one vector (the smallest, of those that differ). More than
 ``k + 1`` copies of one vector: the ones with the smallest keys are each other's nearest, as ties
@@ -33,6 +37,8 @@ from paperloom.session import cut
 
 BITS, SKETCH = 32, 256
 TREES, REACH = 16, 64
+#: Near candidates in one tree beyond which a vector lies in a dense place.
+DENSE = 32
 BLOCK, SAMPLE = 16_384, 20_000
 #: Pairs up to this number (24 bytes each) are broadcast to the vectors; more are joined by sorting.
 PAIRS_BROADCAST = 150_000
@@ -159,14 +165,16 @@ def bits_allowed(cosine: float) -> int:
     return int(SKETCH * p + 4 * np.sqrt(SKETCH * p * (1 - p)) + 1)
 
 
-def _meet(reach: int, allowed: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Candidate pairs of a block: at most ``reach`` places apart in the sorted array."""
+def _meet(reach: int, allowed: int, dense: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Candidate pairs of a block, at most ``reach`` places apart in the sorted array.
+
+    A vector in a dense place comes out as a pair with itself, two such ones not as a pair."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(table["entries"].to_pylist()), dtype=_ENTRY)
         e = e[np.lexsort((e["id"], e["string"]))]
         ids, sk = e["id"], np.ascontiguousarray(e["sketch"]).view("<u8")
-        found = []
+        found, near_ones = [], np.zeros(len(e), np.int64)
         for d in range(1, min(reach, len(e) - 1) + 1):
             apart = np.bitwise_count(sk[:-d, 0] ^ sk[d:, 0]).astype(np.uint16)
             near = np.flatnonzero(apart <= allowed)
@@ -176,8 +184,12 @@ def _meet(reach: int, allowed: int) -> Callable[[tuple, pa.Table], pa.Table]:
                 ok = apart <= allowed
                 near, apart = near[ok], apart[ok]
             if len(near):
-                found.append(np.stack([ids[near], ids[near + d]], axis=1))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+                found.append(np.stack([near, near + d], axis=1))
+                near_ones[near] += 1
+                near_ones[near + d] += 1
+        at = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        crowded = near_ones > dense
+        pairs = ids[np.concatenate([at[~crowded[at].all(axis=1)], np.repeat(np.flatnonzero(crowded)[:, None], 2, axis=1)])]
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
         return pa.table({"kind": pa.array([key[0].as_py()] * len(pairs), pa.string()), "a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -185,11 +197,11 @@ def _meet(reach: int, allowed: int) -> Callable[[tuple, pa.Table], pa.Table]:
 
 
 def candidates(vectors: DataFrame, dim: int, cosine: float, trees: int = TREES, reach: int = REACH) -> DataFrame:
-    """(kind, a, b): pairs of ids that meet in some tree and may have that cosine."""
+    """(kind, a, b): pairs of ids that meet in some tree and may have that cosine; a = b in dense places."""
     blocks = fit(vectors, dim, trees)
     return (
         vectors.select("kind", "id", "vec").mapInArrow(_plant(dim, trees, blocks), "kind string, block bigint, entries binary")
-        .groupBy("kind", "block").applyInArrow(_meet(reach, bits_allowed(cosine)), "kind string, a bigint, b bigint")
+        .groupBy("kind", "block").applyInArrow(_meet(reach, bits_allowed(cosine), DENSE), "kind string, a bigint, b bigint")
         .distinct()
     )
 
@@ -203,11 +215,20 @@ def _cosines(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def similar_pairs(vectors: DataFrame, dim: int, cosine: float, trees: int = TREES, reach: int = REACH) -> DataFrame:
+def similar_pairs(vectors: DataFrame, dim: int, cosine: float, k: int, trees: int = TREES, reach: int = REACH) -> DataFrame:
     """(kind, key_a, key_b, cosine) of pairs with at least that cosine, key_a < key_b.
 
-    ``vectors`` is read three times and should be kept (:func:`paperloom.session.cut`)."""
+    In dense places only those among the k most similar of one of the two are sure to come out.
+    ``vectors`` is read several times and should be kept (:func:`paperloom.session.cut`)."""
     pairs = cut(candidates(vectors, dim, cosine, trees, reach))
+    dense = pairs.where("a = b").select("kind", F.col("a").alias("id"))
+    pairs = pairs.where("a <> b")
+    sizes = {r["kind"]: r["n"] for r in dense.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sizes:
+        # k - 1 nearer ones and k + 1 copies of one vector may tie for the last places.
+        near = nearest_of(vectors.join(dense, ["kind", "id"], "left_semi"), vectors.where(F.col("kind").isin(list(sizes))), max(sizes.values()), dim, 2 * k)
+        exact = near.where(F.col("cosine") >= cosine - 1e-6).select("kind", F.least("of_id", "other_id").alias("a"), F.greatest("of_id", "other_id").alias("b"))
+        pairs = cut(pairs.unionByName(exact).distinct())
     few = pairs.count() <= PAIRS_BROADCAST
     side = lambda s: vectors.select("kind", F.col("id").alias(s), F.col("key").alias(f"key_{s}"), F.col("vec").alias(f"vec_{s}"))
     if few:
@@ -240,14 +261,14 @@ def _without_surplus(vectors: DataFrame, k: int) -> DataFrame:
 def mutual_neighbours(parts: dict[str, DataFrame], dim: int = 64, k: int = 10, cosine: float = 0.9, trees: int = TREES, reach: int = REACH) -> DataFrame:
     """(kind, key_a, key_b): each among the k most similar of the other, with at least that cosine."""
     vectors = _without_surplus(cut(unit_vectors(parts, dim)).withColumn("vec_hash", F.xxhash64("vec")), k)
-    return mutual(similar_pairs(vectors, dim, cosine, trees, reach), k)
+    return mutual(similar_pairs(vectors, dim, cosine, k, trees, reach), k)
 
 
 def mutual(pairs: DataFrame, k: int) -> DataFrame:
     both = pairs.select("kind", F.col("key_a").alias("of"), F.col("key_b").alias("other"), "cosine").unionByName(
         pairs.select("kind", F.col("key_b").alias("of"), F.col("key_a").alias("other"), "cosine")
     )
-    # A key has at most 2 * reach * trees candidates, so no group is without bound.
+    # A key has at most 2 * reach * trees candidates, and those in dense places that count it among theirs.
     rank = F.row_number().over(Window.partitionBy("kind", "of").orderBy(F.desc("cosine"), "other"))
     return (
         both.withColumn("r", rank).where(F.col("r") <= k)
@@ -294,6 +315,22 @@ def _nearest(dim: int, k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table
     return run
 
 
+def nearest_of(asked: DataFrame, vectors: DataFrame, most: int, dim: int, k: int) -> DataFrame:
+    """(kind, of_id, other_id, cosine): at least the k most similar of each of ``asked`` (about ``most`` a kind), exact.
+
+    They are held against all vectors of their kind in cells of bounded size; each cell gives its own."""
+    counts = vectors.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()
+    sides = max([1, *(-(-r["n"] // SIDE_BLOCK) for r in counts)])
+    blocks = max(1, -(-most // QUERY_BLOCK))
+    deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Other names, as both sides may come from one table.
+    asked = asked.select(F.col("kind").alias("kind"), F.col("id").alias("id"), F.col("vec").alias("vec"), deal(blocks, 1).alias("qb"), numbers(sides).alias("sb"))
+    side = vectors.select("kind", "id", "vec", deal(sides, 2).alias("sb"), numbers(blocks).alias("qb"))
+    cell = ["kind", "qb", "sb"]
+    return asked.groupBy(*cell).cogroup(side.groupBy(*cell)).applyInArrow(_nearest(dim, k), "kind string, of_id bigint, other_id bigint, cosine double")
+
+
 def nearest(vectors: DataFrame, dim: int, k: int = 10, every: int = 20) -> DataFrame:
     """(kind, of, other, rank, cosine): the k most similar others of every ``every``-th vector, exact.
 
@@ -302,15 +339,8 @@ def nearest(vectors: DataFrame, dim: int, k: int = 10, every: int = 20) -> DataF
     end. Between unrelated vectors the k nearest have no long common prefix in any tree, so the
     forest would have to ascend to most of the array; it serves the near ones (:func:`mutual_neighbours`).
     ``vectors`` is (kind, key, id, vec) and is read twice."""
-    counts = vectors.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()
-    sides = max([1, *(-(-r["n"] // SIDE_BLOCK) for r in counts)])
-    blocks = max([1, *(-(-r["n"] // (every * QUERY_BLOCK)) for r in counts)])
-    deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = vectors.where(F.pmod("id", F.lit(every)) == 0).select("kind", "id", "vec", deal(blocks, 1).alias("qb"), numbers(sides).alias("sb"))
-    side = vectors.select("kind", "id", "vec", deal(sides, 2).alias("sb"), numbers(blocks).alias("qb"))
-    cell = ["kind", "qb", "sb"]
-    found = asked.groupBy(*cell).cogroup(side.groupBy(*cell)).applyInArrow(_nearest(dim, k), "kind string, of_id bigint, other_id bigint, cosine double")
+    most = max([0, *(r["n"] for r in vectors.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect())])
+    found = nearest_of(vectors.where(F.pmod("id", F.lit(every)) == 0), vectors, -(-most // every), dim, k)
     name = lambda s: vectors.select("kind", F.col("id").alias(f"{s}_id"), F.col("key").alias(s))
     # Ties of the cosine go to the smaller key; at most k + 6 rows a cell and query are ranked.
     rank = F.row_number().over(Window.partitionBy("kind", "of").orderBy(F.desc("cosine"), "other"))

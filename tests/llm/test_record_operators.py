@@ -143,6 +143,21 @@ def test_forest_finds_the_mutual_neighbours(spark):
     assert len(got - want) <= 2  # rounding at the limit
 
 
+def test_forest_in_a_dense_group(spark):
+    """Many near, not equal, vectors: the ten nearest need not be next to each other in any tree."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((5500, 64)).astype(np.float32)
+    x[:4000] = x[0] + 0.12 * rng.standard_normal((4000, 64)).astype(np.float32)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    near = np.zeros(s.shape, bool)
+    np.put_along_axis(near, np.argsort(-s, axis=1)[:, :10], True, axis=1)
+    want = {(f"k{i:04d}", f"k{j:04d}") for i, j in zip(*np.nonzero(np.triu(near & near.T & (s >= 0.9))))}
+    got = {(r.key_a, r.key_b) for r in forest.mutual_neighbours(vectors(spark, x)).collect()}
+    assert len(got & want) >= 0.999 * len(want) > 3000 and len(got - want) <= 0.001 * len(want)
+
+
 def test_nearest_is_brute_force(spark, monkeypatch):
     monkeypatch.setattr(forest, "QUERY_BLOCK", 20)
     monkeypatch.setattr(forest, "SIDE_BLOCK", 300)
