@@ -325,9 +325,12 @@ def equation_extract(spark, d):
     return X.equations(current_chunks(spark, d)).select("chunk_id", "entity_id", (F.col("properties")["is_loss_fn"] == "true").alias("is_loss"))
 
 
+METRICS = ["accuracy", "recovery", "baseline"]
+
+
 @query()
 def result_extract(spark, d):
-    return X.results(current_chunks(spark, d), ["accuracy", "recovery", "baseline"])
+    return X.results(current_chunks(spark, d), METRICS)
 
 
 CONCEPT_ENDINGS = ["lattice", "membrane", "receptor", "kinase", "channel", "oxide", "polymer", "pathway", "plasmid", "isotope"]
@@ -338,20 +341,27 @@ def concept_extract(spark, d):
     return X.concepts(current_chunks(spark, d), endings=CONCEPT_ENDINGS)
 
 
+METHODS = {"suffixes": ["metry", "scopy", "graphy", "ation"], "lexicon": ["linear fit"]}
+
+
 @query()
 def method_extract(spark, d):
-    return X.methods(current_chunks(spark, d), suffixes=["metry", "scopy", "graphy", "ation"], lexicon=["linear fit"])
+    return X.methods(current_chunks(spark, d), **METHODS)
+
+
+DATASET_NOUNS = ["survey", "cohort", "catalogue", "registry", "benchmark", "archive", "panel", "atlas"]
 
 
 @query()
 def dataset_extract(spark, d):
-    return X.datasets(current_chunks(spark, d), ["survey", "cohort", "catalogue", "registry", "benchmark", "archive", "panel", "atlas"])
+    return X.datasets(current_chunks(spark, d), DATASET_NOUNS)
 
 
 @query()
 def chunk_salience(spark, d):
     c = current_chunks(spark, d).select("chunk_id", "paper_id", "text", "chunk_type", "word_count")
     e = X.claims(c).unionByName(X.equations(c)).unionByName(X.concepts(c, endings=CONCEPT_ENDINGS))
+    e = e.unionByName(X.results(c, METRICS)).unionByName(X.methods(c, **METHODS)).unionByName(X.datasets(c, DATASET_NOUNS))
     return X.salience(c, e)
 
 

@@ -14,6 +14,7 @@ from paperloom.operators import extraction as X
 from paperloom.operators import graph as G
 from paperloom.operators import ranking as R
 from paperloom.operators import state as S
+from paperloom.plans.graph_queries import QUERIES
 
 
 def one(spark, expr, **cols):
@@ -81,6 +82,25 @@ def test_results_and_methods(spark):
     assert any(x.endswith("flash imaging") for x in labels) and any(x.endswith("mass spectrometry") for x in labels)
 
 
+@pytest.fixture
+def articles(spark, tmp_path):
+    """A folder with chunks (chunk_id, text, chunk_type) of one paper."""
+
+    def write(chunks, keywords=(), abstract=""):
+        spark.createDataFrame([(c, "p", text, kind, 10, 1) for c, text, kind in chunks], "chunk_id string, paper_id string, text string, chunk_type string, word_count int, ingested_at int").write.parquet(f"{tmp_path}/chunks.parquet")
+        spark.createDataFrame([("p", "Title", abstract, list(keywords), 1)], "paper_id string, title string, abstract string, keywords array<string>, ingested_at int").write.parquet(f"{tmp_path}/papers.parquet")
+        return str(tmp_path)
+
+    return write
+
+
+def test_salience_counts_all_six_kinds(spark, articles):
+    d = articles([("r", "recovery was 92 % and 3 fold.", "discussion"), ("m", "by flash imaging", "x"), ("n", "nothing here", "x")])
+    got = {r.chunk_id: r.salience for r in QUERIES["chunk_salience"](spark, d).collect()}
+    # 0.10 + 0.22 * 2/3 + 0.10 * 0.83 + 10/180 + 0.10; 0.10 + 0.15 * 1/2 + 0.10 * 0.55 + 10/180
+    assert got == {"r": 0.49, "m": 0.29, "n": 0.15}
+
+
 def test_schema_inheritance_and_validation(spark):
     schemas = {"a": X.Schema("a", {"claim": ["text"]}, (X.Rule("claim", "min_words", "text", 3),)), "b": X.Schema("b", {"claim": ["name"]}, (), "a"), "x": X.Schema("x", {}, (), "y"), "y": X.Schema("y", {}, (), "x")}
     assert X.resolve(schemas, "b").required == {"claim": ["text", "name"]}
