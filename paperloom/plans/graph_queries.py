@@ -336,9 +336,13 @@ def result_extract(spark, d):
 CONCEPT_ENDINGS = ["lattice", "membrane", "receptor", "kinase", "channel", "oxide", "polymer", "pathway", "plasmid", "isotope"]
 
 
+def with_keywords(spark, d, chunks):
+    return chunks.join(current_papers(spark, d).select("paper_id", "keywords"), "paper_id", "left")
+
+
 @query()
 def concept_extract(spark, d):
-    return X.concepts(current_chunks(spark, d), endings=CONCEPT_ENDINGS)
+    return X.concepts(with_keywords(spark, d, current_chunks(spark, d).select("chunk_id", "paper_id", "text")), "keywords", CONCEPT_ENDINGS)
 
 
 METHODS = {"suffixes": ["metry", "scopy", "graphy", "ation"], "lexicon": ["linear fit"]}
@@ -360,7 +364,7 @@ def dataset_extract(spark, d):
 @query()
 def chunk_salience(spark, d):
     c = current_chunks(spark, d).select("chunk_id", "paper_id", "text", "chunk_type", "word_count")
-    e = X.claims(c).unionByName(X.equations(c)).unionByName(X.concepts(c, endings=CONCEPT_ENDINGS))
+    e = X.claims(c).unionByName(X.equations(c)).unionByName(X.concepts(with_keywords(spark, d, c), "keywords", CONCEPT_ENDINGS))
     e = e.unionByName(X.results(c, METRICS)).unionByName(X.methods(c, **METHODS)).unionByName(X.datasets(c, DATASET_NOUNS))
     return X.salience(c, e)
 

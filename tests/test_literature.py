@@ -101,6 +101,14 @@ def test_salience_counts_all_six_kinds(spark, articles):
     assert got == {"r": 0.49, "m": 0.29, "n": 0.15}
 
 
+def test_concepts_of_keywords_capitals_and_titles(spark, articles):
+    d = articles([("k", "seen in slow wexerucor flow", "x"), ("c", "the AB CD EF unit", "x")], ["Wexerucor", "absent"])
+    got = {(r.chunk_id, r.label): r.confidence for r in QUERIES["concept_extract"](spark, d).collect()}
+    assert got[("k", "Wexerucor")] == 0.92 and got[("c", "AB CD EF")] == 0.72 and ("k", "absent") not in got
+    ch = spark.createDataFrame([("a", "p", "nothing here", "results", "Flow of  heat"), ("b", "p", "GABA rises", "results", "Other"), ("c", "p", "nothing", "methods", "Setup"), ("d", "p", "nothing", "abstract", "Abstract")], "chunk_id string, paper_id string, text string, chunk_type string, title string")
+    assert {(r.chunk_id, r.label, r.confidence) for r in X.concepts(ch, title="title").collect()} == {("a", "Flow of heat", 0.48), ("b", "GABA", 0.86)}
+
+
 def test_schema_inheritance_and_validation(spark):
     schemas = {"a": X.Schema("a", {"claim": ["text"]}, (X.Rule("claim", "min_words", "text", 3),)), "b": X.Schema("b", {"claim": ["name"]}, (), "a"), "x": X.Schema("x", {}, (), "y"), "y": X.Schema("y", {}, (), "x")}
     assert X.resolve(schemas, "b").required == {"claim": ["text", "name"]}
