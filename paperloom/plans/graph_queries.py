@@ -358,14 +358,14 @@ DATASET_NOUNS = ["survey", "cohort", "catalogue", "registry", "benchmark", "arch
 
 @query()
 def dataset_extract(spark, d):
-    return X.datasets(current_chunks(spark, d), DATASET_NOUNS)
+    return X.datasets(current_chunks(spark, d), DATASET_NOUNS, X.dataset_registry(current_papers(spark, d)))
 
 
 @query()
 def chunk_salience(spark, d):
     c = current_chunks(spark, d).select("chunk_id", "paper_id", "text", "chunk_type", "word_count")
     e = X.claims(c).unionByName(X.equations(c)).unionByName(X.concepts(with_keywords(spark, d, c), "keywords", CONCEPT_ENDINGS))
-    e = e.unionByName(X.results(c, METRICS)).unionByName(X.methods(c, **METHODS)).unionByName(X.datasets(c, DATASET_NOUNS))
+    e = e.unionByName(X.results(c, METRICS)).unionByName(X.methods(c, **METHODS)).unionByName(X.datasets(c, DATASET_NOUNS, X.dataset_registry(current_papers(spark, d))))
     return X.salience(c, e)
 
 

@@ -109,6 +109,15 @@ def test_concepts_of_keywords_capitals_and_titles(spark, articles):
     assert {(r.chunk_id, r.label, r.confidence) for r in X.concepts(ch, title="title").collect()} == {("a", "Flow of heat", 0.48), ("b", "GABA", 0.86)}
 
 
+def test_datasets_of_definitions_pairs_and_the_registry(spark, articles):
+    d = articles([
+        ("d", "we took the treated older mice (TOM) home", "x"), ("v", "effect of H1 vs. H22 here", "x"), ("p", "split between P53 and calm", "x"), ("r", "more weight in lhc, and  less", "x"), ("s", "in the late\nhelper  cohort too", "x"), ("n", "we saw slow things (ST) here", "x"),
+    ], abstract="Late helper cohort (LHC) and others.")
+    got = {(r.chunk_id, r.label) for r in QUERIES["dataset_extract"](spark, d).collect()}
+    assert {x for x in got if x[0] in "vprsn"} == {("v", "H1"), ("v", "H22"), ("p", "P53"), ("r", "Late helper cohort (LHC)"), ("s", "Late helper cohort (LHC)")}
+    assert all(x[1].endswith("treated older mice (TOM)") for x in got if x[0] == "d")
+
+
 def test_schema_inheritance_and_validation(spark):
     schemas = {"a": X.Schema("a", {"claim": ["text"]}, (X.Rule("claim", "min_words", "text", 3),)), "b": X.Schema("b", {"claim": ["name"]}, (), "a"), "x": X.Schema("x", {}, (), "y"), "y": X.Schema("y", {}, (), "x")}
     assert X.resolve(schemas, "b").required == {"claim": ["text", "name"]}
