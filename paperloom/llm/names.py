@@ -3,15 +3,19 @@
 1. A row is read into a *profile*: kind (person or group), surname, first name, middle
    initials, and what stands beside it (ORCID digits, e-mail, universities). Rows with equal
    profiles are one profile with many members, so copies are never paired.
-2. Surnames that may be spellings of one another are found by a distributed sparse cosine join:
-   vectors of letter trigrams weighted by inverse document frequency, joined on the rarest
-   grams only (the prefix that any pair with the wanted cosine must share), then held against
-   the number of keyboard slips.
-3. Profiles meet under (kind, surname, initial), near spellings of the surname included, whatever
-   the size of that block; a large one is dealt out into cells, and every two cells meet. Inside,
-   two (surname, first name) are held against each other once, and only their profiles are scored.
-4. Each pair is scored by name agreement and evidence; average-linkage clustering inside the
-   connected components of pairs at or above the threshold gives the entities.
+2. A name is a vector in blocks: surname, first name, initials. Surnames are vectors of letter
+   trigrams and of unordered pairs of letters at most two places apart (so a swap of neighbours
+   changes little), weighted by inverse document frequency over all distinct surnames. Those of
+   people with a common initial are joined by a sparse cosine join (:func:`cosine_join`): only the
+   rarest grams are joined, the ones that any pair at ``FLOOR`` must share, and the exact cosine
+   decides. Every pair at the floor comes out; a number of partners is never the limit.
+3. A profile meets those of its own surname and those of each near one, under an initial they may
+   share; a large block is dealt out into cells, and every two cells meet.
+4. :func:`score` turns the cosines of the blocks and the agreement of what stands beside the names
+   into a similarity (a logistic model, :data:`WEIGHTS`); everyday short forms of first names
+   enter the cosine of the first names only. Average-linkage clustering inside the connected
+   components of pairs at or above the threshold gives the entities; components too large for one
+   task are clustered by rounds of merging nearest neighbours (:func:`linkage_rounds`).
 
 Null, empty and blank full names fall back to given name and surname; a row with no name at all
 is linked to nothing. Missing fields say nothing either way. Repeated rows of one author_no
@@ -22,9 +26,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from math import exp
 
 import numpy as np
 import pandas as pd
@@ -37,8 +43,24 @@ from paperloom.session import cut, shuffle_width
 
 #: Profiles of a cell of a block of equal surname and initial.
 CELL = 512
-SURNAME_COSINE = 0.45
+#: Cosine from which two surnames may be spellings of one.
+FLOOR = 0.35
+#: Grams are told apart by this many hash buckets, so their weights are a table of fixed size.
+BUCKETS = 1 << 16
+#: What a half of a double surname counts for the whole.
+HALF = 0.9
 LINK = 0.5
+#: Similarities below this count as none.
+NOUGHT = 0.02
+#: Pairs of a component up to which it is clustered in one task.
+ONE_TASK = 200_000
+#: A logistic model of two profiles being of one person: fitted on the pairs of people with an
+#: ORCID each (sf0.1); those of the ORCID itself, and of what such pairs hardly show (an unlike first
+#: or middle name), are set.
+WEIGHTS = {
+    "one": 2.4, "far": -2.5, "far2": -6.9, "whole": 0.4, "first": 0.3, "first2": -6.0, "no_first": -1.0, "middle": 0.3, "other_middle": -5.0, "email": 1.0,
+    "place": 3.0, "other_place": -6.3, "orcid": 3.0, "other_orcid": -3.0, "other_orcid_alone": -6.0,
+}
 
 # Everyday short forms of given names, and words that are no part of a name.
 SHORT_FORMS = {
@@ -53,6 +75,7 @@ SHORT_FORMS = {
     "andrew": "andy drew", "james": "jim jimmy", "john": "jack johnny", "jonathan": "jon", "stephen": "steve", "peter": "pete", "david": "dave", "ursula": "ulla",
 }
 TITLES = frozenset("dr prof professor phd md msc bsc ba ma mba dphil jr sr ii iii iv mr mrs ms miss mme herr frau dipl ing med rer nat mag sir".split())
+PARTICLES = frozenset("de del della di da do dos das du des la le el van von der den ter zu y".split())
 GROUP_WORDS = {"consort": "consortium", "consortium": "consortium", "group": "group", "grp": "group", "invest": "investigators", "investigators": "investigators", "netw": "network", "network": "network", "collab": "collaboration", "collaboration": "collaboration"}
 GROUP_EXTRA = frozenset("the on behalf of for and st study cohort imaging trial genome".split())
 _FORMAL: dict[str, frozenset[str]] = {}
@@ -65,9 +88,13 @@ for _x in GIVEN:
     _BY_LETTER.setdefault(len(_x), []).append(_x)
 
 
-def letters(text: str) -> str:
+def unaccented(text: str) -> str:
     text = text.replace("ø", "o").replace("Ø", "O").replace("ł", "l").replace("ß", "ss").replace("æ", "ae").replace("đ", "d")
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+def letters(text: str) -> str:
+    return unaccented(text).casefold()
 
 
 def given_slips(token: str) -> int:
@@ -88,18 +115,19 @@ def given_slips(token: str) -> int:
 def read_name(full: str | None, given: str | None = None, surname: str | None = None) -> tuple[str, str, str, str] | None:
     """(kind, surname, first, middle initials); first is a whole name or a letter or empty."""
     text = (full or "").strip() or " ".join(x for x in ((given or "").strip(), (surname or "").strip()) if x)
-    text = letters(re.sub(r"\s+", " ", text))
+    text = unaccented(re.sub(r"\s+", " ", text))
     text = re.sub(r"\([^()]*\)", " ", text)
     if not re.search(r"\w", text):
         return None
-    words = re.findall(r"[^\W\d_]+", text)
+    words = re.findall(r"[^\W\d_]+", text.casefold())
     heads = [GROUP_WORDS[w] for w in words if w in GROUP_WORDS]
     if heads:
         own = [w for w in words if w not in GROUP_WORDS and w not in GROUP_EXTRA]
         return ("group", "".join(own), heads[0], "") if own else None
     parts = []
     for p in text.split(","):
-        tokens = [t for t in re.split(r"\s+", p.strip()) if t and t.strip(".") not in TITLES]
+        # A particle belongs to the surname but is left out by many hands; in capitals it is initials.
+        tokens = [t for t in re.split(r"\s+", p.strip()) if t and t.strip(".").casefold() not in TITLES and (t.isupper() or t.casefold() not in PARTICLES)]
         if tokens:
             parts.append(tokens)
     if not parts:
@@ -109,17 +137,17 @@ def read_name(full: str | None, given: str | None = None, surname: str | None =
         """Initials, and whole names."""
         short, whole = [], []
         for t in tokens:
-            bare = re.sub(r"[^\w'-]", "", t)
+            bare = re.sub(r"[^\w'-]", "", t.casefold())
             if re.fullmatch(r"(\w\.[ -]?)*\w\.?", t) and (len(bare.replace("-", "")) <= 1 or "." in t):
                 short += [c for c in bare if c.isalpha()]
-            elif len(bare) <= 2 and bare.isalpha():
+            elif len(bare) <= 2 and bare.isalpha() and (t.isupper() or (t.islower() and bare not in _FORMAL)):
                 short += list(bare)
             elif bare:
                 whole.append(bare.strip("-'"))
         return short, whole
 
     if len(parts) >= 2:
-        last = "".join(split(parts[0])[1]) or "".join(parts[0])
+        last = "".join(split(parts[0])[1]) or "".join(parts[0]).casefold()
         short, whole = split([t for p in parts[1:] for t in p])
         if whole and len(whole) == 1 and len(parts[0]) == 1 and given_slips(whole[0]) > given_slips(last):
             last, whole = whole[0], [last]
@@ -203,145 +231,162 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def surname_pairs(surnames: DataFrame, cosine: float = SURNAME_COSINE) -> DataFrame:
-    """(a, b, apart): ordered pairs of distinct surnames that may be spellings of one another."""
-    padded = F.concat(F.lit("^"), F.col("surname"), F.lit("$"))
-    grams = surnames.where(F.length("surname") >= 2).select(
-        "surname", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))).alias("gram")
-    )
-    n = surnames.count()
-    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    weighted = grams.join(df.where("df > 1"), "gram", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("w", F.log1p(F.lit(float(n)) / F.col("df")))
-    total = Window.partitionBy("surname")
-    rarest = total.orderBy(F.desc("w"), "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    units = weighted.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(total))).withColumn("u", F.col("w") / F.col("norm"))
-    units = units.withColumn("rest", F.sqrt(F.sum(F.col("u") * F.col("u")).over(rarest)))
-    # What follows the prefix weighs less than the wanted cosine, so a pair that shares no gram
-    # of both prefixes cannot reach it. Grams of one surname alone meet nobody.
-    prefix = units.where((F.col("rest") >= cosine) & (F.col("df") > 1)).select("gram", "surname")
-    # An edit distance in the JVM leaves out what cannot be near before anything is shuffled again
-    # (a swap of neighbours is one slip but two edits).
-    met = (
-        prefix.join(prefix.select("gram", F.col("surname").alias("b")), "gram")
-        .where((F.col("surname") < F.col("b")) & (F.abs(F.length("surname") - F.length("b")) <= 3))
-        .where(F.levenshtein("surname", "b", 4) >= 0)
-        .select(F.col("surname").alias("a"), "b").distinct()
-    )
+def grams_of(word: str) -> list[int]:
+    """The buckets of a word's trigrams and unordered near pairs of letters, its ends marked."""
+    p = f"^{word}$"
+    out = {p[i : i + 3] for i in range(len(p) - 2)}
+    out |= {"u" + "".join(sorted(p[i] + p[i + k])) for k in (1, 2) for i in range(len(p) - k)}
+    return sorted({zlib.crc32(g.encode()) % BUCKETS for g in out})
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
-            keep, apart = [], []
-            for i, (x, y) in enumerate(zip(a, b)):
-                most = surname_slips(x, y)
-                if most and (s := slips(x, y, most)) <= most:
-                    keep.append(i)
-                    apart.append(s)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["a"].take(at), batch["b"].take(at), pa.array(apart, pa.int32())], ["a", "b", "apart"])
 
-    return met.mapInArrow(near, "a string, b string, apart int")
+def vector(word: str, weights: np.ndarray) -> dict[int, float]:
+    """The word's unit vector."""
+    v = {g: float(weights[g]) for g in grams_of(word)}
+    norm = sum(x * x for x in v.values()) ** 0.5
+    return {g: x / norm for g, x in v.items()} if norm else {}
 
 
-def surname_slips(x: str, y: str) -> int:
-    shorter = min(len(x), len(y))
-    return 3 if shorter >= 9 else 2 if shorter >= 7 else 1 if shorter >= 4 else 0
+def cosine(x: dict[int, float], y: dict[int, float]) -> float:
+    if len(x) > len(y):
+        x, y = y, x
+    return min(1.0, sum(v * y[g] for g, v in x.items() if g in y))
 
 
-@lru_cache(1 << 16)
-def surnames_apart(x: str, y: str) -> int:
-    """Slips between two surnames; one half of a double surname may stand for the whole; 9 if too far."""
-    if x == y:
-        return 0
-    whole = slips(x, y, 3)
-    if whole <= surname_slips(x, y):
-        return whole
-    if "-" in x or "-" in y:
-        best = 9
-        for p in x.split("-"):
-            for q in y.split("-"):
-                if (len(p) == len(x) or len(q) == len(y)) and min(len(p), len(q)) >= 4:
-                    k = slips(p, q, 2)
-                    if k <= surname_slips(p, q):
-                        best = min(best, k + 1)
-        return best
-    return 9
+def _gram_rows(weights: np.ndarray | None, floor: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """All grams of the words; with weights only the prefix that a pair at the floor must share.
+
+    ``u`` is a gram's weight in the unit vector, ``rest`` the norm of what comes after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, gram, u, rest = [], [], [], []
+            for i, word in enumerate(b["word"].to_pylist()):
+                if weights is None:
+                    gs = grams_of(word)
+                    at += [i] * len(gs)
+                    gram += gs
+                    continue
+                left = 1.0
+                for g, x in sorted(vector(word, weights).items(), key=lambda e: (-weights[e[0]], e[0])):
+                    if left < floor * floor:
+                        break
+                    left -= x * x
+                    at.append(i)
+                    gram.append(g)
+                    u.append(x)
+                    rest.append(max(0.0, left) ** 0.5)
+            take = [b[c].take(pa.array(at, pa.int64())) for c in (["word"] if weights is None else ["key", "word"])]
+            if weights is None:
+                yield pa.RecordBatch.from_arrays([*take, pa.array(gram, pa.int32())], ["word", "gram"])
+            else:
+                yield pa.RecordBatch.from_arrays([*take, pa.array(gram, pa.int32()), pa.array(u, pa.float32()), pa.array(rest, pa.float32())], ["key", "word", "gram", "u", "rest"])
+
+    return run
+
+
+def gram_weights(words: DataFrame) -> np.ndarray:
+    """Inverse document frequencies over the distinct words, by bucket (a table of fixed size)."""
+    n = max(1, words.count())
+    df = words.select("word").mapInArrow(_gram_rows(None, 0.0), "word string, gram int").groupBy("gram").agg(F.count(F.lit(1)).alias("df")).toPandas()
+    weights = np.full(BUCKETS, np.log1p(n), dtype=np.float32)
+    weights[df["gram"].to_numpy(np.int64)] = np.log1p(n / df["df"].to_numpy())
+    return weights
+
+
+def cosine_join(words: DataFrame, weights: np.ndarray, floor: float = FLOOR) -> DataFrame:
+    """(key, a, b, cosine): the pairs a < b of ``words(key, word)`` under one key at the floor or above.
+
+    Two words at the floor share a gram of both prefixes; at the first they share, the product of
+    its weights and of the norms behind it bounds the cosine, so a pair below that is left out
+    before anything is shuffled."""
+    prefix = words.mapInArrow(_gram_rows(weights, floor), "key string, word string, gram int, u float, rest float")
+    other = prefix.select("key", "gram", F.col("word").alias("b"), F.col("u").alias("u_b"), F.col("rest").alias("rest_b"))
+    bound = F.col("u") * F.col("u_b") + F.col("rest") * F.col("rest_b")
+    met = prefix.join(other, ["key", "gram"]).where((F.col("word") < F.col("b")) & (bound >= floor - 1e-4)).select("key", F.col("word").alias("a"), "b").distinct()
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lru_cache(1 << 16)(lambda w: vector(w, weights))
+        for b in batches:
+            c = np.array([cosine(of(x), of(y)) for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist())], dtype=np.float64)
+            at = pa.array(np.flatnonzero(c >= floor))
+            yield pa.RecordBatch.from_arrays([*(b[x].take(at) for x in ("key", "a", "b")), pa.array(c[c >= floor])], ["key", "a", "b", "cosine"])
+
+    return met.mapInArrow(exact, "key string, a string, b string, cosine double")
+
+
+_EVEN = np.ones(BUCKETS, dtype=np.float32)
+
+
+@lru_cache(1 << 14)
+def _plain(word: str) -> dict[int, float]:
+    return vector(word, _EVEN)
 
 
 @lru_cache(1 << 16)
-def first_names(f: str, g: str) -> float | None:
-    """What two first names, letters or empty ones say for one person; None if they say no."""
-    if not (f and g):
-        return -0.1
-    if len(f) > 1 and len(g) > 1:
-        if f == g:
-            return 0.12
-        if formal(f) & formal(g):
-            return 0.08
-        return 0.03 if slips(f, g, 2) <= (1 if min(len(f), len(g)) <= 5 else 2) else None
-    return -0.02 if initials(f) & initials(g) else None
-
-
-def may_agree(kind: str, x: tuple[str, str], y: tuple[str, str]) -> bool:
-    """Whether profiles of these (surname, first) can score above 0."""
-    if surnames_apart(x[0], y[0]) > 3:
-        return False
-    return x[1] == y[1] if kind == "group" else first_names(x[1], y[1]) is not None
-
-
-def score(a: tuple, b: tuple) -> float:
-    """Agreement of two profiles (kind, surname, first, middle, orcid, email, unis) in [0, 1]."""
+def first_cosine(f: str, g: str) -> float:
+    """The cosine of two first names, or of the formal names they may stand for."""
+    return max(cosine(_plain(x), _plain(y)) for x in {f, *_FORMAL.get(f, ())} for y in {g, *_FORMAL.get(g, ())})
+
+
+def facts(near: float, a: tuple, b: tuple) -> dict[str, float] | None:
+    """What two profiles (kind, surname, first, middle, orcid, email, unis) with surnames of that
+    cosine have in common; nothing if they are of two kinds or their initials differ."""
     if a[0] != b[0]:
-        return 0.0
-    apart = surnames_apart(a[1], b[1])
-    if apart > 3:
-        return 0.0
+        return None
+    far = 1.0 - near
+    out = {"one": 1.0, "far": far, "far2": far * far}
     if a[0] == "group":
-        return 0.9 - 0.1 * apart if a[2] == b[2] else 0.0
-    same_orcid = bool(a[4]) and a[4] == b[4]
-    same_email = bool(a[5]) and a[5] == b[5]
-    if apart > 2 and not (same_orcid or same_email):
-        return 0.0
-    first = first_names(a[2], b[2])
-    if first is None:
-        return 0.0
-    s = 0.55 - 0.06 * apart + first
+        return out if a[2] == b[2] else None
+    if a[2] and b[2]:
+        if len(a[2]) > 1 and len(b[2]) > 1:
+            c = first_cosine(a[2], b[2])
+            out |= {"whole": 1.0, "first": c, "first2": (1 - c) ** 2}
+        elif not initials(a[2]) & initials(b[2]):
+            return None
+    else:
+        out["no_first"] = 1.0
     if a[3] and b[3]:
-        s += 0.12 if a[3][0] == b[3][0] else -0.5
+        out["middle" if a[3][0] == b[3][0] else "other_middle"] = 1.0
     shared = bool(set(a[6]) & set(b[6]))
-    if same_orcid:
-        s += 0.4
-    elif a[4] and b[4]:
-        # An ORCID is now and then a wrong one; a shared place speaks louder.
-        s -= 0.15 if shared or same_email else 0.45
+    same_email = bool(a[5]) and a[5] == b[5]
     if same_email:
-        s += 0.25
+        out["email"] = 1.0
     if shared:
-        s += 0.25
+        out["place"] = 1.0
     elif a[6] and b[6]:
-        s -= 0.45
-    return min(1.0, max(0.0, s))
+        out["other_place"] = 1.0
+    if a[4] and b[4]:
+        # An ORCID is now and then a wrong one; a shared place speaks louder.
+        out["orcid" if a[4] == b[4] else "other_orcid" if shared or same_email else "other_orcid_alone"] = 1.0
+    return out
+
+
+def score(near: float, a: tuple, b: tuple) -> float:
+    """The similarity of two profiles whose surnames have the cosine ``near``, from 0 to 1."""
+    got = facts(near, a, b)
+    return 0.0 if got is None else 1.0 / (1.0 + exp(-sum(WEIGHTS[k] * v for k, v in got.items())))
 
 
 _FIELDS = ("kind", "surname", "first", "middle", "orcid", "email", "unis")
 
 
 def _met(rows: list[tuple], one: bool) -> Iterator[tuple[int, int, float]]:
-    """(a, b, sim), a < b, of the rows (cell, pid, *profile) of two cells, or of one with itself."""
-    named: dict[tuple[str, str], list[tuple]] = {}
+    """(a, b, sim), a < b, of the rows (cell, near, pid, *profile) of two cells, or of one with itself.
+
+    Those of the block's own surname (near = 1) meet one another and the visitors."""
+    named: dict[tuple[float, str, str], list[tuple]] = {}
     for r in rows:
-        named.setdefault((r[3], r[4]), []).append(r)
-    alike = list(named)
-    for i, x in enumerate(alike):
-        for y in alike[i:]:
-            if not may_agree(rows[0][2], x, y):
+        named.setdefault((r[1], r[4], r[5]), []).append(r)
+    own = [x for x in named if x[0] >= 1.0]
+    for i, x in enumerate(own):
+        for y in [*own[i:], *(v for v in named if v[0] < 1.0)]:
+            near = y[0]
+            if facts(near, named[x][0][3:], named[y][0][3:]) is None:
                 continue
             for n, p in enumerate(named[x]):
                 for q in named[x][n + 1 :] if x == y else named[y]:
-                    if one or p[0] != q[0]:
-                        a, b = (p, q) if p[1] < q[1] else (q, p)
-                        if (s := score(a[2:], b[2:])) > 0:
-                            yield a[1], b[1], s
+                    if p[2] != q[2] and (one or p[0] != q[0]) and (s := score(near, p[3:], q[3:])) >= NOUGHT:
+                        yield min(p[2], q[2]), max(p[2], q[2]), s
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +395,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def blocks() -> Iterator[tuple[list[tuple], bool]]:
         at, held = ("", 0, 0), []
         for b in batches:
-            for key, low, high, *row in zip(*(b[c].to_pylist() for c in ("key", "low", "high", "cell", "pid", *_FIELDS))):
+            for key, low, high, *row in zip(*(b[c].to_pylist() for c in ("key", "low", "high", "cell", "near", "pid", *_FIELDS))):
                 if (key, low, high) != at:
                     yield held, at[1] == at[2]
                     at, held = (key, low, high), []
@@ -429,47 +474,81 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def scored_pairs(profiles: DataFrame) -> DataFrame:
-    """(a, b, sim): all profiles with a score that share a key (kind, surname, initial), a < b."""
-    keyed = profiles.select("pid", "kind", "first").mapInArrow(_keys, "pid bigint, letters array<string>")
-    near = cut(surname_pairs(profiles.select(F.explode(F.array_union(F.array("surname"), F.split("surname", "-"))).alias("surname")).distinct()))
-    # A double surname is also met under each of its halves.
-    own = profiles.select(F.col("surname").alias("a"), F.explode(F.array_union(F.array("surname"), F.split("surname", "-"))).alias("b")).distinct()
-    around = near.select("a", "b").union(near.select(F.col("b"), F.col("a"))).union(own).distinct()
-    halves = own.where("a <> b").join(around.withColumnRenamed("b", "c").withColumnRenamed("a", "half"), F.col("b") == F.col("half")).select("a", F.col("c").alias("b"))
-    around = around.union(halves).distinct()
-    # A profile is met under its own surname and under those close to it.
-    spread = cut(
-        profiles.join(keyed, "pid").join(around, F.col("surname") == F.col("a"))
-        .select(F.explode("letters").alias("l"), F.col("b").alias("s"), "pid", *_FIELDS)
-        .select(F.concat_ws("|", "kind", "s", "l").alias("key"), "pid", *_FIELDS)
+def linkage_rounds(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(pid, entity): average linkage of ``pairs(a, b, sim)``, a < b, by rounds of joins.
+
+    In each round every two clusters that are each other's nearest at the threshold merge; average
+    linkage never makes a third one nearer than both were, so this is the order of the greedy one.
+    Ties go to the smaller ids. Nothing is gathered; a round shuffles the pairs of clusters left."""
+    ends = pairs.select(F.col("a").alias("pid")).union(pairs.select(F.col("b").alias("pid"))).distinct()
+    member = cut(ends.select("pid", F.col("pid").alias("entity")))
+    links = cut(pairs.select("a", "b", F.col("sim").alias("total")))
+    while True:
+        size = member.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+        of = lambda s: size.select(F.col("entity").alias(s), F.col("n").alias(f"n_{s}"))
+        mean = links.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.col("total") / (F.col("n_a") * F.col("n_b"))).alias("mean")).where(F.col("mean") >= threshold)
+        both = mean.select("a", "b", "mean").union(mean.select(F.col("b"), F.col("a"), "mean"))
+        best = both.groupBy("a").agg(F.min_by(F.struct("b"), F.struct(-F.col("mean"), F.least("a", "b"), F.greatest("a", "b"))).alias("x")).select("a", F.col("x.b").alias("b"))
+        mutual = cut(best.join(best.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).where("a < b"))
+        if not mutual.limit(1).count():
+            return member
+        now = lambda s: mutual.select(F.col("b").alias(s), F.col("a").alias(f"now_{s}"))
+        member = cut(member.join(now("entity"), "entity", "left").select("pid", F.coalesce("now_entity", "entity").alias("entity")))
+        moved = links.join(now("a"), "a", "left").join(now("b"), "b", "left").select(F.coalesce("now_a", "a").alias("x"), F.coalesce("now_b", "b").alias("y"), "total").where("x <> y")
+        links = cut(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("total").alias("total")))
+
+
+def scored_pairs(profiles: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """(a, b, sim): all profiles with a similarity whose surnames are near and whose initials may agree, a < b."""
+    letter = profiles.select("pid", "kind", "first").mapInArrow(_keys, "pid bigint, letters array<string>")
+    keyed = cut(profiles.join(letter, "pid").select("pid", F.explode("letters").alias("l"), *_FIELDS).withColumn("key", F.concat_ws("|", "kind", "l")).drop("l"))
+    own = keyed.select("key", F.col("surname").alias("word")).distinct()
+    # A half of a double surname stands for the whole.
+    halves = own.where(F.contains("word", F.lit("-"))).select("key", F.col("word").alias("a"), F.explode(F.split("word", "-")).alias("half")).where(F.length("half") >= 4)
+    words = cut(own.union(halves.select("key", F.col("half").alias("word"))).distinct())
+    near = cut(cosine_join(words, gram_weights(words.select("word").distinct()), floor))
+    both = near.select("key", "a", "b", "cosine").union(near.select("key", F.col("b"), F.col("a"), "cosine"))
+    by_half = halves.select("key", "a", F.col("half").alias("b"), F.lit(HALF).alias("cosine")).union(
+        halves.join(both.select("key", F.col("a").alias("half"), "b", "cosine"), ["key", "half"]).where("b <> a").select("key", "a", "b", (HALF * F.col("cosine")).alias("cosine"))
+    )
+    # Each profile stands under its own surname, and visits the greater of two near ones.
+    visits = near.union(by_half.where(F.col("cosine") >= floor)).groupBy("key", "a", "b").agg(F.least(F.max("cosine"), F.lit(0.9999)).alias("near"))
+    fields = ["pid", *_FIELDS]
+    placed = keyed.select("key", F.col("surname").alias("b"), F.lit(1.0).alias("near"), *fields).union(
+        keyed.join(visits, (keyed["key"] == visits["key"]) & (keyed["surname"] == visits["a"])).select(visits["key"], "b", "near", *fields)
     )
-    large = spread.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells")).where("cells > 1")
-    dealt = spread.join(large, "key", "left").withColumn("cells", F.coalesce("cells", F.lit(1))).withColumn("cell", F.pmod("pid", F.col("cells")).cast("int"))
+    spread = cut(placed.select(F.concat_ws("|", "key", "b").alias("key"), "near", *fields))
+    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("top"))
+    # A block without a profile of its own has no pair.
+    dealt = spread.join(sizes.where("top >= 1 and n > 1").select("key", F.ceil(F.col("n") / CELL).cast("int").alias("cells")), "key").withColumn("cell", F.pmod("pid", F.col("cells")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    cells = other.select("key", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", "pid", *_FIELDS)
+    cells = other.select("key", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", "near", "pid", *_FIELDS)
     sorted_ = cells.repartition(shuffle_width(profiles.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    # Under each key a pair has the same score.
-    return sorted_.mapInArrow(_scored, "a bigint, b bigint, sim double").distinct()
+    return sorted_.mapInArrow(_scored, "a bigint, b bigint, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
-def link_names(authors: DataFrame, threshold: float = LINK) -> DataFrame:
+def link_names(authors: DataFrame, threshold: float = LINK, floor: float = FLOOR, one_task: int = ONE_TASK) -> DataFrame:
     """(author_no, entity): rows with the same entity name the same person or group."""
     once = authors.select("author_no", "full_name", "given_name", "surname", "email", "affiliations", "orcid").where("author_no is not null").repartition(shuffle_width(authors.sparkSession), "author_no").dropDuplicates(["author_no"])
     read = once.mapInArrow(_read, "author_no bigint, " + _PROFILE)
     hashed = read.withColumn("pid", F.xxhash64(*_FIELDS))
     rows = cut(hashed)
     profiles = cut(rows.groupBy("pid").agg(*[F.first(f).alias(f) for f in _FIELDS]))
-    scored = cut(scored_pairs(profiles))
+    scored = cut(scored_pairs(profiles, floor))
     strong = scored.where(F.col("sim") >= threshold)
     roots = components(strong)
     inside = (
         scored.join(roots.select(F.col("node").alias("a"), "root"), "a")
         .join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b").where("root = root_b")
     )
-    # Components are small and many: dealt out by number, as adaptive execution would join them in one task.
-    dealt = inside.select("root", "a", "b", "sim").repartition(shuffle_width(authors.sparkSession), "root")
-    clusters = dealt.groupBy("root").applyInPandas(_cluster(threshold), "pid bigint, entity bigint")
+    inside = cut(inside.select("root", "a", "b", "sim"))
+    large = inside.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > one_task).select("root")
+    many = large.limit(1).count() > 0
+    # The others are small and many: dealt out by number, as adaptive execution would join them in one task.
+    small = inside.join(large, "root", "left_anti") if many else inside
+    clusters = small.repartition(shuffle_width(authors.sparkSession), "root").groupBy("root").applyInPandas(_cluster(threshold), "pid bigint, entity bigint")
+    if many:
+        clusters = clusters.unionByName(linkage_rounds(inside.join(large, "root", "left_semi"), threshold))
     return rows.select("author_no", "pid").join(clusters, "pid", "left").select("author_no", F.coalesce("entity", "pid").alias("entity"))
 
 
