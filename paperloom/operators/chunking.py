@@ -59,9 +59,10 @@ def with_links(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("prev_chunk_id", F.lag("chunk_id").over(w)).withColumn("next_chunk_id", F.lead("chunk_id").over(w))
 
 
-def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """The last load of each key (WindowGroupLimit keeps one row a key map-side)."""
-    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(at))
+def latest(rows: DataFrame, key: str, at: str, *ties: str) -> DataFrame:
+    """The last load of each key, of equally late ones the greatest by ``ties`` (WindowGroupLimit
+    keeps one row a key map-side)."""
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(at), *[F.desc_nulls_last(t) for t in ties])
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 

@@ -11,9 +11,9 @@ from paperloom.session import cut
 def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """(node, rank) of the directed ``edges(src, dst)``; dangling mass is spread evenly.
 
-    Edges are kept once, with their source's out-degree, partitioned by source; each round joins
-    the ranks (nodes) to them and aggregates by target with map-side sums, so a node of any
-    in-degree is no hot key. Lineage is cut every fifth round in reliable storage."""
+    Edges are kept once, with their source's out-degree; each round joins the ranks (nodes) to them
+    and aggregates by target with map-side sums, so a node of any in-degree is no hot key. Lineage
+    is cut every round in reliable storage."""
     distinct = edges.select("src", "dst").distinct()
     degree = distinct.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     links = cut(distinct.join(degree, "src"))

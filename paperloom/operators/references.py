@@ -30,10 +30,9 @@ from pyspark.sql import functions as F
 
 #: A key with more references than one part in so many of all references is salted; so at
 #: most this many keys can be hot, which bounds the broadcast table of hot keys.
-HOT_KEYS_AT_MOST = 512
+HOT_KEYS_AT_MOST = 4096
 #: ... and never below this many references.
 HOT_AT_LEAST = 50_000
-SALTS = 16
 
 _FAR = "9999-12-31 23:59:59"
 
@@ -99,22 +98,24 @@ def reference_status(
 ) -> DataFrame:
     """(table_name, field_name, record_id, parent, key, at, status), a row per reference row."""
     refs, spans = _references(tables, specs), _intervals(tables, parents)
-    total = sum(tables[s.table].count() for s in specs)
+    sizes = {t: tables[t].count() for t in {s.table for s in specs}}
+    total = sum(sizes[s.table] for s in specs)
     hot_from = max(hot_at_least, total // HOT_KEYS_AT_MOST)
     salted, spread = refs.withColumn("salt", F.lit(0)), spans.withColumn("salt", F.lit(0))
     if total > hot_from:
         hot = (
             refs.groupBy("parent", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_from)
-            .select("parent", "key", F.lit(True).alias("hot"))
+            # As many salts as keep each part of the key below the size of a key that is not hot.
+            .select("parent", "key", F.ceil(F.col("n") / hot_from).cast("int").alias("salts"))
         )
         hot = F.broadcast(hot)  # at most HOT_KEYS_AT_MOST rows
         salted = refs.join(hot, ["parent", "key"], "left").withColumn(
-            "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")).otherwise(0)
-        ).drop("hot")
+            "salt", F.coalesce(F.pmod(F.xxhash64("record_id"), F.col("salts")).cast("int"), F.lit(0))
+        ).drop("salts")
         spread = (
             spans.join(hot, ["parent", "key"], "left")
-            .withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-            .drop("hot")
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+            .drop("salts")
         )
     events = salted.withColumn("side", F.lit(1)).unionByName(spread.withColumn("side", F.lit(0)), allowMissingColumns=True)
     key = Window.partitionBy("parent", "key", "salt")

@@ -36,11 +36,11 @@ def miss_report(misses: DataFrame, most: int) -> DataFrame:
 def cached(requests: DataFrame, cache: DataFrame, keys: list[str], now: float, ttl: float) -> DataFrame:
     """Requests with the cached payload, null where there is none or its age is at least the ttl.
 
-    A negative ttl never expires. The last entry of a key holds."""
-    fresh = latest_status(cache, "_k", "created_at") if "_k" in cache.columns else cache
+    A negative ttl never expires. The last entry of a key holds, of equally late ones the greater payload."""
+    last = cache.groupBy(*keys).agg(F.max(F.struct("created_at", "payload")).alias("_c")).select(*keys, "_c.payload", "_c.created_at")
     if ttl >= 0:
-        fresh = fresh.where(F.lit(now) - F.col("created_at") < ttl)
-    return requests.join(fresh.select(*keys, "payload", "created_at").dropDuplicates(keys), keys, "left")
+        last = last.where(F.lit(now) - F.col("created_at") < ttl)
+    return requests.join(last, keys, "left")
 
 
 def breaker_states(log: DataFrame, threshold: int, cooldown: float, now: float) -> DataFrame:

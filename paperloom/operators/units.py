@@ -41,6 +41,7 @@ from paperloom.session import cut, shuffle_width
 
 METRICS_AT_MOST = 10_000
 TRAIN_AT_MOST = 20_000
+TRAIN_PARTITIONS = 4
 CONFIDENT = 0.9
 
 # Units by quantity as (factor to the quantity's base, offset added before the
@@ -233,26 +234,36 @@ def read_payloads(payloads: DataFrame, metric_units: DataFrame) -> DataFrame:
 
 
 class UnitModel:
-    """Which unit was meant where none is written."""
+    """Which unit was meant where none is written.
+
+    With fewer than two distinct units among the readable payloads nothing can be learnt, and all
+    payloads without a unit go to review. With too few labelled payloads for a held-out part, the
+    confidence is calibrated on the training payloads."""
 
     def __init__(self, read: DataFrame, trees: int = 24, depth: int = 9, seed: int = 11):
         self.trees, self.depth, self.seed = trees, depth, seed
         labelled = read.where("amount is not null").withColumn("label_text", F.concat_ws("|", "quantity", F.col("factor").cast("string"), F.col("offset").cast("string")))
         total = max(1, labelled.count())
         draw = F.pmod(F.xxhash64(F.lit(seed), "payload_id"), F.lit(1_000_000)) / 1_000_000
-        labelled = labelled.withColumn("draw", draw).where(F.col("draw") < TRAIN_AT_MOST / total)
         limit = min(1.0, TRAIN_AT_MOST / total)
-        self.ready = total > 50
+        # At most TRAIN_AT_MOST rows, so a few partitions hold them through all rounds of training.
+        sample = cut(self._features(labelled.withColumn("draw", draw).where(F.col("draw") < limit)).repartition(TRAIN_PARTITIONS))
+        facts = sample.agg(F.count_distinct("label_text").alias("labels"), F.count_distinct("metric_name").alias("m"), F.count_distinct("quantity").alias("q"), F.count_if(F.col("draw") >= 0.7 * limit).alias("held"), F.count_if(F.col("draw") < 0.7 * limit).alias("own")).first()
+        self.ready = facts["labels"] >= 2
         if not self.ready:
             return
-        train = self._features(labelled.where(F.col("draw") < 0.7 * limit))
-        held = self._features(labelled.where(F.col("draw") >= 0.7 * limit))
+        parted = facts["held"] and facts["own"]
+        train = sample.where(F.col("draw") < 0.7 * limit) if parted else sample
+        held = sample.where(F.col("draw") >= 0.7 * limit) if parted else sample
+        if parted and train.select("label_text").distinct().count() < 2:
+            train = held = sample
         self.pipeline = Pipeline(stages=[
             StringIndexer(inputCol="label_text", outputCol="label", handleInvalid="skip"),
             StringIndexer(inputCol="metric_name", outputCol="m", handleInvalid="keep"),
             StringIndexer(inputCol="quantity", outputCol="q", handleInvalid="keep"),
             VectorAssembler(inputCols=["m", "q", *self._NUMERIC], outputCol="features", handleInvalid="keep"),
-            RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64),
+            # A bin for each name, one for an unknown name, and no fewer than the numbers want.
+            RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=max(64, facts["m"] + 1, facts["q"] + 1)),
         ]).fit(train)
         self.labels = self.pipeline.stages[0].labels
         judged = self._top(held).withColumn("right", (F.col("predicted_text") == F.col("label_text")).cast("double"))
@@ -292,6 +303,16 @@ class UnitModel:
         return top.withColumn("status", F.when((F.col("confidence") >= confident) & F.col("predicted_text").isNotNull(), "predicted").otherwise("review"))
 
 
+def held_out(payloads: DataFrame, metric_units: DataFrame, confident: float = CONFIDENT) -> DataFrame:
+    """(payload_id, metric_name, written, predicted, confidence, confident): the model on labelled
+    payloads it was not trained on, their unit hidden from it."""
+    model = UnitModel(cut(read_payloads(payloads, metric_units)))
+    if not model.ready:
+        return payloads.sparkSession.createDataFrame([], "payload_id bigint, metric_name string, written string, predicted string, confidence double, confident boolean")
+    judged = model.calibration.transform(model.held)
+    return judged.select("payload_id", "metric_name", F.col("label_text").alias("written"), F.col("predicted_text").alias("predicted"), F.col("prediction").alias("confidence"), (F.col("prediction") >= confident).alias("confident"))
+
+
 _OUT = ["payload_id", "metric_name", "quantity", "common_unit", "number", "unit_from", "amount", "status", "confidence"]
 
 

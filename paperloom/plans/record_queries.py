@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperloom.operators import references as R
 from paperloom.operators import units as U
@@ -31,7 +32,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_converted(spark, d).where("status = 'read'").select("payload_id", "common_unit", "amount")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_converted": p3_converted}
+def p3_quality(spark: SparkSession, d: str) -> DataFrame:
+    """How often the unit model is right on payloads it has not seen, by metric and by confidence."""
+    h = U.held_out(table(spark, d, "entity_payloads"), table(spark, d, "metric_units"))
+    right = F.avg((F.col("written") == F.col("predicted")).cast("double"))
+    return h.groupBy("metric_name", "confident").agg(F.count(F.lit(1)).alias("payloads"), F.round(right, 4).alias("share_right"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_converted": p3_converted, "p3_quality": p3_quality}
 
 _KEY = r"nullif(lower(regexp_replace({0}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')), '')"
 _REFS = f"""

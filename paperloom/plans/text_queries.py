@@ -26,16 +26,16 @@ def query(sql: str | None = None):
 
 def current_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Each chunk once: its last load."""
-    return C.latest(table(spark, d, "chunks"), "chunk_id", "ingested_at")
+    return C.latest(table(spark, d, "chunks"), "chunk_id", "ingested_at", "deleted_at", "word_count", "salience_score", "ordinal")
 
 
 def current_papers(spark: SparkSession, d: str) -> DataFrame:
-    return C.latest(table(spark, d, "papers"), "paper_id", "ingested_at")
+    return C.latest(table(spark, d, "papers"), "paper_id", "ingested_at", "deleted_at", "source_path", "published_year")
 
 
 #: The same in SQL.
-CUR = """cur AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) = 1)"""
-CURP = """curp AS (SELECT * FROM papers QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY ingested_at DESC NULLS LAST) = 1)"""
+CUR = """cur AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST, deleted_at DESC NULLS LAST, word_count DESC NULLS LAST, salience_score DESC NULLS LAST, ordinal DESC NULLS LAST) = 1)"""
+CURP = """curp AS (SELECT * FROM papers QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY ingested_at DESC NULLS LAST, deleted_at DESC NULLS LAST, source_path DESC NULLS LAST, published_year DESC NULLS LAST) = 1)"""
 W = r"[\p{L}\p{N}_]+"
 TOK = r"[A-Za-z0-9][A-Za-z0-9_+-]*"
 STOP = "('" + "','".join(T.RANKING_STOPWORDS) + "')"

@@ -8,6 +8,7 @@ batch's own folder, which is written anew if a batch is repeated after a failure
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
@@ -21,9 +22,12 @@ LOG = "path string, content_hash string, model_version string, status string, er
 
 
 def read_log(spark: SparkSession, out: str) -> DataFrame:
+    """The log; empty before the first batch. A log that cannot be read is an error."""
     try:
         return spark.read.schema(LOG).parquet(f"{out}/log/*")
-    except Exception:  # noqa: BLE001 - no log yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LOG)
 
 

@@ -2,6 +2,7 @@ import os
 
 import pytest
 
+from paperloom.operators import state as S
 from paperloom.sources import articles as A
 from paperloom.sources import lexicons, providers
 from paperloom.streaming import ingest
@@ -84,3 +85,27 @@ def test_lexicons(tmp_path, monkeypatch):
     p = tmp_path / "l.json"
     p.write_text('{"terms": ["x"]}')
     assert lexicons.load(str(p)) == {"terms": ["x"]}
+
+
+def test_a_registered_parser_reaches_the_executors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "PARSERS", list(A.PARSERS))
+    A.register(lambda r: r.tag == "note", lambda r: {"format": "note", "paper_id": "n1", "title": r.text()})
+    (tmp_path / "n.xml").write_bytes(b"<note>Short  one</note>")
+    row = A.read_articles(spark, str(tmp_path)).first()
+    assert (row.format, row.paper_id, row.title, row.error) == ("note", "n1", "Short one", None)
+
+
+def test_a_broken_log_is_an_error(spark, tmp_path):
+    assert ingest.read_log(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "out/log/batch=0").mkdir(parents=True)
+    (tmp_path / "out/log/batch=0/x.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        ingest.read_log(spark, str(tmp_path / "out")).count()
+
+
+def test_the_last_cache_entry_holds(spark):
+    cache = spark.createDataFrame([("a", "old", 1.0), ("a", "new", 5.0), ("b", "x", 2.0), ("b", "y", 2.0), ("c", "stale", 0.0)], "k string, payload string, created_at double").repartition(5)
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "k string")
+    got = {r.k: r.payload for r in S.cached(asked, cache, ["k"], 8.0, 7.0).collect()}
+    assert got == {"a": "new", "b": "y", "c": None, "d": None}
+    assert {r.k: r.payload for r in S.cached(asked, cache, ["k"], 8.0, -1).collect()}["c"] == "stale"

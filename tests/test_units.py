@@ -57,3 +57,23 @@ def test_missing_units_are_predicted_where_magnitudes_tell(spark):
     right = [r for r in got if r.status == "predicted" and r.amount == (4_000_000 if r.payload_id % 2 else 512_000)]
     assert len(right) >= 36
     assert all(r.status in ("predicted", "review") for r in got)
+
+
+def test_more_metrics_than_bins(spark):
+    many = {f"metric {i}": ("mass", "mg") for i in range(90)}
+    table = spark.createDataFrame([(m, q, u) for m, (q, u) in many.items()], "metric string, quantity string, common_unit string")
+    rows = [(i, "result", str(1 + i % 7), ("g", "mg")[i % 2], f"metric {i % 90}", None, None, None, None, None) for i in range(360)] + [(900, "result", "3", None, "metric 4", None, None, None, None, None)]
+    got = {r.payload_id: r.status for r in U.convert_quantities(spark.createDataFrame(rows, PAYLOADS), table).collect()}
+    assert len(got) == 361 and got[900] in ("predicted", "review")
+
+
+def test_few_labelled_payloads_still_teach(spark):
+    rows = [(i, "result", "5" if i % 2 else "5000", "g" if i % 2 else "mg", "sample mass", None, None, None, None, None) for i in range(12)] + [(50, "result", "5", None, "sample mass", None, None, None, None, None)]
+    got = {r.payload_id: r for r in U.convert_quantities(spark.createDataFrame(rows, PAYLOADS), units(spark)).collect()}
+    assert got[50].status == "predicted" and got[50].amount == 5_000_000
+
+
+def test_held_out_quality(spark):
+    rows = [(i, "result", f"0.00{1 + i % 9}" if i % 2 else str(500_000 + i), "kg" if i % 2 else "µg", "sample mass", None, None, None, None, None) for i in range(300)]
+    held = U.held_out(spark.createDataFrame(rows, PAYLOADS), units(spark)).collect()
+    assert len(held) > 30 and sum(r.written == r.predicted for r in held) == len(held)
