@@ -60,9 +60,9 @@ def with_links(chunks: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str, at: str, *ties: str) -> DataFrame:
-    """The last load of each key, of equally late ones the greatest by ``ties`` (WindowGroupLimit
+    """The last load of each key, of equally late ones the greatest by those of ``ties`` it has (WindowGroupLimit
     keeps one row a key map-side)."""
-    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(at), *[F.desc_nulls_last(t) for t in ties])
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(at), *[F.desc_nulls_last(t) for t in ties if t in rows.columns])
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
