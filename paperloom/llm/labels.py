@@ -76,12 +76,27 @@ def forms(noun: str) -> set[str]:
     return out
 
 
+def _bigrams(word: str) -> set[str]:
+    p = f"^{word}$"
+    return {p[i : i + 2] for i in range(len(p) - 1)}
+
+
+def _numeral(word: str) -> bool:
+    bare = word.strip(".'\"!?")
+    return bare.isdigit() or bare in ROMAN
+
+
 class Reader:
     """Reads labels, given the head nouns that the canonical entries use."""
 
     def __init__(self, nouns: list[str]):
         self.nouns = sorted({fold(n) for n in nouns if n})
         self.form_of = {f: n for n in self.nouns for f in forms(n)}
+        self._met: dict[str, str] = {}
+        self._index: dict[str, list[str]] = {}
+        for f in self.form_of:
+            for g in _bigrams(f):
+                self._index.setdefault(g, []).append(f)
 
     def noun(self, word: str) -> str:
         """The head noun meant by a word, or empty."""
@@ -89,11 +104,24 @@ class Reader:
             return self.form_of[word]
         if len(word) < 5:
             return ""
+        if word not in self._met:
+            if len(self._met) > 100_000:
+                self._met.clear()
+            self._met[word] = self._near(word)
+        return self._met[word]
+
+    def _near(self, word: str) -> str:
+        """The noun nearest by slips, if there is one. A slip changes at most three bigrams, so only
+        forms with enough bigrams in common are compared."""
+        shared: dict[str, int] = {}
+        for g in _bigrams(word):
+            for f in self._index.get(g, ()):
+                shared[f] = shared.get(f, 0) + 1
         best: dict[str, int] = {}
-        for f, n in self.form_of.items():
+        for f, k in shared.items():
             most = 2 if len(f) >= 6 else 1
-            s = slips(word, f, most)
-            if s <= most:
+            if k >= len(_bigrams(f)) - 3 * most and (s := slips(word, f, most)) <= most:
+                n = self.form_of[f]
                 best[n] = min(s, best.get(n, 9))
         if not best:
             return ""
@@ -130,7 +158,7 @@ class Reader:
             bare = w.strip(".'\"!?")
             if bare in _GREEK_NAMES and not greek:
                 greek = bare
-            elif bare in ("type", "typ", "tpye", "tyep", "types"):
+            elif bare in ("type", "types") or (i + 1 < len(words) and _numeral(words[i + 1]) and slips(bare, "type", 1) <= 1):
                 series = "type"
             elif re.fullmatch(r"\d+", bare):
                 number = bare.lstrip("0") or "0"
@@ -161,6 +189,8 @@ class Reader:
                 return out
         if len(rest) == 1:
             word = rest[0].strip(".")
+            if n := self.noun(word):
+                return [make("", n)]  # a head noun alone names nothing
             if rest[0].endswith("."):
                 for size in range(min(14, len(word) - 4), 3, -1):
                     if ns := self.abbreviated(word[-size:]):

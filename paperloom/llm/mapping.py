@@ -1,12 +1,12 @@
 """Mapping free-typed values to a canonical list.
 
 Values are deduplicated, read into parts (:mod:`paperloom.llm.labels`), and each reading
-retrieves candidates from an inverted index of the canonical entries' character n-grams (2 and
-3 letters of the name, weighted by inverse document frequency), inside the same Greek letter,
-series word and number - entries that differ there are different things. Candidates at or above
-a weighted-cosine ``threshold`` pass to an exact check: the head noun must be the same and the
-name within ``slips`` keyboard slips. The best candidate is accepted if it leads the next entry
-by ``margin`` in cosine or has fewer slips; a value with two equally near entries is unmatched.
+retrieves candidates from an inverted index of the canonical entries' character n-grams (trigrams
+and unordered near pairs of the name, weighted by inverse document frequency), inside the same
+head noun, Greek letter, series word and number - entries that differ there are different things.
+A reading without a head noun is held against the whole compact labels. The candidate of the
+greatest weighted cosine is accepted at ``threshold`` (``whole`` for compact labels) if it leads the
+next entry by ``margin``; an exact check of the letters (at most ``most_slips`` keyboard slips) follows.
 
 Aliases are canonical strings too: a whole value, or a code in brackets with no other reading,
 that equals an alias of exactly one entry means that entry.
@@ -26,18 +26,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.labels import Reader, fold, slips
-from paperloom.session import shuffle_width
+from paperloom.session import cut, shuffle_width
 
 #: Head nouns are read to the driver for the reader; more than this is an error.
 NOUNS_AT_MOST = 10_000
 
-_PARTS = "value string, reading int, greek string, name string, noun string, series string, number string, compact string, whole string, codes array<string>, grams array<string>"
+_PARTS = "value string, reading int, greek string, name string, noun string, series string, number string, compact string, whole string, codes array<string>, grams array<string>, compact_grams array<string>"
 
 
 def grams(word: str) -> list[str]:
-    """The distinct 2- and 3-letter grams of a word with marked ends."""
-    padded = f"^{word}$"
-    return sorted({padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)})
+    """The distinct trigrams and unordered near pairs of letters of a word with marked ends."""
+    if not word:
+        return []
+    p = f"^{word}$"
+    return sorted({p[i : i + 3] for i in range(len(p) - 2)} | {"+".join(sorted(p[i] + p[i + k])) for k in (1, 2) for i in range(len(p) - k)})
 
 
 def squeeze(text: str) -> str:
@@ -53,17 +55,16 @@ def _reader(nouns: list[str], name_grams: bool = True) -> Callable[[Iterator[pa.
             for value in batch["value"].to_pylist():
                 readings = reader.read(value)
                 for k, r in enumerate(readings):
-                    # Without a head noun the whole compact form stands for the name.
-                    row = (value, k, r.greek, r.name, r.noun, r.series, r.number, r.compact, squeeze(value), list(r.codes), grams(r.name))
+                    row = (value, k, r.greek, r.name, r.noun, r.series, r.number, r.compact, squeeze(value), list(r.codes), grams(r.name), grams(r.compact))
                     for f, v in zip(fields, row):
                         out[f].append(v)
-            types = [pa.string(), pa.int32(), *[pa.string()] * 7, pa.list_(pa.string()), pa.list_(pa.string())]
+            types = [pa.string(), pa.int32(), *[pa.string()] * 7, *[pa.list_(pa.string())] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(out[f], t) for f, t in zip(fields, types)], fields)
 
     return run
 
 
-def map_values(values: DataFrame, canonical: DataFrame, threshold: float = 0.15, margin: float = 0.02, most_slips: int = 2) -> DataFrame:
+def map_values(values: DataFrame, canonical: DataFrame, threshold: float = 0.3, margin: float = 0.05, most_slips: int = 2, whole: float = 0.6) -> DataFrame:
     """``values(value)`` to (value, external_id, cosine, slips), one row per distinct value."""
     spark = values.sparkSession
     nouns = [r[0] for r in canonical.select(F.explode("parent_terms").alias("n")).where("n is not null").distinct().limit(NOUNS_AT_MOST + 1).collect()]
@@ -71,59 +72,55 @@ def map_values(values: DataFrame, canonical: DataFrame, threshold: float = 0.15,
         raise ValueError("too many head nouns for a parameter table")
     read = _reader(nouns)
     distinct = values.select("value").repartition(shuffle_width(spark), "value").distinct()
-    mine = distinct.where(F.length(F.trim("value")) > 0).mapInArrow(read, _PARTS)
+    mine = cut(distinct.where(F.length(F.trim("value")) > 0).mapInArrow(read, _PARTS))  # read once, used four times
 
     entries = canonical.select("external_id", F.col("label").alias("value")).where("value is not null and external_id is not null").distinct()
     entry_parts = entries.select("value").distinct().mapInArrow(read, _PARTS).where("reading = 0")
-    entry = entries.join(entry_parts, "value").select("external_id", "greek", "name", "noun", "series", "number", "compact", "grams")
+    entry = cut(entries.join(entry_parts, "value").select("external_id", "greek", "name", "noun", "series", "number", "compact", "grams", "compact_grams"))
 
-    # Inverted index with weights; norms of both sides.
+    # Inverted index with weights; norms of both sides. The name stands under its noun, the whole
+    # compact label under none.
     n = F.lit(float(max(1, canonical.count())))
-    postings = entry.select("external_id", "greek", "series", "number", F.explode("grams").alias("gram"))
-    weights = postings.groupBy("gram").agg(F.log(1 + n / F.count(F.lit(1))).alias("w"))
+    facets = ["greek", "series", "number", "noun"]
+    postings = entry.select("external_id", *facets, F.explode("grams").alias("gram")).union(
+        entry.select("external_id", "greek", "series", "number", F.lit("").alias("noun"), F.explode("compact_grams").alias("gram"))
+    ).distinct()
+    weights = postings.groupBy("gram").agg(F.log(1 + n / F.count_distinct("external_id")).alias("w"))
     unseen = F.log(1 + n)
-    weighted = postings.join(weights, "gram")
-    norms = weighted.groupBy("external_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("e_norm"))
-    index = weighted.join(norms, "external_id").select("gram", "greek", "series", "number", "external_id", (F.col("w") / F.col("e_norm")).alias("e_w"))
+    weighted = cut(postings.join(weights, "gram"))
+    norms = weighted.groupBy("external_id", "noun").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("e_norm"))
+    index = weighted.join(norms, ["external_id", "noun"]).select("gram", *facets, "external_id", (F.col("w") / F.col("e_norm")).alias("e_w"))
 
-    asked = mine.select("value", "reading", "greek", "series", "number", F.explode("grams").alias("gram")).join(weights, "gram", "left")
+    asked = mine.select("value", "reading", *facets, F.explode(F.when(F.col("noun") == "", F.col("compact_grams")).otherwise(F.col("grams"))).alias("gram")).join(weights, "gram", "left")
     own_norm = asked.groupBy("value", "reading").agg(F.sqrt(F.sum(F.coalesce("w", unseen) * F.coalesce("w", unseen))).alias("v_norm"))
     cosines = (
-        asked.where("w is not null").join(index, ["gram", "greek", "series", "number"])
-        .groupBy("value", "reading", "external_id").agg(F.sum(F.col("w") * F.col("e_w")).alias("dot"))
+        asked.where("w is not null").join(index, ["gram", *facets])
+        .groupBy("value", "reading", "noun", "external_id").agg(F.sum(F.col("w") * F.col("e_w")).alias("dot"))
         .join(own_norm, ["value", "reading"])
-        .select("value", "reading", "external_id", (F.col("dot") / F.col("v_norm")).alias("cosine"))
-        .where(F.col("cosine") >= threshold)
+        .groupBy("value", "external_id").agg(F.max(F.struct((F.col("dot") / F.col("v_norm")).alias("cosine"), F.col("noun") == "", -F.col("reading"))).alias("x"))
+        .select("value", "external_id", "x.cosine", F.col("x.col2").alias("by_whole"), (-F.col("x.col3")).alias("reading"))
     )
-    facts = (
-        cosines.join(mine.select("value", "reading", "name", "noun", "compact"), ["value", "reading"])
-        .join(entry.select("external_id", F.col("name").alias("e_name"), F.col("noun").alias("e_noun"), F.col("compact").alias("e_compact")), "external_id")
-        .where("noun = e_noun or noun = ''")
+    order = Window.partitionBy("value").orderBy(F.desc("cosine"), "external_id")
+    led = (
+        cosines.withColumn("k", F.row_number().over(order)).withColumn("next_cosine", F.coalesce(F.lead("cosine").over(order), F.lit(0.0))).where("k = 1")
+        .where((F.col("cosine") >= F.when(F.col("by_whole"), whole).otherwise(threshold)) & (F.col("cosine") - F.col("next_cosine") >= margin))
+    )
+    facts = led.join(mine.select("value", "reading", "name", "compact"), ["value", "reading"]).join(
+        entry.select("external_id", F.col("name").alias("e_name"), F.col("compact").alias("e_compact")), "external_id"
     )
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = {k: b[k].to_pylist() for k in ("name", "noun", "compact", "e_name", "e_noun", "e_compact")}
+            c = {k: b[k].to_pylist() for k in ("by_whole", "name", "compact", "e_name", "e_compact")}
             out = []
-            for name, noun, compact, e_name, e_noun, e_compact in zip(*c.values()):
-                if noun == e_noun:
-                    out.append(slips(name, e_name, most_slips) if len(name) >= 3 * most_slips or name == e_name else most_slips + 1)
-                else:
+            for by_whole, name, compact, e_name, e_compact in zip(*c.values()):
+                if by_whole:
                     out.append(slips(compact, e_compact, most_slips))
+                else:
+                    out.append(slips(name, e_name, most_slips) if len(name) >= 3 * most_slips or name == e_name else most_slips + 1)
             yield pa.RecordBatch.from_arrays([b["value"], b["external_id"], b["cosine"], pa.array(out, pa.int32())], ["value", "external_id", "cosine", "slips"])
 
-    checked = (
-        facts.mapInArrow(check, "value string, external_id string, cosine double, slips int").where(F.col("slips") <= most_slips)
-        .groupBy("value", "external_id").agg(F.min("slips").alias("slips"), F.max("cosine").alias("cosine"))
-    )
-    order = Window.partitionBy("value").orderBy("slips", F.desc("cosine"), "external_id")
-    named = (
-        checked.withColumn("k", F.row_number().over(order))
-        .withColumn("next_slips", F.lead("slips").over(order)).withColumn("next_cosine", F.lead("cosine").over(order))
-        .where("k = 1")
-        .where(F.col("next_slips").isNull() | (F.col("next_slips") > F.col("slips")) | (F.col("cosine") - F.col("next_cosine") >= margin))
-        .select("value", "external_id", "cosine", "slips")
-    )
+    named = facts.mapInArrow(check, "value string, external_id string, cosine double, slips int").where(F.col("slips") <= most_slips)
 
     # Aliases that belong to one entry only, compared without case and punctuation.
     squeeze_col = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")

@@ -308,3 +308,14 @@ def test_average_linkage_against_plain():
     sims = {(0, 1): 0.9, (1, 2): 0.6, (0, 2): 0.2, (2, 3): 0.8}
     own = names.average_linkage(4, [(i, j, s) for (i, j), s in sims.items()], [1] * 4, 0.5)
     assert own[0] == own[1] and own[2] == own[3] and own[0] != own[2]
+
+
+def test_threshold_and_margin_decide(spark):
+    """A distant spelling needs the low threshold, one between two entries falls to the margin."""
+    c = spark.createDataFrame([(str(i), True, f"{w} lattice", None, ["lattice"], None) for i, w in enumerate(["zanadebar", "zanadebor", "velomirat", "quirosane"])], CANON)
+    v = spark.createDataFrame([("vleomirta lattice",), ("zanadebir lattice",), ("zanadebar lattice",), ("type of lattice",), ("velomirat lattice tpye 2",)], "value string")
+    run = lambda **k: {r.value.split()[0]: r.external_id for r in mapping.map_values(v.where("value not like '%t%pe%'"), c, **k).collect()}
+    assert run() == {"vleomirta": "2", "zanadebir": None, "zanadebar": "0"}
+    assert run(threshold=0.9)["vleomirta"] is None
+    assert run(margin=0.0)["zanadebir"] is not None
+    assert [r.external_id for r in mapping.map_values(v.where("value like '%t%pe%'"), c).collect()] == [None, None]
