@@ -25,28 +25,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.labels import Reader, fold, slips
+from paperloom.llm.grams import cosine_join, gram_weights
+from paperloom.llm.labels import Label, Reader, fold, slips
 from paperloom.session import cut, shuffle_width
 
 #: Head nouns are read to the driver for the reader; more than this is an error.
 NOUNS_AT_MOST = 10_000
 
-_PARTS = "value string, reading int, greek string, name string, noun string, series string, number string, compact string, whole string, codes array<string>, grams array<string>, compact_grams array<string>"
-
-
-def grams(word: str) -> list[str]:
-    """The distinct trigrams and unordered near pairs of letters of a word with marked ends."""
-    if not word:
-        return []
-    p = f"^{word}$"
-    return sorted({p[i : i + 3] for i in range(len(p) - 2)} | {"+".join(sorted(p[i] + p[i + k])) for k in (1, 2) for i in range(len(p) - k)})
+_PARTS = "value string, reading int, greek string, name string, noun string, series string, number string, compact string, whole string, codes array<string>, key string, word string"
 
 
 def squeeze(text: str) -> str:
     return re.sub(r"[^a-z0-9]", "", fold(text))
 
 
-def _reader(nouns: list[str], name_grams: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _key(r: Label, noun: str) -> str:
+    """What two labels must have in common to mean one thing."""
+    return "|".join((r.greek, r.series, r.number, noun))
+
+
+def _reader(nouns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(nouns)
         fields = [p.split(" ")[0] for p in _PARTS.split(", ")]
@@ -55,10 +53,10 @@ def _reader(nouns: list[str], name_grams: bool = True) -> Callable[[Iterator[pa.
             for value in batch["value"].to_pylist():
                 readings = reader.read(value)
                 for k, r in enumerate(readings):
-                    row = (value, k, r.greek, r.name, r.noun, r.series, r.number, r.compact, squeeze(value), list(r.codes), grams(r.name), grams(r.compact))
+                    row = (value, k, r.greek, r.name, r.noun, r.series, r.number, r.compact, squeeze(value), list(r.codes), _key(r, r.noun), r.name if r.noun else r.compact)
                     for f, v in zip(fields, row):
                         out[f].append(v)
-            types = [pa.string(), pa.int32(), *[pa.string()] * 7, *[pa.list_(pa.string())] * 3]
+            types = [pa.string(), pa.int32(), *[pa.string()] * 7, pa.list_(pa.string()), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(out[f], t) for f, t in zip(fields, types)], fields)
 
     return run
@@ -76,29 +74,16 @@ def map_values(values: DataFrame, canonical: DataFrame, threshold: float = 0.3,
 
     entries = canonical.select("external_id", F.col("label").alias("value")).where("value is not null and external_id is not null").distinct()
     entry_parts = entries.select("value").distinct().mapInArrow(read, _PARTS).where("reading = 0")
-    entry = cut(entries.join(entry_parts, "value").select("external_id", "greek", "name", "noun", "series", "number", "compact", "grams", "compact_grams"))
-
-    # Inverted index with weights; norms of both sides. The name stands under its noun, the whole
-    # compact label under none.
-    n = F.lit(float(max(1, canonical.count())))
-    facets = ["greek", "series", "number", "noun"]
-    postings = entry.select("external_id", *facets, F.explode("grams").alias("gram")).union(
-        entry.select("external_id", "greek", "series", "number", F.lit("").alias("noun"), F.explode("compact_grams").alias("gram"))
-    ).distinct()
-    weights = postings.groupBy("gram").agg(F.log(1 + n / F.count_distinct("external_id")).alias("w"))
-    unseen = F.log(1 + n)
-    weighted = cut(postings.join(weights, "gram"))
-    norms = weighted.groupBy("external_id", "noun").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("e_norm"))
-    index = weighted.join(norms, ["external_id", "noun"]).select("gram", *facets, "external_id", (F.col("w") / F.col("e_norm")).alias("e_w"))
-
-    asked = mine.select("value", "reading", *facets, F.explode(F.when(F.col("noun") == "", F.col("compact_grams")).otherwise(F.col("grams"))).alias("gram")).join(weights, "gram", "left")
-    own_norm = asked.groupBy("value", "reading").agg(F.sqrt(F.sum(F.coalesce("w", unseen) * F.coalesce("w", unseen))).alias("v_norm"))
+    entry = cut(entries.join(entry_parts, "value").select("external_id", "name", "compact", "key", "word", F.concat_ws("|", "greek", "series", "number", F.lit("")).alias("bare_key")))
+    # The name stands under its noun, the whole compact label under none.
+    terms = cut(entry.select("external_id", "key", "word").union(entry.select("external_id", F.col("bare_key").alias("key"), F.col("compact").alias("word"))).where("word <> ''").distinct())
+    asked = mine.select("value", "reading", "key", "word", (F.col("noun") == "").alias("by_whole")).where("word <> ''")
+    # A rival within the margin of the threshold counts too.
+    pairs = cosine_join(asked.select("key", "word").distinct(), gram_weights(terms.select("word").distinct()), max(1e-3, threshold - margin), terms.select("key", "word").distinct())
     cosines = (
-        asked.where("w is not null").join(index, ["gram", *facets])
-        .groupBy("value", "reading", "noun", "external_id").agg(F.sum(F.col("w") * F.col("e_w")).alias("dot"))
-        .join(own_norm, ["value", "reading"])
-        .groupBy("value", "external_id").agg(F.max(F.struct((F.col("dot") / F.col("v_norm")).alias("cosine"), F.col("noun") == "", -F.col("reading"))).alias("x"))
-        .select("value", "external_id", "x.cosine", F.col("x.col2").alias("by_whole"), (-F.col("x.col3")).alias("reading"))
+        asked.join(pairs.withColumnRenamed("a", "word"), ["key", "word"]).join(terms.select("external_id", "key", F.col("word").alias("b")), ["key", "b"])
+        .groupBy("value", "external_id").agg(F.max(F.struct("cosine", "by_whole", -F.col("reading"))).alias("x"))
+        .select("value", "external_id", "x.cosine", "x.by_whole", (-F.col("x.col3")).alias("reading"))
     )
     order = Window.partitionBy("value").orderBy(F.desc("cosine"), "external_id")
     led = (

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import forest, fuse, mapping, names
+from paperloom.llm import forest, fuse, grams, mapping, names
 from paperloom.llm.labels import Reader, slips
 
 CANON = "external_id string, found boolean, label string, aliases array<string>, parent_terms array<string>, value string"
@@ -228,9 +228,9 @@ def test_a_large_block_loses_no_pair(spark, monkeypatch):
     assert pairs(rows) == {(1, 2), (1, 3), (2, 3)}
     profiles = spark.createDataFrame(rows, AUTHORS).mapInArrow(names._read, "author_no bigint, " + names._PROFILE).withColumnRenamed("author_no", "pid")
     all_ = [tuple(r) for r in profiles.collect()]
-    weights = names.gram_weights(spark.createDataFrame(sorted({(r[2],) for r in all_}), "word string"))
-    of = {r[2]: names.vector(r[2], weights) for r in all_}
-    near = lambda a, b: 1.0 if a[2] == b[2] else min(0.9999, names.cosine(of[a[2]], of[b[2]]))
+    weights = grams.gram_weights(spark.createDataFrame(sorted({(r[2],) for r in all_}), "word string"))
+    of = {r[2]: grams.vector(r[2], weights) for r in all_}
+    near = lambda a, b: 1.0 if a[2] == b[2] else min(0.9999, grams.cosine(of[a[2]], of[b[2]]))
     want = {(a[0], b[0]): round(s, 6) for a in all_ for b in all_ if a[0] < b[0] and near(a, b) >= names.FLOOR and (s := names.score(near(a, b), a[1:], b[1:])) >= names.NOUGHT}
     assert {(r.a, r.b): round(r.sim, 6) for r in names.scored_pairs(profiles).collect()} == want
 
@@ -239,11 +239,11 @@ def test_cosine_join_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     words = sorted({"".join(rng.choice(list("abcdeo"), rng.integers(4, 9))) for _ in range(120)})
     df = spark.createDataFrame([(k, w) for w in words for k in ("p", "q") if k == "p" or len(w) < 6], "key string, word string")
-    weights = names.gram_weights(spark.createDataFrame([(w,) for w in words], "word string"))
-    of = {w: names.vector(w, weights) for w in words}
+    weights = grams.gram_weights(spark.createDataFrame([(w,) for w in words], "word string"))
+    of = {w: grams.vector(w, weights) for w in words}
     for floor in (0.35, 0.6):
-        got = {(r.key, r.a, r.b): round(r.cosine, 5) for r in names.cosine_join(df, weights, floor).collect()}
-        want = {(k, a, b): round(names.cosine(of[a], of[b]), 5) for k in ("p", "q") for a in words for b in words if a < b and (k == "p" or max(len(a), len(b)) < 6) and names.cosine(of[a], of[b]) >= floor}
+        got = {(r.key, r.a, r.b): round(r.cosine, 5) for r in grams.cosine_join(df, weights, floor).collect()}
+        want = {(k, a, b): round(grams.cosine(of[a], of[b]), 5) for k in ("p", "q") for a in words for b in words if a < b and (k == "p" or max(len(a), len(b)) < 6) and grams.cosine(of[a], of[b]) >= floor}
         assert got == want
 
 
@@ -314,8 +314,8 @@ def test_threshold_and_margin_decide(spark):
     """A distant spelling needs the low threshold, one between two entries falls to the margin."""
     c = spark.createDataFrame([(str(i), True, f"{w} lattice", None, ["lattice"], None) for i, w in enumerate(["zanadebar", "zanadebor", "velomirat", "quirosane"])], CANON)
     v = spark.createDataFrame([("vleomirta lattice",), ("zanadebir lattice",), ("zanadebar lattice",), ("type of lattice",), ("velomirat lattice tpye 2",)], "value string")
-    run = lambda **k: {r.value.split()[0]: r.external_id for r in mapping.map_values(v.where("value not like '%t%pe%'"), c, **k).collect()}
+    run = lambda **k: {r.value.split()[0]: r.external_id for r in mapping.map_values(v.where("not value rlike 'type|tpye'"), c, **k).collect()}
     assert run() == {"vleomirta": "2", "zanadebir": None, "zanadebar": "0"}
     assert run(threshold=0.9)["vleomirta"] is None
     assert run(margin=0.0)["zanadebir"] is not None
-    assert [r.external_id for r in mapping.map_values(v.where("value like '%t%pe%'"), c).collect()] == [None, None]
+    assert [r.external_id for r in mapping.map_values(v.where("value rlike 'type|tpye'"), c).collect()] == [None, None]
