@@ -13,6 +13,13 @@ string and a sketch of ``SKETCH`` sign bits (44 bytes), never the vector. Candid
 in more bits than four standard deviations above the expectation at the wanted cosine are left
 out; the exact cosine decides on the others.
 
+The k nearest of a set of vectors, however far they are, come from the same forest (:func:`nearest`):
+the leaves of a tree are prefixes of different lengths, and a query descends to its own leaf, the
+longest prefix it shares, in each tree. From the k-th cosine found there follows how likely a
+neighbour of that cosine lies in each other leaf (the query's distance from each plane on the way
+tells how easily a bit differs), and the query ascends in all trees at once to ever less likely
+leaves until such a neighbour would be met with probability ``SURE``. Exact cosines decide.
+
 Where more than ``DENSE`` of a vector's candidates in some tree may have the wanted cosine, its ten
 nearest need not be in the stretch. Such vectors are held against all of their kind in cells of
 bounded size (:func:`nearest_of`), so their nearest are exact.
@@ -26,6 +33,7 @@ go to the smaller key, and the rest cannot be in a mutual pair. Empty inputs giv
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -43,6 +51,8 @@ BLOCK, SAMPLE = 16_384, 20_000
 #: Pairs up to this number (24 bytes each) are broadcast to the vectors; more are joined by sorting.
 PAIRS_BROADCAST = 150_000
 SEED = 7
+#: The search of the k nearest: trees, vectors a leaf, and how surely a neighbour must be met.
+TOP_TREES, LEAF, SURE = 8, 256, 0.9
 
 
 def _units(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -97,9 +107,9 @@ def _strings(x: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return packed.reshape(len(x), -1, BITS // 8).view(">u4")[:, :, 0].astype(np.uint32), packed[:, : SKETCH // 8]
 
 
-def split_prefixes(sorted_strings: np.ndarray, most: float) -> np.ndarray:
-    """First strings of the blocks: prefixes, split until at most ``most`` sampled strings are in each."""
-    starts, todo = [], [(0, 0, 0, len(sorted_strings))]
+def split_prefixes(sorted_strings: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """First strings and lengths of the leaves: prefixes, split until at most ``most`` sampled strings are in each."""
+    leaves, todo = [], [(0, 0, 0, len(sorted_strings))]
     while todo:
         prefix, length, lo, hi = todo.pop()
         if hi - lo > most and length < BITS - 1:
@@ -107,12 +117,32 @@ def split_prefixes(sorted_strings: np.ndarray, most: float) -> np.ndarray:
             cutoff = lo + int(np.searchsorted(sorted_strings[lo:hi], np.uint32(middle)))
             todo += [(middle, length + 1, cutoff, hi), (prefix, length + 1, lo, cutoff)]
         else:
-            starts.append(prefix)
-    return np.array(sorted(starts), dtype=np.uint32)
+            leaves.append((prefix, length))
+    leaves.sort()
+    return np.array([x for x, _ in leaves], dtype=np.uint32), np.array([x for _, x in leaves], dtype=np.int64)
+
+
+@dataclass
+class Tree:
+    """The leaves of a tree, and how many vectors each holds by the sample."""
+
+    starts: np.ndarray
+    lengths: np.ndarray
+    sizes: np.ndarray
+
+    def leaf(self, strings: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, strings, side="right") - 1
+
+    def bits(self) -> tuple[np.ndarray, np.ndarray]:
+        """(leaves, BITS) of ones where a bit of the prefix is set, and where it is not."""
+        at = np.arange(BITS)
+        inside = at[None, :] < self.lengths[:, None]
+        ones = (self.starts[:, None] >> (BITS - 1 - at)[None, :]) & 1 == 1
+        return (ones & inside).astype(np.float32), (~ones & inside).astype(np.float32)
 
 
-def fit(vectors: DataFrame, dim: int, trees: int) -> dict[str, list[np.ndarray]]:
-    """The blocks of each tree of each kind, from a bounded sample."""
+def fit(vectors: DataFrame, dim: int, trees: int, block: int = BLOCK) -> dict[str, list[Tree]]:
+    """The leaves of each tree of each kind, from a bounded sample."""
     counts = {r["kind"]: r["n"] for r in vectors.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     planes, out = _projections(dim, trees), {}
     for kind, n in counts.items():
@@ -121,12 +151,16 @@ def fit(vectors: DataFrame, dim: int, trees: int) -> dict[str, list[np.ndarray]]
         rows = vectors.where((F.col("kind") == kind) & (F.pmod("id", F.lit(share)) == 0)).select("vec").limit(2 * SAMPLE).collect()
         x = np.frombuffer(b"".join(r["vec"] for r in rows), dtype=np.float32).reshape(-1, dim)
         strings, _ = _strings(x, planes)
-        most = max(1.0, BLOCK * len(x) / n)
-        out[kind] = [split_prefixes(np.sort(strings[:, t]), most) for t in range(trees)]
+        most = max(1.0, block * len(x) / n)
+        out[kind] = []
+        for t in range(trees):
+            tree = Tree(*split_prefixes(np.sort(strings[:, t]), most), np.empty(0))
+            tree.sizes = np.bincount(tree.leaf(strings[:, t]), minlength=len(tree.starts)) * (n / max(1, len(x)))
+            out[kind].append(tree)
     return out
 
 
-def _plant(dim: int, trees: int, blocks: dict[str, list[np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _plant(dim: int, trees: int, blocks: dict[str, list[Tree]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Entries (id, string, sketch) of each block, packed, one row a block and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +178,7 @@ def _plant(dim: int, trees: int, blocks: dict[str, list[np.ndarray]]) -> Callabl
                 for t in range(trees):
                     s = strings[own, t]
                     entries["string"] = s
-                    block = np.searchsorted(blocks[kind][t], s, side="right") - 1
+                    block = blocks[kind][t].leaf(s)
                     order = np.argsort(block, kind="stable")
                     bounds = np.flatnonzero(np.diff(block[order])) + 1
                     for piece in np.split(order, bounds):
@@ -331,18 +365,212 @@ def nearest_of(asked: DataFrame, vectors: DataFrame, most: int, dim: int, k: int
     return asked.groupBy(*cell).cogroup(side.groupBy(*cell)).applyInArrow(_nearest(dim, k), "kind string, of_id bigint, other_id bigint, cosine double")
 
 
-def nearest(vectors: DataFrame, dim: int, k: int = 10, every: int = 20) -> DataFrame:
-    """(kind, of, other, rank, cosine): the k most similar others of every ``every``-th vector, exact.
+def exact_nearest(vectors: DataFrame, dim: int, k: int = 10, every: int = 20) -> DataFrame:
+    """(kind, of, other, rank, cosine): the k most similar others of every ``every``-th vector.
 
-    The stated query set (ids divisible by ``every``) is held against all vectors of its kind in
-    cells of bounded size; each cell gives its k nearest, and those of a query are ranked at the
-    end. Between unrelated vectors the k nearest have no long common prefix in any tree, so the
-    forest would have to ascend to most of the array; it serves the near ones (:func:`mutual_neighbours`).
-    ``vectors`` is (kind, key, id, vec) and is read twice."""
+    Held against all of their kind, in cells of bounded size; what :func:`nearest` is measured by."""
     most = max([0, *(r["n"] for r in vectors.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect())])
     found = nearest_of(vectors.where(F.pmod("id", F.lit(every)) == 0), vectors, -(-most // every), dim, k)
+    return _named(found, vectors, k)
+
+
+def _named(found: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k first of each query with their keys; ties of the cosine go to the smaller key."""
     name = lambda s: vectors.select("kind", F.col("id").alias(f"{s}_id"), F.col("key").alias(s))
-    # Ties of the cosine go to the smaller key; at most k + 6 rows a cell and query are ranked.
     rank = F.row_number().over(Window.partitionBy("kind", "of").orderBy(F.desc("cosine"), "other"))
     named = found.join(name("of"), ["kind", "of_id"]).join(name("other"), ["kind", "other_id"])
     return named.withColumn("rank", rank).where(F.col("rank") <= k).select("kind", "of", "other", "rank", "cosine")
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    """The normal distribution function (error below 1e-6)."""
+    z = np.abs(x) / np.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)
+    tail = 0.5 * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-z * z)
+    return np.where(x < 0, tail, 1 - tail)
+
+
+def likely_leaves(projected: np.ndarray, tree: Tree, cosine: np.ndarray) -> np.ndarray:
+    """(n, leaves): how likely a vector of that cosine to the query lies in each leaf.
+
+    ``projected`` (n, BITS) are the query's products with the planes of the tree. That of a vector
+    at cosine c is normal around c times it, so it falls on the other side with a known probability."""
+    c = np.clip(cosine, 0.0, 0.9999)[:, None]
+    other = np.clip(_normal(-c * np.abs(projected) / np.sqrt(1 - c * c)), 1e-9, 0.5)
+    set_ = np.log(np.where(projected > 0, 1 - other, other)).astype(np.float32)
+    clear = np.log(np.where(projected > 0, other, 1 - other)).astype(np.float32)
+    ones, zeros = tree.bits()
+    return np.exp(set_ @ ones.T + clear @ zeros.T)
+
+
+def leaves_until_sure(chances: list[np.ndarray], own: list[np.ndarray], sure: float) -> list[np.ndarray]:
+    """For each tree (n, leaves): which leaves each query visits.
+
+    One limit of likelihood holds in all trees; it is lowered until a neighbour is in some visited leaf with
+    probability ``sure``. A query's own leaves are always visited."""
+    n = len(chances[0])
+    low, high = np.full(n, -23.0), np.zeros(n)
+    for _ in range(12):
+        limit = (low + high) / 2
+        missed = np.ones(n)
+        for p, o in zip(chances, own):
+            seen = p >= np.exp(limit)[:, None]
+            seen[np.arange(n), o] = True
+            missed *= 1 - np.minimum(1.0, np.where(seen, p, 0).sum(axis=1))
+        enough = missed <= 1 - sure
+        low, high = np.where(enough, limit, low), np.where(enough, high, limit)
+    out = []
+    for p, o in zip(chances, own):
+        seen = p >= np.exp(low)[:, None]
+        seen[np.arange(n), o] = True
+        out.append(seen)
+    return out
+
+
+def _salts(tree: Tree) -> np.ndarray:
+    return np.maximum(1, np.ceil(tree.sizes / SIDE_BLOCK)).astype(np.int64)
+
+
+def _cell(tree: int, leaf: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return (np.int64(tree) << 52) | (leaf.astype(np.int64) << 28) | salt
+
+
+def _grow(dim: int, forest: dict[str, list[Tree]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The vectors of each leaf of each tree, packed, one row a cell and batch; a crowded leaf has several cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = _projections(dim, TOP_TREES)
+        entry = np.dtype([("id", "<i8"), ("vec", "<f4", (dim,))])
+        for b in batches:
+            kinds = np.array(b["kind"].to_pylist(), dtype=object)
+            e = np.empty(b.num_rows, dtype=entry)
+            e["id"] = b["id"].to_numpy(zero_copy_only=False)
+            e["vec"] = np.frombuffer(b"".join(b["vec"].to_pylist()), dtype=np.float32).reshape(-1, dim)
+            strings, _ = _strings(e["vec"], planes)
+            names, number, data = [], [], []
+            for kind in sorted(set(kinds.tolist())):
+                own = np.flatnonzero(kinds == kind)
+                for t, tree in enumerate(forest[kind]):
+                    leaf = tree.leaf(strings[own, t])
+                    cell = _cell(t, leaf, (e["id"][own] >> 7) % _salts(tree)[leaf])
+                    order = np.argsort(cell, kind="stable")
+                    for piece in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                        names.append(kind)
+                        number.append(int(cell[piece[0]]))
+                        data.append(e[own[piece]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(number, pa.int64()), pa.array(data, pa.binary())], ["kind", "cell", "entries"])
+
+    return run
+
+
+def _ask(dim: int, forest: dict[str, list[Tree]], sure: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The cells each query visits: its own leaves (``sure`` is None), else the others until it is sure.
+
+    ``looked`` is the number of vectors the query meets there, on its first row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = _projections(dim, TOP_TREES)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                b = whole.slice(at, 128)
+                kinds = np.array(b["kind"].to_pylist(), dtype=object)
+                x = np.frombuffer(b"".join(b["vec"].to_pylist()), dtype=np.float32).reshape(-1, dim)
+                floor = b["floor"].to_numpy(zero_copy_only=False).astype(np.float64)
+                rows, cells, looked = [], [], []
+                for kind in sorted(set(kinds.tolist())):
+                    own = np.flatnonzero(kinds == kind)
+                    projected = (x[own] @ planes).reshape(len(own), -1, BITS)
+                    strings, _ = _strings(x[own], planes)
+                    trees = forest[kind]
+                    home = [t.leaf(strings[:, i]) for i, t in enumerate(trees)]
+                    if sure is None:
+                        visits = [np.zeros((len(own), len(t.starts)), bool) for t in trees]
+                        for v, h in zip(visits, home):
+                            v[np.arange(len(own)), h] = True
+                    else:
+                        visits = leaves_until_sure([likely_leaves(projected[:, i], t, floor[own]) for i, t in enumerate(trees)], home, sure)
+                        for v, h in zip(visits, home):
+                            v[np.arange(len(own)), h] = False
+                    for i, (tree, v) in enumerate(zip(trees, visits)):
+                        q, leaf = np.nonzero(v)
+                        salts = _salts(tree)[leaf]
+                        salt = np.arange(int(salts.sum())) - np.repeat(np.cumsum(salts) - salts, salts)
+                        rows.append(np.repeat(own[q], salts))
+                        cells.append(_cell(i, np.repeat(leaf, salts), salt))
+                        looked.append(np.repeat(tree.sizes[leaf] / salts, salts))
+                if not rows:
+                    continue
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [b["kind"].take(take), pa.array(np.concatenate(cells)), b["id"].take(take), b["vec"].take(take), b["floor"].take(take), pa.array(np.concatenate(looked))],
+                    ["kind", "cell", "id", "vec", "floor", "looked"],
+                )
+
+    return run
+
+
+def _meet_leaf(dim: int, k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """The k nearest of each query inside one cell that are nearer than its floor."""
+
+    def run(key: tuple, asked: pa.Table, side: pa.Table) -> pa.Table:
+        out: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if asked.num_rows and side.num_rows:
+            e = np.frombuffer(b"".join(side["entries"].to_pylist()), dtype=np.dtype([("id", "<i8"), ("vec", "<f4", (dim,))]))
+            x, xi = np.ascontiguousarray(e["vec"]), e["id"]
+            q = np.frombuffer(b"".join(asked["vec"].to_pylist()), dtype=np.float32).reshape(-1, dim)
+            qi, floor = asked["id"].to_numpy(), asked["floor"].to_numpy()
+            for a in range(0, len(q), 512):
+                s = q[a : a + 512] @ x.T
+                s[qi[a : a + 512, None] == xi[None, :]] = -2
+                n = min(k + 6, s.shape[1])  # a few more, as single precision may swap near ones
+                at = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                r, c = np.nonzero(np.take_along_axis(s, at, axis=1) >= np.maximum(floor[a : a + 512, None], -1) - 1e-5)
+                other = at[r, c]
+                out.append((qi[a + r], xi[other], np.einsum("nd,nd->n", q[a + r].astype(np.float64), x[other].astype(np.float64))))
+        of, other, cosine = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"kind": pa.array([key[0].as_py() if key else ""] * len(of), pa.string()), "of_id": of, "other_id": other, "cosine": cosine})
+
+    return run
+
+
+def _search(vectors: DataFrame, side: DataFrame, dim: int, k: int, every: int, sure: float) -> tuple[DataFrame, DataFrame]:
+    """(found, looked): (kind, of_id, other_id, cosine), and (kind, of_id, met) of each query."""
+    # Trees of few leaves hold much the same in each, so a small kind needs few.
+    forest = {kind: trees[: max(1, len(trees[0].starts))] for kind, trees in fit(side, dim, TOP_TREES, LEAF).items()}
+    asked = vectors.where(F.pmod("id", F.lit(every)) == 0).select(F.col("kind").alias("kind"), F.col("id").alias("id"), F.col("vec").alias("vec"))
+    grown = lambda: side.select("kind", "id", "vec").mapInArrow(_grow(dim, forest), "kind string, cell bigint, entries binary").groupBy("kind", "cell")
+    ask = lambda df, s: df.mapInArrow(_ask(dim, forest, s), "kind string, cell bigint, id bigint, vec binary, floor double, looked double")
+    schema = "kind string, of_id bigint, other_id bigint, cosine double"
+    first = ask(asked.withColumn("floor", F.lit(-2.0)), None)
+    home = cut(first.groupBy("kind", "cell").cogroup(grown()).applyInArrow(_meet_leaf(dim, k), schema).distinct())
+    rank = F.row_number().over(Window.partitionBy("kind", "of_id").orderBy(F.desc("cosine"), "other_id"))
+    kth = home.withColumn("r", rank).where(F.col("r") == k).select("kind", F.col("of_id").alias("id"), F.col("cosine").alias("floor"))
+    # A query with fewer than k vectors in its own leaves is sure of nothing yet.
+    second = cut(ask(asked.join(kth, ["kind", "id"], "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0))), sure))
+    away = second.groupBy("kind", "cell").cogroup(grown()).applyInArrow(_meet_leaf(dim, k), schema)
+    looked = first.select("kind", "id", "looked").unionByName(second.select("kind", "id", "looked")).groupBy("kind", F.col("id").alias("of_id")).agg(F.sum("looked").alias("met"))
+    return home.unionByName(away).distinct(), looked
+
+
+def nearest(vectors: DataFrame, dim: int, k: int = 10, every: int = 20, sure: float = SURE) -> DataFrame:
+    """(kind, of, other, rank, cosine): the k most similar others of every ``every``-th vector, by the forest.
+
+    The stated query set (ids divisible by ``every``) against all vectors; of many copies of one
+    vector those of the smallest keys come out. ``vectors`` is (kind, key, id, vec) and is read
+    several times."""
+    side = _without_surplus(vectors.withColumn("vec_hash", F.xxhash64("vec")), k)
+    return _named(_search(vectors, side, dim, k, every, sure)[0], vectors, k)
+
+
+def recall(vectors: DataFrame, dim: int, k: int = 10, every: int = 20, sure: float = SURE) -> DataFrame:
+    """(kind, queries, recall, looked): the share of the exact k nearest that the forest finds, and
+    how many of all vectors a query meets (those met in several trees count several times).
+
+    A vector as near as the k-th, to five digits, is right."""
+    found, looked = _search(vectors, vectors, dim, k, every, sure)
+    got, want = cut(_named(found, vectors, k)), cut(exact_nearest(vectors, dim, k, every))
+    kth = want.groupBy("kind", "of").agg(F.min("cosine").alias("kth"), F.count(F.lit(1)).alias("wanted"))
+    right = got.join(kth, ["kind", "of"], "right").groupBy("kind", "of").agg(F.count_if(F.col("cosine") >= F.col("kth") - 1e-5).alias("right"), F.max("wanted").alias("wanted"))
+    size = vectors.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    share = looked.join(size, "kind").groupBy("kind").agg(F.avg(F.col("met") / F.col("n")).alias("looked"))
+    return right.groupBy("kind").agg(F.count(F.lit(1)).alias("queries"), (F.sum(F.least("right", "wanted")) / F.sum("wanted")).alias("recall")).join(share, "kind")

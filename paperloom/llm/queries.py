@@ -54,9 +54,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return forest.mutual_neighbours(forest.literature_vectors(*(table(spark, d, t) for t in ("chunks", "entities", "papers"))))
 
 
+def _unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return cut(forest.unit_vectors(forest.literature_vectors(*(table(spark, d, t) for t in ("chunks", "entities", "papers"))), 64))
+
+
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    parts = forest.literature_vectors(*(table(spark, d, t) for t in ("chunks", "entities", "papers")))
-    return forest.nearest(cut(forest.unit_vectors(parts, 64)), 64).select("kind", "of", "other", "rank", F.round("cosine", 5).alias("cosine"))
+    return forest.nearest(_unit_vectors(spark, d), 64).select("kind", "of", "other", "rank", F.round("cosine", 5).alias("cosine"))
+
+
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    return forest.recall(_unit_vectors(spark, d), 64).select("kind", "queries", F.round("recall", 4).alias("recall"), F.round("looked", 4).alias("looked"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +82,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.find_personal(table(spark, d, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_report": p2_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_report": p2_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
 
 def _horner(x: str, coefficients: tuple[float, ...]) -> str:
     out = f"({coefficients[0]!r})"

@@ -164,7 +164,7 @@ def test_nearest_is_brute_force(spark, monkeypatch):
     x = np.random.default_rng(2).standard_normal((900, 64)).astype(np.float32)
     v = forest.unit_vectors(vectors(spark, x), 64)
     got = {}
-    for r in forest.nearest(v, 64, 5, 10).collect():
+    for r in forest.exact_nearest(v, 64, 5, 10).collect():
         got.setdefault(r.of, []).append((r.rank, r.other))
     u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
     s = u @ u.T
@@ -174,6 +174,47 @@ def test_nearest_is_brute_force(spark, monkeypatch):
         assert [o for _, o in sorted(found)] == [f"k{j:04d}" for j in np.argsort(-s[int(key[1:])])[:5]]
 
 
+def test_nearest_by_the_forest(spark, monkeypatch):
+    """Unrelated vectors, a near group and a crowded leaf with several cells: nine of ten at least, most of the vectors not met."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((9000, 64)).astype(np.float32)
+    x[:1500] = x[0] + 0.05 * rng.standard_normal((1500, 64)).astype(np.float32)
+    monkeypatch.setattr(forest, "SIDE_BLOCK", 500)
+    v = forest.cut(forest.unit_vectors(vectors(spark, x), 64))
+    (r,) = forest.recall(v, 64, 10, 25).collect()
+    assert r.recall >= 0.9 and r.looked < 0.75 and r.queries > 250
+    got = {}
+    for r in forest.nearest(v, 64, 10, 25).collect():
+        got.setdefault(r.of, []).append((r.rank, r.other, r.cosine))
+    assert all([a for a, _, _ in sorted(g)] == list(range(1, 11)) and of not in {o for _, o, _ in g} for of, g in got.items())
+    assert forest.nearest(v.limit(0), 64).count() == 0
+    few = forest.nearest(v.where("id % 25 = 0").limit(4), 64, 10, 25).groupBy("of").count().collect()
+    assert [r["count"] for r in few] == [3] * 4
+
+
+def test_nearest_of_many_copies(spark):
+    x = np.random.default_rng(1).standard_normal((80, 64)).astype(np.float32)
+    x[:60] = x[0]
+    got = {}
+    for r in forest.nearest(forest.unit_vectors(vectors(spark, x), 64), 64, 5, 1).collect():
+        got.setdefault(r.of, set()).add(r.other)
+    assert len(got) == 80 and all(got[f"k{i:04d}"] == set([f"k{j:04d}" for j in range(60) if j != i][:5]) for i in range(60))
+
+
+def test_likely_leaves_are_probabilities():
+    rng = np.random.default_rng(4)
+    tree = forest.Tree(*forest.split_prefixes(np.sort(rng.integers(0, 1 << 32, 4000, dtype=np.uint32)), 100), np.empty(0))
+    q = rng.standard_normal((20, forest.BITS))
+    for c in (0.0, 0.5, 0.95):
+        p = forest.likely_leaves(q, tree, np.full(20, c))
+        assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
+    # A simulated neighbour falls into the leaves as often as foretold.
+    at = 0.8 * q[0] + np.sqrt(1 - 0.64) * rng.standard_normal((20_000, forest.BITS))
+    strings = ((at > 0).astype(np.uint64) << np.arange(31, -1, -1).astype(np.uint64)).sum(axis=1).astype(np.uint32)
+    seen = np.bincount(tree.leaf(strings), minlength=len(tree.starts)) / 20_000
+    assert np.abs(seen - forest.likely_leaves(q[:1], tree, np.array([0.8]))[0]).max() < 0.015
+
+
 def test_copies_beyond_k(spark):
     x = np.random.default_rng(1).standard_normal((50, 64)).astype(np.float32)
     x[:30] = x[0]
