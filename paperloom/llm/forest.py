@@ -21,8 +21,8 @@ tells how easily a bit differs), and the query ascends in all trees at once to e
 leaves until such a neighbour would be met with probability ``SURE``. Exact cosines decide.
 
 Where more than ``DENSE`` of a vector's candidates in some tree may have the wanted cosine, its ten
-nearest need not be in the stretch. Such vectors are held against all of their kind in cells of
-bounded size (:func:`nearest_of`), so their nearest are exact.
+nearest need not be in the stretch. Such vectors ascend in the same way, until a neighbour as near as
+the last is met with probability ``SURE_DENSE``.
 
 Vectors of a wrong length, with null, NaN or infinite numbers, and all-zero ones take no part.
 Several rows of one key stand for one vector (the smallest, of those that differ). More than
@@ -52,7 +52,7 @@ BLOCK, SAMPLE = 16_384, 20_000
 PAIRS_BROADCAST = 150_000
 SEED = 7
 #: The search of the k nearest: trees, vectors a leaf, and how surely a neighbour must be met.
-TOP_TREES, LEAF, SURE = 8, 256, 0.9
+TOP_TREES, LEAF, SURE, SURE_DENSE = 8, 256, 0.9, 0.9999
 
 
 def _units(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -178,12 +178,16 @@ def _plant(dim: int, trees: int, blocks: dict[str, list[Tree]]) -> Callable[[Ite
                 for t in range(trees):
                     s = strings[own, t]
                     entries["string"] = s
-                    block = blocks[kind][t].leaf(s)
+                    tree = blocks[kind][t]
+                    # A block that no longer prefix can split holds near vectors only; its parts are as
+                    # dense as the whole, so its vectors are told as such in each of them.
+                    leaf = tree.leaf(s)
+                    block = _cell(t, leaf, (ids[own] >> 7) % np.maximum(1, np.ceil(tree.sizes / (4 * BLOCK))).astype(np.int64)[leaf])
                     order = np.argsort(block, kind="stable")
                     bounds = np.flatnonzero(np.diff(block[order])) + 1
                     for piece in np.split(order, bounds):
                         names.append(kind)
-                        number.append((t << 40) | int(block[piece[0]]))
+                        number.append(int(block[piece[0]]))
                         data.append(entries[piece].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(number, pa.int64()), pa.array(data, pa.binary())], ["kind", "block", "entries"])
 
@@ -257,12 +261,12 @@ def similar_pairs(vectors: DataFrame, dim: int, cosine: float, k: int, trees: in
     pairs = cut(candidates(vectors, dim, cosine, trees, reach))
     dense = pairs.where("a = b").select("kind", F.col("a").alias("id"))
     pairs = pairs.where("a <> b")
-    sizes = {r["kind"]: r["n"] for r in dense.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if sizes:
+    crowded = [r["kind"] for r in dense.select("kind").distinct().collect()]
+    if crowded:
         # k - 1 nearer ones and k + 1 copies of one vector may tie for the last places.
-        near = nearest_of(vectors.join(dense, ["kind", "id"], "left_semi"), vectors.where(F.col("kind").isin(list(sizes))), max(sizes.values()), dim, 2 * k)
-        exact = near.where(F.col("cosine") >= cosine - 1e-6).select("kind", F.least("of_id", "other_id").alias("a"), F.greatest("of_id", "other_id").alias("b"))
-        pairs = cut(pairs.unionByName(exact).distinct())
+        near = _search(vectors.join(dense, ["kind", "id"], "left_semi"), vectors.where(F.col("kind").isin(crowded)), dim, 2 * k, SURE_DENSE)[0]
+        met = near.where(F.col("cosine") >= cosine - 1e-6).select("kind", F.least("of_id", "other_id").alias("a"), F.greatest("of_id", "other_id").alias("b"))
+        pairs = cut(pairs.unionByName(met).distinct())
     few = pairs.count() <= PAIRS_BROADCAST
     side = lambda s: vectors.select("kind", F.col("id").alias(s), F.col("key").alias(f"key_{s}"), F.col("vec").alias(f"vec_{s}"))
     if few:
@@ -365,12 +369,16 @@ def nearest_of(asked: DataFrame, vectors: DataFrame, most: int, dim: int, k: int
     return asked.groupBy(*cell).cogroup(side.groupBy(*cell)).applyInArrow(_nearest(dim, k), "kind string, of_id bigint, other_id bigint, cosine double")
 
 
+def _every(vectors: DataFrame, n: int) -> DataFrame:
+    return vectors.where(F.pmod("id", F.lit(n)) == 0)
+
+
 def exact_nearest(vectors: DataFrame, dim: int, k: int = 10, every: int = 20) -> DataFrame:
     """(kind, of, other, rank, cosine): the k most similar others of every ``every``-th vector.
 
     Held against all of their kind, in cells of bounded size; what :func:`nearest` is measured by."""
     most = max([0, *(r["n"] for r in vectors.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect())])
-    found = nearest_of(vectors.where(F.pmod("id", F.lit(every)) == 0), vectors, -(-most // every), dim, k)
+    found = nearest_of(_every(vectors, every), vectors, -(-most // every), dim, k)
     return _named(found, vectors, k)
 
 
@@ -533,11 +541,11 @@ def _meet_leaf(dim: int, k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Tab
     return run
 
 
-def _search(vectors: DataFrame, side: DataFrame, dim: int, k: int, every: int, sure: float) -> tuple[DataFrame, DataFrame]:
+def _search(asked: DataFrame, side: DataFrame, dim: int, k: int, sure: float) -> tuple[DataFrame, DataFrame]:
     """(found, looked): (kind, of_id, other_id, cosine), and (kind, of_id, met) of each query."""
     # Trees of few leaves hold much the same in each, so a small kind needs few.
     forest = {kind: trees[: max(1, len(trees[0].starts))] for kind, trees in fit(side, dim, TOP_TREES, LEAF).items()}
-    asked = vectors.where(F.pmod("id", F.lit(every)) == 0).select(F.col("kind").alias("kind"), F.col("id").alias("id"), F.col("vec").alias("vec"))
+    asked = asked.select(F.col("kind").alias("kind"), F.col("id").alias("id"), F.col("vec").alias("vec"))  # other names, as both may come from one table
     grown = lambda: side.select("kind", "id", "vec").mapInArrow(_grow(dim, forest), "kind string, cell bigint, entries binary").groupBy("kind", "cell")
     ask = lambda df, s: df.mapInArrow(_ask(dim, forest, s), "kind string, cell bigint, id bigint, vec binary, floor double, looked double")
     schema = "kind string, of_id bigint, other_id bigint, cosine double"
@@ -559,7 +567,7 @@ def nearest(vectors: DataFrame, dim: int, k: int = 10, every: int = 20, sure: fl
     vector those of the smallest keys come out. ``vectors`` is (kind, key, id, vec) and is read
     several times."""
     side = _without_surplus(vectors.withColumn("vec_hash", F.xxhash64("vec")), k)
-    return _named(_search(vectors, side, dim, k, every, sure)[0], vectors, k)
+    return _named(_search(_every(vectors, every), side, dim, k, sure)[0], vectors, k)
 
 
 def recall(vectors: DataFrame, dim: int, k: int = 10, every: int = 20, sure: float = SURE) -> DataFrame:
@@ -567,7 +575,7 @@ def recall(vectors: DataFrame, dim: int, k: int = 10, every: int = 20, sure: flo
     how many of all vectors a query meets (those met in several trees count several times).
 
     A vector as near as the k-th, to five digits, is right."""
-    found, looked = _search(vectors, vectors, dim, k, every, sure)
+    found, looked = _search(_every(vectors, every), vectors, dim, k, sure)
     got, want = cut(_named(found, vectors, k)), cut(exact_nearest(vectors, dim, k, every))
     kth = want.groupBy("kind", "of").agg(F.min("cosine").alias("kth"), F.count(F.lit(1)).alias("wanted"))
     right = got.join(kth, ["kind", "of"], "right").groupBy("kind", "of").agg(F.count_if(F.col("cosine") >= F.col("kth") - 1e-5).alias("right"), F.max("wanted").alias("wanted"))
