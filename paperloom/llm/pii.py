@@ -1,17 +1,20 @@
-"""Personal information inside free text: a skip-chain conditional random field over spans.
+"""Personal information inside free text: a skip-chain conditional random field.
 
 Nodes are the spans of a text that could be an item: e-mail notations, runs of digits and codes,
-street lines, and names (a title, a given name or initials with a capitalised word). A node's own
-potentials come from a log-linear model over its form and the words around it; neighbouring nodes
-share a chain potential; and nodes anywhere in the document that hold the same surname or number
-share a skip potential that favours equal labels. Loopy belief propagation passes messages until
-they settle, so a clear mention decides an unclear one of the same person or number.
-
-The model is trained piecewise: the unary part by multinomial logistic regression and the chain
-part by counts, on nodes of at most ``TRAIN_DOCS`` documents (drawn by a hash of their id) whose
-label is told by plain cue words, plus the seed sentences below. Features of cue words are left
-out at random in training, so that the form of an item is learnt as well. Labelled nodes decide
-exact limits at the end: overlaps go to the longer item (a name inside an address is no item).
+street lines, and names (what follows a title; initials, given names or any capitalised words with a
+capitalised word). A node's own potentials come from a log-linear model over its form and the words
+around it; neighbouring nodes share a chain potential; and nodes anywhere in the document that hold
+the same surname or number share a skip potential, those that hold a similar one (a surname within
+one slip, a number with the same last seven digits) another. Loopy belief propagation passes
+messages until they settle, so a clear mention decides an unclear one of the same person or number,
+and of overlapping spans the likelier one stands.
+
+All potentials are learnt, piecewise: the log-linear part by multinomial logistic regression, those
+of chain and skip edges from the labels at both ends. Labels come from documents that are labelled by
+construction (:mod:`paperloom.llm.pii_seeds`), then from the corpus itself: on at most ``TRAIN_DOCS``
+documents, drawn by a hash of their id, the first model labels what it is sure of (``SURE``), at most
+``NODES_AT_MOST`` nodes, and the second one learns from both. Features of context are left out at random
+in training, so that the form of an item is learnt as well.
 
 Positions count code points from 0. Null and empty texts have no items. Titles, labels and
 ``mailto:`` are not part of an item. Texts are read whole, whatever their length.
@@ -23,6 +26,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.labels import slips
+from paperloom.llm import pii_seeds
 from paperloom.llm.names import GIVEN, letters
 from paperloom.session import spread
 
 KINDS = ("none", "email", "phone", "id_number", "address", "name")
-DIM = 1 << 13
-TRAIN_DOCS = 20_000
+DIM = 1 << 15
+TRAIN_DOCS, NODES_AT_MOST, SEED_DOCS = 20_000, 30_000, 6_000
+#: Likelihood from which the first model's label of a node is taken for the second one.
+SURE = 0.95
+EDGES = ("chain", "equal", "similar")
 ROUNDS, DAMPING = 12, 0.3
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-Þ][^\W\d_]+)*"
@@ -43,7 +51,8 @@ _INITIALS = r"(?:[A-ZÀ-ÖØ-Þ]\.[  -]?){1,3}"
 _S = r"[  ]"
 # Words that stand before a name, a street or a number, in four languages.
 _TITLE = r"(?:Dra?|Prof|Professor|Mrs?|Ms|Miss|Mme|Mlle|M|Pr|Sra?|Srta|Herrn?|Frau|Don|Doña)"
-_TITLED = re.compile(rf"(?<!\w)(?:{_TITLE}\.?{_S}+)(?:{_TITLE}\.?{_S}+|med\.{_S}+|rer\.{_S}+|nat\.{_S}+|Dipl\.-Ing\.{_S}+)*(?={_CAP}|[A-ZÀ-ÖØ-Þ]\.)")
+_TITLE_AFTER = _TITLE.replace("|M|", "|")  # after another title it is an initial
+_TITLED = re.compile(rf"(?<!\w)(?:{_TITLE}\.?{_S}+)(?:{_TITLE_AFTER}\.?{_S}+|med\.{_S}+|rer\.{_S}+|nat\.{_S}+|Dipl\.-Ing\.{_S}+)*(?={_CAP}|[A-ZÀ-ÖØ-Þ]\.)")
 _BODY = re.compile(rf"(?:{_INITIALS}{_S}*{_CAP}|{_CAP},{_S}{_CAP}|{_CAP},{_S}(?:[A-ZÀ-ÖØ-Þ]\.)(?:{_S}?[A-ZÀ-ÖØ-Þ]\.)*|{_CAP}(?:{_S}+{_INITIALS})?{_S}+{_CAP}|{_CAP})")
 _NAME = re.compile(rf"(?<![\w.@-])(?:({_INITIALS}{_S}*{_CAP}(?:{_S}{_CAP})?)|({_CAP}),{_S}+({_CAP}|[A-ZÀ-ÖØ-Þ]\.(?:{_S}?[A-ZÀ-ÖØ-Þ]\.)*)|({_CAP})((?:{_S}+{_INITIALS})?{_S}+{_CAP}))")
 _EMAIL = re.compile(
@@ -61,32 +70,8 @@ _ADDRESS = [
     re.compile(rf"(?<![\w.,/-])(?:\d+(?:{_S}?(?:bis|ter))?,?{_S})?(?:rue|avenue|boulevard|place|impasse|allée|chemin|quai|cours){_S}(?:(?:de|du|des|la|le|les|d'|l'|de{_S}la){_S}?)*{_CAP}(?:{_S}{_CAP})*{_PLACE}?"),
     re.compile(rf"(?<![\w.-])(?:Calle|C/|Avda\.?|Avenida|Plaza|Pza\.?|Paseo|Camino|Ronda|Carrera){_S}?(?:(?:de|del|la|las|los|el){_S})*{_CAP}(?:{_S}{_CAP})*,?{_S}(?:n\.?º{_S})?\d+[A-Za-z]?(?!\w)(?:,{_S}\d+\.?º{_S}?\w?)?{_PLACE}?"),
 ]
-# Cue words of numbers, by what they announce; and heads that make a name no person.
-_CUES = {
-    "id_number": "passport passeport pasaporte reisepass insurance identity identification identité identidad identität ausweis patient record orcid versichertennummer versicherung sozialversicherung security ssn nino nif nie dni expediente carries licence license national mrn numéro",
-    "phone": "phone tel tél telephone téléphone teléfono telefon telefonisch fax call mobile handy cell reached erreichbar contacto ring dial hotline móvil portable",
-    "none": "grant lot catalogue version accession clone issn isbn doi batch serial model order sequence score sect fig table coordinates run values counts markers item article",
-}
-_CUE = {w: k for k, ws in _CUES.items() for w in ws.split()}
-_HEADS = frozenset("equation law test method theorem effect lane type correction university institute institut hospital college school department foundation syndrome disease street road avenue reaction distribution model index scale constant number transform survey catalogue registry benchmark panel cohort atlas archive".split())
 _NOT_NAME = frozenset("The A An This That These Those We Our In On At By For From With And Or But If Is Are Was Were Does Did Do No Not See Table Fig Figure Sect Section Data Values Version Street University Department Institute Die Der Das Ein Eine Für Wir Im Les Le La Un Une Nous El Los Las Una Por Para En Aún".split())
 
-#: Labelled by construction: {kind:text} marks an item, everything else is none.
-SEEDS = """Please write to {name:Anna Vexelmann} ({email:a.vexelmann@lab.example}) or call {phone:+44 20 7946 0000}.
-Contact: Dr. {name:B. Ostrander}, {address:12 Merrow Street, Holby}; phone {phone:(201) 555-0100}.
-Passport no. {id_number:XK1234567} belongs to {name:Robert Quillan}.
-Insurance number {id_number:000-12-3456} was stored. Lot 1234-5678-9 expired.
-ISSN 12345678 was printed. Accession VX123456 and clone KL 12345 are new.
-Author ORCID: {id_number:0000-0001-2345-6789}. Grant no. 1234-56-7890 supported this work.
-Die Versichertennummer {id_number:123 456 789} wurde gelöscht. Telefonisch erreichbar unter {phone:030/23125-000}.
-Le numéro d'identité {id_number:1 85 03 97 352 188 97} figurait au dossier. Tél. : {phone:01 99 00 00 00}, demander Mme {name:Lorand}.
-El documento de identidad {id_number:12345678Z} consta. Teléfono de contacto: {phone:999 20 00 00}.
-The catalogue number is 21-1234-01. Version 4.12.1234 of the solver was used.
-Nous remercions {name:Paule Virand} pour son aide, {address:65, rue des Lilas, 99165 Mirmont}.
-Ansprechpartner ist Dr. med. {name:Jutta Kerner}, {address:Hauptstraße 19, 99011 Wendlin}.
-Para consultas, escriba a Sra. {name:Zoe Marquin}, {address:Avda. Robles, 105, Ostby}."""
-
-
 @dataclass
 class Node:
     start: int
@@ -96,6 +81,7 @@ class Node:
     features: list[str]
 
 
+@lru_cache(1 << 16)
 def _given(word: str) -> bool:
     w = re.sub(r"[^a-z]", "", letters(word))
     return w in GIVEN or (len(w) >= 5 and any(abs(len(w) - len(x)) <= 1 and slips(w, x, 1) <= 1 for x in GIVEN if len(x) >= 5))
@@ -113,7 +99,15 @@ def _mask(s: str) -> str:
     return re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"\d", "9", s)))
 
 
-_QUICK = re.compile(r"@|[(\[] ?at ?[)\]]|\d")
+# What a text must hold for a pattern to match at all.
+_AT = re.compile(r"@|[(\[][  ]?at[  ]?[)\]]")
+_DIGIT = re.compile(r"\d")
+_STREET_WORDS = [
+    ("St", "Road", "Rd", "Lane", "Ln", "Court", "Ct", "Close", "Ave", "Dr", "Way", "Place", "Square", "Terrace", "Crescent", "Boulevard", "Blvd", "Row", "Hill", "Gardens"),
+    ("straße", "strasse", "str.", "platz", "gasse", "weg", "allee", "ring", "ufer", "damm"),
+    ("rue", "avenue", "boulevard", "place", "impasse", "allée", "chemin", "quai", "cours"),
+    ("Calle", "C/", "Avda", "Avenida", "Plaza", "Pza", "Paseo", "Camino", "Ronda", "Carrera"),
+]
 
 
 def nodes_of(text: str) -> list[Node]:
@@ -122,27 +116,22 @@ def nodes_of(text: str) -> list[Node]:
 
     def add(start: int, end: int, form: str, key: str, *extra: str) -> None:
         before, after = _words_before(text, start), _words_after(text, end)
-        f = [f"form={form}", *extra, *(f"{form}|b{i}={w}" for i, w in enumerate(before)), *(f"{form}|a{i}={w}" for i, w in enumerate(after))]
         # A label may stand inside the code itself, as in "ISSN 1234".
-        head = re.match(r"[A-Za-z]+", text[start:end]) if form == "code" else None
-        cue = next((_CUE[w] for w in ([head[0].lower()] if head else []) + before if w in _CUE), None)
-        if cue:
-            f.append(f"{form}|cue={cue}")
-        elif after and after[0] in _CUE:
-            f.append(f"{form}|cue_after={_CUE[after[0]]}")
+        if form == "code" and (head := re.match(r"[A-Za-z]{3,}", text[start:end])):
+            before = [head[0].lower(), *before]
         # What stands between the last word and the span.
         gap = re.search(r"[^\w]*$", text[max(0, start - 6) : start])[0].strip()
-        f.append(f"{form}|gap={gap}")
+        f = [f"form={form}", *extra, *(f"{form}|b{i}={w}" for i, w in enumerate(before[:3])), *(f"{form}|b={w}" for w in before), *(f"{form}|p={w[:6]}" for w in before), *(f"{form}|a{i}={w}" for i, w in enumerate(after)), f"{form}|gap={gap}"]
         out.append(Node(start, end, form, key, f))
 
-    if _QUICK.search(text):
+    if _AT.search(text):
         for m in _EMAIL.finditer(text):
             start = m.start() + (7 if m[0].lower().startswith("mailto:") else 0)
             add(start, m.end(), "email", m[0].lower(), f"at={'@' in m[0]}")
-        taken = [(n.start, n.end) for n in out]
+    if digit := bool(_DIGIT.search(text)):
         for m in _CODE.finditer(text):
             add(m.start(), m.end(), "code", re.sub(r"\W", "", m[0]), f"mask={_mask(m[0])}", f"len={len(re.sub(r'[^0-9]', '', m[0]))}")
-        codes = [(n.start, n.end) for n in out]
+        codes = [(n.start, n.end) for n in out]  # those of e-mails too
         for m in _DIGITS.finditer(text):
             s, e = m.start(), m.end()
             t = m[0]
@@ -155,9 +144,9 @@ def nodes_of(text: str) -> list[Node]:
                 continue
             mask = _mask(t)
             add(s, e, "digits", digits, f"mask={mask}", f"len={len(digits)}", f"head={mask[:4]}", f"plus={t[0] in '+(0'}", f"seps={''.join(sorted(set(re.sub(r'[0-9A-Za-z]', '', t))))}")
-        del taken
     for k, pattern in enumerate(_ADDRESS):
-        for m in pattern.finditer(text):
+        # Only a French street may go without a number.
+        for m in pattern.finditer(text) if (digit or k == 2) and any(w in text for w in _STREET_WORDS[k]) else ():
             add(m.start(), m.end(), "address", m[0].lower(), f"street={k}", f"number={bool(re.search(r'[0-9]', m[0]))}")
     fixed = [(n.start, n.end) for n in out if n.form in ("address", "email")]
     titled: dict[int, int] = {}
@@ -197,12 +186,16 @@ def nodes_of(text: str) -> list[Node]:
                 how = "inverted" if _given(m[3]) else "inverted_initials"
         elif _given(m[4]) and m[4] not in _NOT_NAME and m[5].split()[-1] not in _NOT_NAME:
             how = "given"
+        elif m[4] not in _NOT_NAME and "." not in m[5] and not (ws := m[5].split())[-1] in _NOT_NAME and not _given(ws[-1]) and min(len(m[4]), len(ws[-1])) > 2 and not (m[4].isupper() or ws[-1].isupper()):
+            how = "pair"
         if how and not any(x < b and a < y for x, y in done):
             words = re.findall(r"[^\W\d_]{3,}", text[a:b]) or [text[a:b]]
             key = words[0] if how.startswith("inverted") else words[-1]
             head = re.match(r"[- ]?([^\W\d_]+)", text[b : b + 20])
-            add(a, b, "name", letters(key), f"how={how}", f"head={bool(head and head[1].lower() in _HEADS)}")
-            pos = b
+            opens = not text[:a].rstrip() or text[:a].rstrip()[-1] in ".!?:\n" or "\n" in text[max(0, a - 2) : a]
+            add(a, b, "name", letters(key), f"how={how}", f"how={how}|opens={opens}", f"how={how}|head={head[1].lower() if head else ''}", *(f"how={how}|last={letters(w)}" for w in words[-1:]), *(f"how={how}|end={letters(w)[-3:]}" for w in words), *(f"how={how}|b0={w}" for w in _words_before(text, a, 1)))
+            # Of three capitalised words any two next to each other may be the name.
+            pos = b if how != "pair" else a + len(m[4])
         else:
             # Go on behind the first word, as the next may begin a name.
             step = re.match(rf"(?:[A-ZÀ-ÖØ-Þ]\.|{_CAP})[,  -]*", text[m.start() :])
@@ -210,177 +203,201 @@ def nodes_of(text: str) -> list[Node]:
     return sorted(out, key=lambda n: (n.start, -n.end))
 
 
-def silver(node: Node) -> str | None:
-    """The label that plain cue words tell, or nothing."""
-    f = set(node.features)
-    if node.form == "email":
-        return "email"
-    if node.form == "address":
-        return "address" if "number=True" in f else None
-    if node.form == "name":
-        return "none" if "head=True" in f else "name"
-    for cue in ("id_number", "phone", "none"):
-        if f"{node.form}|cue={cue}" in f:
-            return "none" if cue == "phone" and node.form == "code" else cue
-    return None
+def _variants(key: str) -> list[str]:
+    """What two keys within one slip of each other have in common."""
+    return [key, *(key[:i] + key[i + 1 :] for i in range(len(key)))]
 
 
-def _seed_nodes() -> list[tuple[list[Node], list[str]]]:
-    out = []
-    for line in SEEDS.splitlines():
-        marks, plain, last = [], "", 0
-        for m in re.finditer(r"\{(\w+):([^{}]*)\}", line):
-            plain += line[last : m.start()]
-            marks.append((len(plain), len(plain) + len(m[2]), m[1]))
-            plain += m[2]
-            last = m.end()
-        plain += line[last:]
-        nodes = nodes_of(plain)
-        out.append((nodes, [next((k for a, b, k in marks if a < n.end and n.start < b), "none") for n in nodes]))
+def edges_of(nodes: list[Node]) -> list[tuple[int, int, int]]:
+    """(i, j, sort of edge): neighbours, and each node with the last one before it that holds the
+    same or a similar thing; so their number grows with the nodes only."""
+    out = [(i, i + 1, 0) for i in range(len(nodes) - 1) if nodes[i + 1].start - nodes[i].end <= 80]
+    last: dict[str, int] = {}
+    near: dict[str, int] = {}
+    for j, x in enumerate(nodes):
+        if len(x.key) < 4 or x.form in ("email", "address"):
+            continue
+        signs = [x.key[-7:]] if x.form != "name" else _variants(x.key) if len(x.key) >= 5 else []
+        if x.key in last:
+            out.append((last[x.key], j, 1))
+        else:
+            met = {near[v] for v in signs if v in near}
+            for i in sorted(met):
+                if x.form != "name" or slips(nodes[i].key, x.key, 1) <= 1:
+                    out.append((i, j, 2))
+        last[x.key] = j
+        for v in signs:
+            near[v] = j
     return out
 
 
-def _index(features: list[str]) -> np.ndarray:
-    return np.array([zlib.crc32(f.encode()) % DIM for f in features], dtype=np.int64)
+#: Features of the context are told by their sign.
+def _coded(features: list[str]) -> list[int]:
+    return [~h if "|b" in f or "|a" in f or "|p=" in f else h for f in features for h in (zlib.crc32(f.encode()) % DIM,)]
+
+
+def _index(coded: list[int]) -> np.ndarray:
+    i = np.array(coded, dtype=np.int64)
+    return np.where(i < 0, ~i, i)
 
 
 @dataclass
 class Model:
     unary: np.ndarray  # (DIM, kinds)
-    chain: np.ndarray  # (kinds, kinds)
-    skip: float
+    pairs: np.ndarray  # (sorts of edges, kinds, kinds)
 
-    def label(self, nodes: list[Node]) -> list[str]:
-        """Labels by loopy belief propagation with damped max-normalised sum messages."""
-        if not nodes:
-            return []
+    def beliefs(self, nodes: list[Node], edges: list[tuple[int, int, int]] | None = None) -> np.ndarray:
+        """(nodes, kinds) marginals by loopy belief propagation with damped max-normalised sum messages."""
         n, k = len(nodes), len(KINDS)
-        own = np.stack([self.unary[_index(x.features)].sum(axis=0) for x in nodes])
-        edges = [(i, i + 1, self.chain) for i in range(n - 1) if nodes[i + 1].start - nodes[i].end <= 80]
-        last: dict[str, int] = {}
-        same = np.eye(k) * self.skip
-        for i, x in enumerate(nodes):
-            if len(x.key) >= 4:
-                if x.key in last:
-                    edges.append((last[x.key], i, same))
-                last[x.key] = i
-        if not edges:
-            return [KINDS[j] for j in own.argmax(axis=1)]
-        messages = np.zeros((2 * len(edges), k))
-        ends = [(i, j, p) for i, j, p in edges] + [(j, i, p.T) for i, j, p in edges]
-        half = len(edges)
-        for _ in range(ROUNDS):
+        own = np.stack([self.unary[_index(_coded(x.features))].sum(axis=0) for x in nodes]) if n else np.zeros((0, k))
+        edges = edges_of(nodes) if edges is None else edges
+        belief = own
+        if edges:
+            src = np.array([e[0] for e in edges] + [e[1] for e in edges])
+            dst = np.array([e[1] for e in edges] + [e[0] for e in edges])
+            sort = np.array([e[2] for e in edges])
+            table = np.concatenate([self.pairs[sort], self.pairs[sort].transpose(0, 2, 1)])
+            half, messages = len(edges), np.zeros((2 * len(edges), k))
+            back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
+            for _ in range(ROUNDS):
+                belief = own.copy()
+                np.add.at(belief, dst, messages)
+                z = (belief[src] - messages[back])[:, :, None] + table
+                top = z.max(axis=1)
+                fresh = top + np.log(np.exp(z - top[:, None, :]).sum(axis=1))
+                fresh -= fresh.max(axis=1, keepdims=True)
+                moved = float(np.abs(fresh - messages).max())
+                messages = DAMPING * messages + (1 - DAMPING) * fresh
+                if moved < 1e-3:
+                    break
             belief = own.copy()
-            for e, (_, j, _) in enumerate(ends):
-                belief[j] += messages[e]
-            moved = 0.0
-            fresh = np.empty_like(messages)
-            for e, (i, _, p) in enumerate(ends):
-                back = messages[e + half if e < half else e - half]
-                z = (belief[i] - back)[:, None] + p
-                top = z.max(axis=0)
-                out = top + np.log(np.exp(z - top).sum(axis=0))
-                fresh[e] = out - out.max()
-            moved = float(np.abs(fresh - messages).max())
-            messages = DAMPING * messages + (1 - DAMPING) * fresh
-            if moved < 1e-3:
-                break
-        belief = own.copy()
-        for e, (_, j, _) in enumerate(ends):
-            belief[j] += messages[e]
-        return [KINDS[j] for j in belief.argmax(axis=1)]
-
-
-def train(groups: list[tuple[list[list[str]], list[str]]], epochs: int = 12, seed: int = 3) -> Model:
-    """``groups``: per document, features of its nodes and their labels (empty: unknown)."""
+            np.add.at(belief, dst, messages)
+        p = np.exp(belief - belief.max(axis=1, keepdims=True)) if n else belief
+        return p / p.sum(axis=1, keepdims=True) if n else p
+
+    def label(self, nodes: list[Node]) -> list[str]:
+        return [KINDS[j] for j in self.beliefs(nodes).argmax(axis=1)] if nodes else []
+
+
+def train(groups: list[tuple[list[list[int]], list[str], list[tuple[int, int, int]]]], epochs: int = 7, seed: int = 3) -> Model:
+    """``groups``: per document, the coded features of its nodes, their labels (empty: unknown), its edges."""
     rng = np.random.default_rng(seed)
     rows, ys = [], []
-    chain = np.ones((len(KINDS), len(KINDS)))
-    for features, labels in groups:
+    pairs = np.full((len(EDGES), len(KINDS), len(KINDS)), 0.5)
+    for features, labels, edges in groups:
         for f, y in zip(features, labels):
             if y:
                 rows.append(f)
                 ys.append(KINDS.index(y))
-        for a, b in zip(labels, labels[1:]):
-            if a and b:
-                chain[KINDS.index(a), KINDS.index(b)] += 1
+        for i, j, sort in edges:
+            if labels[i] and labels[j]:
+                pairs[sort, KINDS.index(labels[i]), KINDS.index(labels[j])] += 1
     y = np.array(ys)
     w = np.zeros((DIM, len(KINDS)))
     grad2 = np.full((DIM, len(KINDS)), 1e-6)
     # Rare labels count as much as frequent ones, up to a factor of ten.
     counts = np.bincount(y, minlength=len(KINDS)).astype(float)
     balance = np.clip(counts.max() / np.maximum(counts, 1), 1, 10) ** 0.5
-    index = [_index(r) for r in rows]
-    soft = [np.array(["|cue" in f or "|b" in f or "|a" in f for f in r]) for r in rows]
-    size = np.array([len(i) for i in index])
-    flat, soft_flat = np.concatenate(index), np.concatenate(soft)
-    owner = np.repeat(np.arange(len(rows)), size)
+    size = np.array([len(r) for r in rows])
+    coded = np.concatenate([np.array(r, dtype=np.int64) for r in rows])
+    soft, flat = coded < 0, np.where(coded < 0, ~coded, coded)
+    ends = np.cumsum(size)
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for block in np.array_split(order, max(1, len(rows) // 256)):
-            pick = np.zeros(len(rows), dtype=bool)
-            pick[block] = True
+        for block in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
             # Context is left out for a third of the nodes.
-            bare = rng.random(len(rows)) < 0.33
-            use = pick[owner] & ~(soft_flat & bare[owner])
-            at = np.full(len(rows), -1)
-            at[block] = np.arange(len(block))
+            bare = rng.random(len(block)) < 0.33
+            at = np.repeat(np.arange(len(block)), size[block])
+            pick = np.concatenate([np.arange(ends[i] - size[i], ends[i]) for i in block])
+            use = ~(soft[pick] & bare[at])
+            pick, at = flat[pick[use]], at[use]
             z = np.zeros((len(block), len(KINDS)))
-            np.add.at(z, at[owner[use]], w[flat[use]])
+            np.add.at(z, at, w[pick])
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(block)), y[block]] -= 1
             p *= balance[y[block]][:, None]
-            g = np.zeros_like(w)
-            np.add.at(g, flat[use], p[at[owner[use]]])
-            g = g / len(block) + 1e-5 * w
-            grad2 += g * g
-            w -= 0.5 * g / np.sqrt(grad2)
-    joint = chain / chain.sum()
-    pmi = np.log(joint / (joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True)))
-    return Model(w.astype(np.float32), np.clip(0.5 * pmi, -1.5, 1.5), 1.5)
-
-
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        feats, labels = [], []
-        for t in b["text"].to_pylist():
-            nodes = nodes_of(t or "")
-            got = [silver(n) or "" for n in nodes]
-            if any(got):
-                feats.append(["\x1f".join(n.features) for n in nodes])
-                labels.append(got)
-        yield pa.RecordBatch.from_arrays([pa.array(feats, pa.list_(pa.string())), pa.array(labels, pa.list_(pa.string()))], ["features", "labels"])
-
-
-def fit(docs: DataFrame, most: int = TRAIN_DOCS, nodes_at_most: int = 60_000) -> Model:
-    """Train on at most ``most`` documents; the sample is drawn by a hash of the id."""
+            touched, where = np.unique(pick, return_inverse=True)
+            g = np.zeros((len(touched), len(KINDS)))
+            np.add.at(g, where, p[at])
+            g = g / len(block) + 1e-5 * w[touched]
+            grad2[touched] += g * g
+            w[touched] -= 0.5 * g / np.sqrt(grad2[touched])
+    joint = pairs / pairs.sum(axis=(1, 2), keepdims=True)
+    pmi = np.log(joint / (joint.sum(axis=2, keepdims=True) * joint.sum(axis=1, keepdims=True)))
+    # A neighbour tells little that the words do not, so the chain counts half.
+    return Model(w.astype(np.float32), np.clip(pmi, -3, 3) * np.array([0.5, 1.0, 1.0])[:, None, None])
+
+
+def seed_groups(documents: list[tuple[str, list[tuple[int, int, str]]]]) -> list[tuple]:
+    """Training groups of documents with their items: a node is an item if it begins as one does, and
+    if any capitalised words would do, ends no later."""
+    out = []
+    for text, items in documents:
+        nodes = nodes_of(text)
+        at = {a: (b, k) for a, b, k in items}
+        labels = [at[n.start][1] if n.start in at and not ("how=pair" in n.features and n.end > at[n.start][0]) else "none" for n in nodes]
+        out.append(([_coded(n.features) for n in nodes], labels, edges_of(nodes)))
+    return out
+
+
+def first_model(documents: int = SEED_DOCS) -> Model:
+    """The model of the constructed documents alone."""
+    return train(seed_groups(pii_seeds.documents(documents)))
+
+
+_LABELLED = pa.struct([("features", pa.list_(pa.list_(pa.int32()))), ("labels", pa.list_(pa.string())), ("edges", pa.list_(pa.list_(pa.int32())))])
+
+
+def _sure(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b["text"].to_pylist():
+                nodes = nodes_of(t or "")
+                if not nodes:
+                    continue
+                edges = edges_of(nodes)
+                p = model.beliefs(nodes, edges)
+                labels = [KINDS[j] if p[i, j] >= SURE else "" for i, j in enumerate(p.argmax(axis=1))]
+                if any(labels):
+                    out.append({"features": [_coded(n.features) for n in nodes], "labels": labels, "edges": [list(e) for e in edges]})
+            yield pa.RecordBatch.from_arrays([pa.array(out, _LABELLED)], ["x"])
+
+    return run
+
+
+def fit(docs: DataFrame, most: int = TRAIN_DOCS, nodes_at_most: int = NODES_AT_MOST) -> Model:
+    """The model of the constructed documents and of at most ``most`` of ``docs``, drawn by a hash of the id."""
+    seeds = seed_groups(pii_seeds.documents(SEED_DOCS))
+    model = train(seeds)
     total = max(1, docs.count())
-    share = min(1.0, most / total)
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    sample = docs.where(draw < share).where(F.length("text") > 0).select("text")
-    got = spread(sample).mapInArrow(_collect, "features array<string>, labels array<string>").limit(most).toArrow()
-    groups = [([n.features for n in nodes], labels) for nodes, labels in _seed_nodes()] * 3
-    used = 0
-    for f, y in zip(got["features"].to_pylist(), got["labels"].to_pylist()):
+    sample = docs.where(draw < min(1.0, most / total)).where(F.length("text") > 0).select("text")
+    got = spread(sample).mapInArrow(_sure(model), "x struct<features:array<array<int>>,labels:array<string>,edges:array<array<int>>>").limit(most).toArrow()
+    groups, used = list(seeds), 0
+    for x in got["x"].to_pylist():
         if used < nodes_at_most:
-            groups.append(([x.split("\x1f") for x in f], y))
-            used += len(y)
+            groups.append((x["features"], x["labels"], [tuple(e) for e in x["edges"]]))
+            used += len(x["labels"])
     return train(groups)
 
 
+_FORMS = {"email": {"email"}, "phone": {"digits"}, "id_number": {"digits", "code"}, "address": {"address"}, "name": {"name"}}
+
+
 def items_of(text: str | None, model: Model) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the items of a text."""
     if not text:
         return []
     nodes = nodes_of(text)
-    labelled = [(k, n) for k, n in zip(model.label(nodes), nodes) if k != "none"]
-    # Exact limits: an item of a form that cannot be of its kind is none, and the longer of two
-    # overlapping items stands.
-    forms = {"email": {"email"}, "phone": {"digits"}, "id_number": {"digits", "code"}, "address": {"address"}, "name": {"name"}}
-    labelled = [(k, n) for k, n in labelled if n.form in forms[k]]
+    if not nodes:
+        return []
+    beliefs = model.beliefs(nodes)
+    # Exact limits: an item of a form that cannot be of its kind is none; of two overlapping items
+    # of different forms the longer stands, of two names the likelier.
+    labelled = [(KINDS[j], n, float(p[j])) for n, p in zip(nodes, beliefs) for j in (int(p.argmax()),) if j and n.form in _FORMS[KINDS[j]]]
     kept: list[tuple[str, Node]] = []
-    for k, n in sorted(labelled, key=lambda x: (x[1].start - x[1].end, x[1].start)):
+    for k, n, _ in sorted(labelled, key=lambda x: (x[0] == "name", -x[2] if x[0] == "name" else x[1].start - x[1].end, x[1].start)):
         if not any(m.start < n.end and n.start < m.end for _, m in kept):
             kept.append((k, n))
     return sorted(((k, n.start, n.end) for k, n in kept), key=lambda x: x[1])

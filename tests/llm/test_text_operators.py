@@ -3,12 +3,14 @@
 import random
 import re
 
+import numpy as np
+import pii_held_out
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from paperloom.llm import chunker, encode, mixture, pii
+from paperloom.llm import chunker, encode, mixture, pii, pii_seeds
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -122,7 +124,7 @@ def test_mixture_of_nothing(spark):
 
 @pytest.fixture(scope="module")
 def model():
-    return pii.train([([n.features for n in nodes], labels) for nodes, labels in pii._seed_nodes()] * 5)
+    return pii.first_model()
 
 
 CASES = [
@@ -159,6 +161,51 @@ def test_skip_edges_carry_a_label(model):
     assert kinds == ["id_number", "id_number"]
 
 
+def _marked(marked):
+    items, plain, last = set(), "", 0
+    for m in re.finditer(r"\{(\w+):([^{}]*)\}", marked):
+        plain += marked[last : m.start()]
+        items.add((m[1], len(plain)))
+        plain += m[2]
+        last = m.end()
+    return plain + marked[last:], items
+
+
+def _wrong(model, marked):
+    """(items, wrongly found, missed) of marked texts."""
+    found = [(want, {(k, a) for k, a, _ in pii.items_of(text, model)}) for text, want in map(_marked, marked)]
+    return sum(len(w) for w, _ in found), sum(len(g - w) for w, g in found), sum(len(w - g) for w, g in found)
+
+
+def test_other_wordings(model):
+    items, wrong, missed = _wrong(model, pii_held_out.SENTENCES)
+    assert items > 30 and wrong <= 2 and missed <= 2
+
+
+def test_repeats_are_decided_by_skip_edges(model):
+    items, wrong, missed = _wrong(model, pii_held_out.DOCUMENTS)
+    alone = pii.Model(model.unary, model.pairs * np.array([1, 0, 0])[:, None, None])
+    _, wrong_alone, missed_alone = _wrong(alone, pii_held_out.DOCUMENTS)
+    assert items >= 18 and wrong + missed <= 2 and wrong_alone + missed_alone >= wrong + missed + 3
+
+
+def test_constructed_documents_of_another_seed(model):
+    tp = fp = fn = 0
+    for text, items in pii_seeds.documents(200, seed=9):
+        got, want = {(k, a) for k, a, _ in pii.items_of(text, model)}, {(k, a) for a, _, k in items}
+        tp, fp, fn = tp + len(got & want), fp + len(got - want), fn + len(want - got)
+    assert tp / (tp + fp) > 0.97 and tp / (tp + fn) > 0.88
+
+
+def test_edges_grow_with_the_nodes(model):
+    text = "Dr. Jutta Kerner wrote. " * 400 + "Call +44 20 7946 0123. " * 400 + "Dr. Jutta Kernre left."
+    nodes = pii.nodes_of(text)
+    edges = pii.edges_of(nodes)
+    assert len(nodes) == 801 and len(edges) < 3 * len(nodes)
+    assert {s for _, _, s in edges} == {0, 1, 2} and edges[-1][2] == 2
+    assert len(pii.items_of(text, model)) == 801
+
+
 def test_personal_of_nulls_and_empties(spark, model):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "Mail a.b@c.example now", None)], "doc_id bigint, text string, items string")
     got = {r.doc_id: (r.redacted, len(r["items"])) for r in pii.find_personal(df, model).collect()}
