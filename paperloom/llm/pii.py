@@ -330,12 +330,13 @@ def train(groups: list[tuple[list[list[int]], list[str], list[tuple[int, int, in
 
 def seed_groups(documents: list[tuple[str, list[tuple[int, int, str]]]]) -> list[tuple]:
     """Training groups of documents with their items: a node is an item if it begins as one does, and
-    if any capitalised words would do, ends no later."""
+    if any capitalised words would do, ends no later; the label of a name inside another is not told."""
     out = []
     for text, items in documents:
         nodes = nodes_of(text)
         at = {a: (b, k) for a, b, k in items}
-        labels = [at[n.start][1] if n.start in at and not ("how=pair" in n.features and n.end > at[n.start][0]) else "none" for n in nodes]
+        inside = lambda n: n.form == "name" and any(k == "name" and a < n.start and n.end <= b for a, b, k in items)
+        labels = [at[n.start][1] if n.start in at and not ("how=pair" in n.features and n.end > at[n.start][0]) else "" if inside(n) else "none" for n in nodes]
         out.append(([_coded(n.features) for n in nodes], labels, edges_of(nodes)))
     return out
 
