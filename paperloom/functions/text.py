@@ -146,3 +146,9 @@ def numeric_text(c: Column) -> Column:
 def unfenced(c: Column) -> Column:
     """JSON text without the code fence around it."""
     return F.trim(F.regexp_replace(F.trim(c), r"^```(?:json)?\s*|\s*```$", ""))
+
+
+def without_markup(c: Column) -> Column:
+    """The text without scripts, styles, comments and tags, white space collapsed."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " "), r"(?s)<[^>]+>", " ")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))

@@ -70,7 +70,8 @@ def top_k(scored: DataFrame, k: int, *ties: Column | str, score: str = "score")
 
 def vector_scores(docs: DataFrame, vector: str, query: list[float]) -> DataFrame:
     """Adds ``score``: the dot product with the query vector; rows of other lengths are left out."""
-    return docs.where(F.size(vector) == len(query)).withColumn("score", V.dot(F.col(vector), V.literal(query)))
+    same = F.size(vector) == len(query)  # asked again, as a filter on the score may be put before this one
+    return docs.where(same).withColumn("score", F.when(same, V.dot(F.col(vector), V.literal(query))))
 
 
 def hybrid_chunk_score(similarity: Column, overlap: Column, salience: Column) -> Column:

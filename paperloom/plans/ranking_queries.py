@@ -182,15 +182,3 @@ def bundle_enrichment(spark, d):
     top = F.broadcast(top)  # thirty rows
     n = table(spark, d, "entities").join(top.select(F.col("chunk_id").alias("source_chunk_id")), "source_chunk_id", "left_semi").groupBy("source_chunk_id").agg(F.count_distinct("entity_id").alias("entities"))
     return current_papers(spark, d).select("paper_id", "title").join(top, "paper_id").join(n, F.col("chunk_id") == F.col("source_chunk_id"), "left").select("chunk_id", "paper_id", "title", F.coalesce("entities", F.lit(0)).alias("entities"), F.round("score", 5).alias("score"))
-
-
-@query()
-def hybrid_retrieval(spark, d):
-    """The whole retrieval: three rankings of the chunks for one query, fused."""
-    vector = R.top_k(hybrid_rows(spark, d), 30, "chunk_id").select("chunk_id", "score", F.lit("vector").alias("source"))
-    lexical = R.top_k(bm25_rows(spark, d), 30, "chunk_id").select("chunk_id", "score", F.lit("bm25").alias("source"))
-    graph = table(spark, d, "entities").where(F.contains(F.lit(QUERY), F.lower(F.element_at(F.split(F.trim("label"), " "), -1)))).select(F.explode("mention_chunk_ids").alias("chunk_id"), "entity_id").groupBy("chunk_id").agg(F.count_distinct("entity_id").cast("double").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(30).select("chunk_id", "score", F.lit("graph").alias("source"))
-    hits = vector.unionByName(lexical).unionByName(graph)  # ninety rows
-    r = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "chunk_id"))
-    fused = R.reciprocal_ranks(hits.withColumn("rank", r).withColumn("g", F.lit(0)).withColumnRenamed("chunk_id", "key"), ["g"])
-    return fused.orderBy(F.desc("rrf"), F.desc("sources"), "key").limit(10).select("key", F.round("rrf", 8).alias("rrf"), "sources", "source_scores")
