@@ -5,43 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.session import cut
+from paperloom.session import cut, shuffle_width
 
 
 def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """(node, rank) of the directed ``edges(src, dst)``; dangling mass is spread evenly.
 
-    Edges are kept once, with their source's out-degree; each round joins the ranks (nodes) to them
-    and aggregates by target with map-side sums, so a node of any in-degree is no hot key. Lineage
-    is cut every round in reliable storage."""
+    Edges with their source's out-degree are partitioned by source once and kept so; a round shuffles
+    the ranks and the sums that flow to each target (map-side sums first, so a node of any in-degree
+    is no hot key), never the edges. The dangling mass of a round is one row. Lineage is cut in
+    reliable storage every round."""
+    width = shuffle_width(edges.sparkSession)
     distinct = edges.select("src", "dst").distinct()
     degree = distinct.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = cut(distinct.join(degree, "src"))
-    nodes = cut(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().join(degree.withColumnRenamed("src", "node"), "node", "left"))
+    links = distinct.join(degree, "src").repartition(width, "src").persist()
+    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().join(degree.withColumnRenamed("src", "node"), "node", "left").repartition(width, "node").persist()
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     ranks = nodes.select("node", F.lit(1.0 / n).alias("rank"), F.col("degree").isNull().alias("dangling"))
-    for i in range(iterations):
+    for _ in range(iterations):
         flow = links.join(ranks, links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("inflow"))
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost")).first()["lost"]
-        ranks = nodes.join(flow, nodes["node"] == flow["dst"], "left").select(
-            "node", (F.lit((1 - damping) / n) + damping * (F.coalesce("inflow", F.lit(0.0)) + F.lit(lost / n))).alias("rank"), F.col("degree").isNull().alias("dangling")
+        lost = F.broadcast(ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost")))  # one row
+        ranks = nodes.join(flow, nodes["node"] == flow["dst"], "left").join(lost).select(
+            "node", (F.lit((1 - damping) / n) + damping * (F.coalesce("inflow", F.lit(0.0)) + F.col("lost") / n)).alias("rank"), F.col("degree").isNull().alias("dangling")
         )
-        # The sum above is an action, so the ranks of a round are kept for the next one.
-        ranks = cut(ranks)
+        ranks = cut(ranks)  # nodes only; the next round starts from storage
+    for x in (links, nodes):
+        x.unpersist()
     return ranks.select("node", "rank")
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(node, distance): undirected, the least distance up to ``hops``; each round only new nodes go on.
 
-    ``edges(src, dst)``, ``seeds(node)``; blank seeds are left out."""
+    ``edges(src, dst)``, ``seeds(node)``; blank seeds are left out. The edges are read once."""
     both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).where("src <> dst").distinct()
+    if hops > 1:
+        both = cut(both)
     found = cut(seeds.where(F.trim(F.col("node").cast("string")) != "").select("node").distinct().withColumn("distance", F.lit(0)))
     for h in range(1, max(0, hops) + 1):
         frontier = found.where(F.col("distance") == h - 1)
-        fresh = both.join(frontier, both["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct().join(found.select("node"), "node", "left_anti").withColumn("distance", F.lit(h))
+        fresh = both.join(frontier, both["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct().join(found.select("node"), "node", "left_anti").withColumn("distance", F.lit(h))
         found = cut(found.unionByName(fresh))
     return found
 

@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.functions import vectors as V
 from paperloom.operators import edges as E
 from paperloom.operators import entities as N
 from paperloom.operators import extraction as X
 from paperloom.operators import graph as G
 from paperloom.operators import state as S
-from paperloom.plans.ranking_queries import _SIM, _UNIT, unit_chunks
+from paperloom.plans.ranking_queries import _SIM, _UNIT, unit_chunks, usable
 from paperloom.plans.text_queries import COLLAPSE, CUR, CURP, current_chunks, current_papers
 from paperloom.session import table
 from paperloom.streaming.ingest import windowed_counts
@@ -138,12 +139,16 @@ def using_metric_edges(spark, d):
 
 
 def hierarchy(spark, d):
-    """Terms that share their first word stand under one another, in the order of their spelling."""
+    """The canonical entries under their parent terms; and terms that share their first word under the
+    first of them in the order of their spelling."""
     e = table(spark, d, "entities").where(~F.lower("entity_type").isin("claim", "result", "equation"))
     label = T.collapse(F.lower("label"))
     names = e.select(label.alias("term"), F.substring_index(label, " ", 1).alias("stem")).distinct()
-    families = names.groupBy("stem").agg(F.sort_array(F.collect_list("term")).alias("all"))
-    return names.join(families, "stem").select("term", F.lit("go").alias("ontology_rank"), F.array_except("all", F.array("term")).alias("parents"))
+    # The first three others are among the first four, so no family is gathered.
+    first = names.withColumn("r", F.row_number().over(Window.partitionBy("stem").orderBy("term"))).where("r <= 4").groupBy("stem").agg(F.sort_array(F.collect_list("term")).alias("first"))
+    own = names.join(first, "stem").select("term", F.lit("go").alias("ontology_rank"), F.array_except("first", F.array("term")).alias("parents"))
+    known = table(spark, d, "corpus_matches").where("label is not null and parent_terms is not null")
+    return own.unionByName(known.select(F.lower("label").alias("term"), F.lit("mesh").alias("ontology_rank"), F.col("parent_terms").alias("parents")))
 
 
 _L = COLLAPSE.format("lower(label)")
@@ -151,7 +156,9 @@ _L = COLLAPSE.format("lower(label)")
 
 @query(f"""WITH base AS (SELECT * FROM entities WHERE lower(entity_type) NOT IN ('claim', 'result', 'equation')), r AS (SELECT paper_id, entity_id, min({_L}) AS label FROM base GROUP BY 1, 2),
 al AS (SELECT DISTINCT paper_id, entity_id, {COLLAPSE.format('lower(a)')} AS name FROM (SELECT paper_id, entity_id, unnest(aliases) AS a FROM base)), nm AS (SELECT paper_id, entity_id, label AS name FROM r UNION SELECT * FROM al),
-t AS (SELECT DISTINCT {_L} AS term FROM base), h AS (SELECT a.term, b.term AS parent, row_number() OVER (PARTITION BY a.term ORDER BY b.term) AS k FROM t a JOIN t b ON split_part(a.term, ' ', 1) = split_part(b.term, ' ', 1) AND a.term <> b.term)
+t AS (SELECT DISTINCT {_L} AS term FROM base), up AS (SELECT a.term, b.term AS parent, 'go' AS o, row_number() OVER (PARTITION BY a.term ORDER BY b.term) AS p FROM t a JOIN t b ON split_part(a.term, ' ', 1) = split_part(b.term, ' ', 1) AND a.term <> b.term QUALIFY p <= 3
+UNION ALL SELECT {_L} AS term, {COLLAPSE.format('lower(parent_terms[i])')} AS parent, 'mesh', i AS p FROM corpus_matches, range(1, 50) r(i) WHERE label IS NOT NULL AND i <= len(parent_terms)),
+h AS (SELECT term, parent, row_number() OVER (PARTITION BY term ORDER BY min((o, p)), parent) AS k FROM up WHERE parent <> '' GROUP BY 1, 2)
 SELECT DISTINCT r.entity_id AS source_node_id, nm.entity_id AS target_node_id FROM r JOIN h ON h.term = r.label AND k <= 3 JOIN nm ON nm.paper_id = r.paper_id AND nm.name = h.parent WHERE r.entity_id <> nm.entity_id""")
 def is_a_edges(spark, d):
     return E.is_a(table(spark, d, "entities"), hierarchy(spark, d)).select("source_node_id", "target_node_id").distinct()
@@ -166,12 +173,20 @@ def edge_union(spark, d):
     return all_.groupBy("relation_type").agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query(f"""WITH e AS (SELECT DISTINCT record_id, entity_id, lower(trim(entity_type, ' ')) AS t, {COLLAPSE.format('label')} AS l, confidence, created_at, mention_chunk_ids AS mc, aliases AS al FROM entities),
-b AS (SELECT entity_id, min(t) AS entity_type, max(confidence) AS confidence, count(DISTINCT record_id) AS records FROM e GROUP BY 1),
-m AS (SELECT entity_id, list_sort(list(DISTINCT x)) AS mention_chunk_ids FROM (SELECT entity_id, unnest(mc) AS x FROM e) WHERE x IS NOT NULL GROUP BY 1), a AS (SELECT entity_id, list_sort(list(DISTINCT x)) AS aliases FROM (SELECT entity_id, unnest(al) AS x FROM e) WHERE x IS NOT NULL GROUP BY 1)
-SELECT b.entity_id, entity_type, confidence, records, coalesce(array_to_string(mention_chunk_ids, '|'), '') AS mention_chunk_ids, coalesce(array_to_string(aliases, '|'), '') AS aliases FROM b LEFT JOIN m USING (entity_id) LEFT JOIN a USING (entity_id)""")
+_MERGED = f"e AS (SELECT DISTINCT record_id, entity_id, lower(trim(entity_type, ' ')) AS t, {COLLAPSE.format('label')} AS l, confidence, created_at, mention_chunk_ids AS mc, aliases AS al, embedding, properties FROM entities)"
+
+
+@query(f"""WITH {_MERGED}, m AS (SELECT entity_id, count(DISTINCT x) AS n FROM (SELECT entity_id, unnest(mc) AS x FROM e) GROUP BY 1), a AS (SELECT entity_id, count(DISTINCT x) AS n FROM (SELECT entity_id, unnest(al) AS x FROM e) GROUP BY 1),
+b AS (SELECT entity_id, min(t) AS entity_type, max(confidence) AS confidence, count(DISTINCT record_id) AS records, bool_or(embedding IS NOT NULL) AS has_embedding, arg_min(cardinality(properties), (created_at, record_id)) FILTER (WHERE properties IS NOT NULL) AS properties FROM e GROUP BY 1)
+SELECT b.entity_id, entity_type, confidence, records, coalesce(m.n, 0) AS mentions, coalesce(a.n, 0) AS aliases, has_embedding, properties::INT AS properties FROM b LEFT JOIN m USING (entity_id) LEFT JOIN a USING (entity_id)""")
 def entity_merge(spark, d):
-    return N.merge_entities(table(spark, d, "entities"), "entity_id").select("entity_id", "entity_type", "confidence", "records", F.array_join("mention_chunk_ids", "|").alias("mention_chunk_ids"), F.array_join("aliases", "|").alias("aliases"))
+    m = N.merge_entities(table(spark, d, "entities"), "entity_id")
+    return m.select("entity_id", "entity_type", "confidence", "records", "mentions", "aliases", F.col("embedding").isNotNull().alias("has_embedding"), F.when(F.col("properties").isNotNull(), F.size("properties")).alias("properties"))
+
+
+@query(f"WITH {_MERGED} SELECT DISTINCT entity_id, 'mention' AS role, x AS value FROM (SELECT entity_id, unnest(mc) AS x FROM e) WHERE x IS NOT NULL UNION ALL SELECT DISTINCT entity_id, 'alias', x FROM (SELECT entity_id, unnest(al) AS x FROM e) WHERE x IS NOT NULL")
+def entity_members(spark, d):
+    return N.members(table(spark, d, "entities"), "entity_id")
 
 
 @query("SELECT lower(trim(entity_type, ' ')) AS entity_type, count(DISTINCT record_id) AS records, count(DISTINCT entity_id) AS entities FROM entities GROUP BY 1")
@@ -181,9 +196,9 @@ def entity_histogram(spark, d):
 
 @query()
 def canonical_groups(spark, d):
-    m = N.merge_entities(table(spark, d, "entities").where("lower(trim(entity_type)) in ('method', 'dataset')"), "entity_id")
-    rows = m.select("entity_id", F.lower("label").alias("label"), F.lit(None).cast("array<double>").alias("vec"), F.lit(0).alias("seq"), "entity_type", F.substring(F.lower("label"), 1, 6).alias("start"))
-    return N.leader_groups(rows, ["entity_type", "start"])
+    """Each entity with the leader of its group, all types, by vectors where both have one, else by labels."""
+    m = N.merge_entities(table(spark, d, "entities"), "entity_id")
+    return N.leader_groups(m.select("entity_id", "entity_type", "label", F.when(usable("embedding") & (V.norm(F.col("embedding")) > 0), V.unit(F.col("embedding"))).alias("vec"), F.col("first_seen").alias("seq")))
 
 
 _ASK = "how does quirecosol gradient affect the membrane receptor"
@@ -205,11 +220,11 @@ def mention_lookup(spark, d):
 
 
 def trade(spark, d):
-    o, line = table(spark, d, "orders"), table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    o, line = table(spark, d, "orders"), table(spark, d, "lineitem")
     return line.join(o, line["l_orderkey"] == o["o_orderkey"]).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
 
 
-_TRADE = "e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), deg AS (SELECT src, count(*) AS k FROM e GROUP BY 1), c AS (SELECT count(*) AS n FROM n)"
+_TRADE = "e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), deg AS (SELECT src, count(*) AS k FROM e GROUP BY 1), c AS (SELECT count(*) AS n FROM n)"
 
 
 def _rank_sql(rounds: int) -> str:
@@ -221,9 +236,9 @@ def _rank_sql(rounds: int) -> str:
     return "WITH " + ", ".join(parts) + f" SELECT node, round(rank, 10) AS rank FROM r{rounds}"
 
 
-@query(_rank_sql(5))
+@query(_rank_sql(20))
 def pagerank(spark, d):
-    return G.pagerank(trade(spark, d), 5).select("node", F.round("rank", 10).alias("rank"))
+    return G.pagerank(trade(spark, d)).select("node", F.round("rank", 10).alias("rank"))
 
 
 @query(f"WITH {_TRADE}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT DISTINCT src AS node, 0 AS distance FROM e WHERE src = (SELECT min(src) FROM e)), h1 AS (SELECT node, distance FROM h0 UNION ALL SELECT DISTINCT dst, 1 FROM b JOIN h0 ON src = node WHERE dst NOT IN (SELECT node FROM h0)), h2 AS (SELECT * FROM h1 UNION ALL SELECT DISTINCT dst, 2 FROM b JOIN h1 ON src = node WHERE dst NOT IN (SELECT node FROM h1)), h3 AS (SELECT * FROM h2 UNION ALL SELECT DISTINCT dst, 3 FROM b JOIN h2 ON src = node WHERE dst NOT IN (SELECT node FROM h2)) SELECT node, distance FROM h3")
@@ -232,10 +247,10 @@ def khop_neighborhood(spark, d):
     return G.neighbourhood(e, e.agg(F.min("src").alias("node")), 3)
 
 
-@query(f"WITH {_REL}, q AS (SELECT a, b, CASE WHEN cc > hh THEN 'CONTRADICTS' ELSE 'SUPPORTS' END AS relation_type FROM cu WHERE cc > hh OR hh > 0 OR s >= 0.9) SELECT a AS claim_id, count(*)::BIGINT AS related FROM (SELECT a, b FROM q UNION ALL SELECT b, a FROM q) GROUP BY 1 HAVING count(*) <= 1000")
+@query(f"WITH {_REL}, q AS (SELECT a, b, CASE WHEN cc > hh THEN 'CONTRADICTS' ELSE 'SUPPORTS' END AS relation_type FROM cu WHERE cc > hh OR hh > 0 OR s >= 0.9) SELECT a AS claim_id, least(count(*), 10)::BIGINT AS related FROM (SELECT a, b FROM q UNION ALL SELECT b, a FROM q) GROUP BY 1")
 def related_claims(spark, d):
     claims, pairs = _claim_pairs(spark, d)
-    return G.related_claims(E.claim_edges(claims, pairs), most=1000).groupBy("claim_id").agg(F.count(F.lit(1)).alias("related"))
+    return G.related_claims(E.claim_edges(claims, pairs)).groupBy("claim_id").agg(F.count(F.lit(1)).alias("related"))
 
 
 @query(f"""WITH {CUR}, {CURP} SELECT DISTINCT e.entity_id AS claim_id, cur.chunk_id, cur.section_id, cur.paper_id, curp.title FROM entities e JOIN cur ON e.source_chunk_id = cur.chunk_id AND e.paper_id = cur.paper_id JOIN curp ON curp.paper_id = cur.paper_id WHERE lower(entity_type) = 'claim'""")
@@ -267,10 +282,13 @@ def checkpoint_anti_join(spark, d):
     return S.to_do(p, done, ["paper_id"])
 
 
-@query("SELECT event_type AS service, count(*) FILTER (WHERE value < 20 AND epoch(ts) > coalesce(l, -1e18)) AS failures FROM events LEFT JOIN (SELECT event_type AS et, max(epoch(ts)) FILTER (WHERE value >= 20) AS l FROM events GROUP BY 1) ON et = event_type GROUP BY 1")
+@query("""WITH t AS (SELECT max(epoch_us(ts)) + 60000000 AS now FROM events), f AS (SELECT event_type AS service, count(*) FILTER (WHERE value < 20 AND epoch_us(ts) > coalesce(l, -1e18)) AS failures, max(epoch_us(ts)) FILTER (WHERE value < 20 AND epoch_us(ts) > coalesce(l, -1e18)) AS last_failure
+FROM events LEFT JOIN (SELECT event_type AS et, max(epoch_us(ts)) FILTER (WHERE value >= 20) AS l FROM events GROUP BY 1) ON et = event_type GROUP BY 1)
+SELECT service, failures, failures >= 2 AND coalesce(now - last_failure < 3600000000, false) AS open FROM f, t""")
 def breaker_states(spark, d):
     log = table(spark, d, "events").select(F.col("event_type").alias("service"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), (F.col("value") >= 20).alias("ok"))
-    return S.breaker_states(log, 2, 300.0, 0.0).select("service", "failures")
+    now = log.agg(F.max("at")).first()[0]
+    return S.breaker_states(log, 2, 3.6e9, (now or 0.0) + 6e7)
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -381,8 +399,15 @@ def structure_edges(spark, d):
     return G.structure_edges(current_chunks(spark, d), current_papers(spark, d), table(spark, d, "authors")).groupBy("relation").agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query("SELECT count(*) AS edges FROM (SELECT DISTINCT p.paper_id, p.journal.journal_id AS j FROM papers p WHERE EXISTS (SELECT 1 FROM documents d WHERE d.journal_id = p.journal.journal_id))")
+@query(f"""WITH {CUR}, {CURP}, e AS (SELECT DISTINCT source_chunk_id AS s, entity_id AS t, paper_id FROM entities), p AS (SELECT DISTINCT paper_id, journal.journal_id AS j FROM papers)
+SELECT 'chunk_to_entity' AS edge, (SELECT count(*) FROM (SELECT DISTINCT s, t FROM e) WHERE s IN (SELECT chunk_id FROM cur) AND t IN (SELECT entity_id FROM entities)) AS edges
+UNION ALL SELECT 'paper_to_journal', (SELECT count(*) FROM p WHERE j IN (SELECT journal_id FROM documents))""")
 def existing_endpoints(spark, d):
+    """Edges with both ends there; and of another sort only the target asked for."""
+    n = lambda name, e: e.agg(F.count(F.lit(1)).alias("edges")).select(F.lit(name).alias("edge"), "edges")
+    entities = table(spark, d, "entities")
+    e = entities.select(F.col("source_chunk_id").alias("source_node_id"), F.col("entity_id").alias("target_node_id")).distinct()
+    nodes = current_chunks(spark, d).select(F.col("chunk_id").alias("node_id")).unionByName(entities.select(F.col("entity_id").alias("node_id")))
     p = table(spark, d, "papers").select(F.col("paper_id").alias("source_node_id"), F.col("journal.journal_id").alias("target_node_id")).distinct()
-    nodes = table(spark, d, "documents").select(F.col("journal_id").alias("node_id"))
-    return E.existing_ends(p, nodes, source=False).agg(F.count(F.lit(1)).alias("edges"))
+    journals = table(spark, d, "documents").select(F.col("journal_id").alias("node_id"))
+    return n("chunk_to_entity", E.existing_ends(e, nodes)).unionByName(n("paper_to_journal", E.existing_ends(p, journals, source=False)))

@@ -164,11 +164,36 @@ def test_neighbourhood(spark):
     assert G.neighbourhood(e, seeds, 0).count() == 1
 
 
-def test_leader_groups_and_query_links(spark):
-    e = spark.createDataFrame([("1", "flow meter", None, 0, "m"), ("2", "the flow meter", None, 1, "m"), ("3", "pump", None, 2, "m")], "entity_id string, label string, vec array<double>, seq int, kind string")
-    assert {r.entity_id: r.leader_id for r in N.leader_groups(e, ["kind"]).collect()} == {"1": "1", "2": "1", "3": "3"}
-    q = spark.createDataFrame([("1", "Flow Meter", ["FM"]), ("2", "other meter", None), ("3", "none", [])], "entity_id string, label string, aliases array<string>")
-    assert [(r.entity_id, r.score) for r in N.link_query(q, "what does a flow meter do").collect()] == [("1", 6.0), ("2", 1.0)]
+def test_leader_groups_are_the_greedy_ones(spark):
+    """Against one pass over the entities in order, with and without vectors, for every way to be alike."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    words = ["linear", "fit", "Lattice", "gene", "Flow", "of", "x", "Linear fit", "gas"]
+    rows = []
+    for i in range(90):
+        label = " ".join(rng.choice(words, rng.integers(1, 4)))
+        v = rng.standard_normal(8) + (3 if i % 5 else 0)
+        vec = (v / np.linalg.norm(v)).tolist() if i % 3 else None
+        rows.append((f"e{i:02d}", "concept" if i % 2 else "method", label, vec, f"{(i * 7) % 90:03d}"))
+    rows += [("z1", "claim", "Bidirectional Encoder", None, "1"), ("z2", "claim", "BERT Base Encoder", None, "2"), ("z3", "claim", "", None, "3")]
+
+    def alike(lead, own):
+        if lead[3] is not None and own[3] is not None:
+            return float(np.dot(lead[3], own[3])) >= 0.85
+        x, y = lead[2].lower(), own[2].lower()
+        k, o = ("".join(w[0].upper() for w in t.split()) for t in (lead[2], own[2]))
+        return x == y or (x and y and (x in y or y in x)) or bool(k and o and k in o)
+
+    want, leads = {}, []
+    for r in sorted(rows, key=lambda r: (r[4], r[0])):
+        hit = next((x for x in leads if x[1] == r[1] and alike(x, r)), None)
+        if hit is None:
+            leads.append(r)
+        want[r[0]] = (hit or r)[0]
+    got = N.leader_groups(spark.createDataFrame(rows, "entity_id string, entity_type string, label string, vec array<double>, seq string"))
+    assert {r.entity_id: r.leader_id for r in got.collect()} == want
+    assert N.leader_groups(spark.createDataFrame([], "entity_id string, entity_type string, label string, vec array<double>, seq string")).count() == 0
 
 
 def test_state_tables(spark):
@@ -202,3 +227,8 @@ def test_vectors(spark):
     assert one(spark, V.unit(a), a=[3.0, 4.0]) == [0.6, 0.8] and one(spark, V.unit(a), a=[0.0, 0.0]) == [0.0, 0.0]
     assert one(spark, V.bucket_means(a, 2), a=[1.0, 3.0, 5.0, 7.0]) == [2.0, 6.0]
     assert sum(v * v for v in V.hash_vector("some words here", 32)) == pytest.approx(1) and not any(V.hash_vector("", 8))
+
+
+def test_query_links(spark):
+    q = spark.createDataFrame([("1", "Flow Meter", ["FM"]), ("2", "other meter", None), ("3", "none", [])], "entity_id string, label string, aliases array<string>")
+    assert [(r.entity_id, r.score) for r in N.link_query(q, "what does a flow meter do").collect()] == [("1", 6.0), ("2", 1.0)]
