@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +32,7 @@ _PARAGRAPH = re.compile(r"\n\s*\n|\n")
 _SENTENCE = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*(?=\s)|[。！？]")
 
 
+@lru_cache(1 << 16)
 def _word_value(word: str) -> int:
     h = 1469598103934665603
     for b in word.encode("utf-8", "surrogatepass"):

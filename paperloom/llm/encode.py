@@ -27,7 +27,7 @@ from paperloom.session import prepare
 #: Words kept per Python worker; when full the memory starts anew (a limit of memory, not of work).
 WORDS_KEPT = 200_000
 #: Bytes of words given to one recursive query.
-QUERY_BYTES = 2_000_000
+QUERY_BYTES = 1_000_000
 
 _STEP = """
 WITH RECURSIVE t(w, pos, tok) USING KEY (w, pos) AS (
@@ -94,7 +94,7 @@ class Encoder:
             "merge_rank": pa.array(range(len(pairs)), pa.int32()),
             "merged": pa.array([vocab[a + b] for a, b in pairs], pa.int32()),
         })
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})  # nothing is spilled
         self.db.register("merges_in", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.db.unregister("merges_in")
@@ -198,18 +198,62 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     return _encoded(docs, key, text, path, True, "tokens bigint").withColumnRenamed("id", key)
 
 
+_TEXTS = """
+SELECT w, string_agg(hex, '' ORDER BY pos) AS hex FROM ids_in JOIN tokens USING (tok) GROUP BY w
+"""
+
+
+class Decoder:
+    """The bytes of each token in an in-process DuckDB; ordered aggregation puts texts together."""
+
+    def __init__(self, path: str):
+        import duckdb
+
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        names = _byte_names()
+        known = [(i, bytes(names[c] for c in t).hex()) for t, i in vocab.items() if all(c in names for c in t)]
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db.register("tokens_in", pa.table({"tok": pa.array([i for i, _ in known], pa.int32()), "hex": pa.array([h for _, h in known], pa.string())}))
+        self.db.execute("CREATE TABLE tokens AS SELECT * FROM tokens_in")
+        self.db.unregister("tokens_in")
+
+    def texts(self, ids: pa.Array) -> list[str]:
+        lengths = np.asarray(ids.value_lengths().fill_null(0)).astype(np.int64)
+        rows = pa.table({
+            "w": np.repeat(np.arange(len(lengths)), lengths),
+            "pos": np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths),
+            "tok": ids.flatten().cast(pa.int32()),
+        })
+        self.db.register("ids_in", rows)
+        out = self.db.sql(_TEXTS).to_arrow_table()
+        self.db.unregister("ids_in")
+        texts = [""] * len(lengths)
+        for w, h in zip(out["w"].to_pylist(), out["hex"].to_pylist()):
+            texts[w] = bytes.fromhex(h).decode("utf-8", "replace")
+        return texts
+
+
+_decoders: dict[str, Decoder] = {}
+#: Tokens given to one query of the decoder.
+QUERY_TOKENS = 500_000
+
+
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
-    """(key, text): the texts back from their ids."""
+    """(key, text): the texts back from their ids; null and empty lists have the empty text."""
+    prepare(encoded.sparkSession)
     where = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(where, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        names = _byte_names()
-        raw = {i: bytes(names[c] for c in t) for t, i in vocab.items() if all(c in names for c in t)}
+        if where not in _decoders:
+            _decoders[where] = Decoder(where)
         for batch in batches:
-            texts = [b"".join(raw[i] for i in x or []).decode("utf-8", "replace") for x in batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(texts, pa.string())], ["id", "text"])
+            lengths = np.asarray(batch["ids"].value_lengths().fill_null(0)).astype(np.int64)
+            block = np.cumsum(lengths) // QUERY_TOKENS
+            for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(block)) + 1):
+                if len(part):
+                    b = batch.slice(int(part[0]), len(part))
+                    yield pa.RecordBatch.from_arrays([b["id"], pa.array(_decoders[where].texts(b["ids"]), pa.string())], ["id", "text"])
 
     kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(F.col(key).alias("id"), F.col(ids).alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", key)
+    return encoded.select(F.col(key).alias("id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", key)

@@ -11,7 +11,7 @@ one seeded epoch: documents in the order of a seeded hash until the tokens are r
 prefix is found through hash buckets, so no leaf is ever gathered or sorted in one task.
 
 Without a given total, the mixture is as large as it can be with every present source at its
-share: the least of capacity / share. With a given total, shortages are redistributed and the
+share: the least of capacity / share (or ``times`` that). With a given total, shortages are redistributed and the
 shares reached are reported.
 
 Sources are compared without case and surrounding space; a document with a null or blank source,
@@ -88,13 +88,16 @@ def _clean(c):
 class Mixture:
     """A planned mixture: ``rows`` (doc_id, source, tokens, copies) and ``shares``."""
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 0, domain: str = "section_type", path: str | None = None):
+    def __init__(self, docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, times: float = 1.0, seed: int = 0, domain: str = "section_type", path: str | None = None):
         spark = docs.sparkSession
         want = (
             targets.select(_clean(targets["source"]).alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0")
             .groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
         )
-        self.targets = {r["source"]: (r["share"], max(1, r["repeats"] or 1)) for r in want.limit(LEAVES_AT_MOST).collect()}
+        wanted_rows = want.limit(LEAVES_AT_MOST + 1).collect()
+        if len(wanted_rows) > LEAVES_AT_MOST:
+            raise ValueError("too many targets")
+        self.targets = {r["source"]: (r["share"], max(1, r["repeats"] or 1)) for r in wanted_rows}
         named = docs.select("doc_id", "text", _clean(docs["source"]).alias("source"), _clean(docs["lang"]).alias("lang"), _clean(docs[domain]).alias("domain"))
         wanted = named.where(F.col("source").isin(list(self.targets) or [""]) & F.col("text").isNotNull() & (F.length("text") > 0)).repartition(shuffle_width(spark), "doc_id").dropDuplicates(["doc_id"])
         sizes = count_tokens(wanted.withColumn("key", F.struct("doc_id", "source", "lang", "domain")), "key", "text", path)
@@ -119,6 +122,7 @@ class Mixture:
             leaves[(r["domain"], r["lang"], r["source"])] = (share * r["tokens"] / by_source[r["source"]], float(r["tokens"] * repeats))
         if total_tokens is None:
             total_tokens = min((by_source[s] * self.targets[s][1] * present / self.targets[s][0] for s in by_source), default=0.0)
+            total_tokens *= times
         self.total = float(total_tokens)
         self.budgets = tree_budgets(leaves, self.total) if leaves else {}
         self._capacity = {k: c for k, (_, c) in leaves.items()}

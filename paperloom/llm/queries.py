@@ -50,6 +50,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
 
 
+def p9_enlarged(spark: SparkSession, d: str) -> DataFrame:
+    """Half as large again as every source can bear: shortages go to siblings, then to others."""
+    return mixture.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), times=1.5).shares()
+
+
+def p8_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts back from their ids."""
+    return encode.decode(p8_ids(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return forest.mutual_neighbours(forest.literature_vectors(*(table(spark, d, t) for t in ("chunks", "entities", "papers"))))
 
@@ -82,7 +92,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.find_personal(table(spark, d, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_report": p2_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_report": p2_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_texts": p8_texts, "p9_enlarged": p9_enlarged}
 
 def _horner(x: str, coefficients: tuple[float, ...]) -> str:
     out = f"({coefficients[0]!r})"
@@ -105,6 +115,7 @@ _FUSED = f"""
     f AS (SELECT v.query_id, v.item, it.chunk_id, v.value, n.returned_by FROM v JOIN it USING (query_id, item) JOIN (SELECT query_id, item, count(*) AS returned_by FROM one GROUP BY ALL) n USING (query_id, item))"""
 
 ORACLE = {
+    "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_found": _FUSED + " SELECT query_id, chunk_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(value, 9) DESC, item) = 1",
     "p5_ranking": _FUSED + " SELECT query_id, item, round(value, 6) + 0.0::DOUBLE AS value, returned_by FROM f",
     "p7_found": r"""

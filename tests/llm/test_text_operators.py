@@ -177,6 +177,33 @@ def _wrong(model, marked):
     return sum(len(w) for w, _ in found), sum(len(g - w) for w, g in found), sum(len(w - g) for w, g in found)
 
 
+def test_an_edit_alters_neighbouring_pieces_only():
+    rng = random.Random(4)
+    altered = []
+    for _ in range(40):
+        w = [rng.choice(["alpha", "beta", "gamma", "delta", "rho", "sigma"]) + str(rng.randrange(99)) for _ in range(1500)]
+        text = " ".join(x + (". " if rng.random() < 0.08 else "") for x in w)
+        pieces = lambda t: [t[a:b] for a, b, _ in chunker.split_text(t, 60, 10)]
+        before = pieces(text)
+        after = set(pieces("Inserted words. " + text))
+        altered.append(sum(p not in after for p in before) / len(before))
+    assert sum(altered) / len(altered) < 0.25
+
+
+def test_decoding_is_exact(spark):
+    df = spark.createDataFrame([(1, "naïve 東京 text\n  two", 0), (2, None, 0), (3, "", 0), (4, "x" * 300_000, 0), (5, " \t", 0)], "doc_id bigint, text string, ids int")
+    got = {r.doc_id: r.text for r in encode.decode(encode.encode(df)).collect()}
+    assert got == {1: "naïve 東京 text\n  two", 2: "", 3: "", 4: "x" * 300_000, 5: " \t"}
+    assert encode.decode(encode.encode(df.limit(0))).count() == 0
+
+
+def test_too_many_targets_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "LEAVES_AT_MOST", 2)
+    targets = spark.createDataFrame([(f"s{i}", 0.25, 1) for i in range(4)], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError):
+        mixture.Mixture(docs_for_mix(spark), targets)
+
+
 def test_other_wordings(model):
     items, wrong, missed = _wrong(model, pii_held_out.SENTENCES)
     assert items > 30 and wrong <= 2 and missed <= 2
