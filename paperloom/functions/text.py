@@ -21,7 +21,7 @@ SECTION_KINDS = [
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9_+-]*"
 DOI = r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"
-_WHITE = r"[\s  ]+"
+_WHITE = r"[\s\u00a0\u2007\u202f\u2009]+"
 
 
 def collapse(c: Column) -> Column:

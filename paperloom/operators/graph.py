@@ -86,13 +86,30 @@ def related_claims(edges: DataFrame, relation: str | None = None, most: int = 10
     return both.withColumn("r", r).where(F.col("r") <= most).drop("r")
 
 
-def node_tables(papers: DataFrame, chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    """(node_id, node_type, label): unique by id, the last load wins."""
+def node_tables(papers: DataFrame, chunks: DataFrame, entities: DataFrame, authors: DataFrame | None = None) -> DataFrame:
+    """(node_id, node_type, label): papers, sections, chunks, journals, entities (datasets and the rest
+    by their type) and, if given, authors; unique by id within a type, the last load wins."""
     p = papers.groupBy(F.col("paper_id").alias("node_id")).agg(F.lit("Paper").alias("node_type"), F.max_by("title", "ingested_at").alias("label"))
     s = chunks.groupBy(F.col("section_id").alias("node_id")).agg(F.lit("Section").alias("node_type"), F.max("section_id").alias("label"))
     c = chunks.groupBy(F.col("chunk_id").alias("node_id")).agg(F.lit("Chunk").alias("node_type"), F.max("chunk_id").alias("label"))
+    j = papers.where("journal.journal_id is not null").groupBy(F.col("journal.journal_id").alias("node_id")).agg(F.lit("Journal").alias("node_type"), F.max("journal.name").alias("label"))
     e = entities.groupBy(F.col("entity_id").alias("node_id")).agg(F.initcap(F.min(F.lower(F.trim("entity_type")))).alias("node_type"), F.min(F.lower(F.trim("label"))).alias("label"))
-    return p.unionByName(s).unionByName(c).unionByName(e)
+    out = p.unionByName(s).unionByName(c).unionByName(j).unionByName(e)
+    if authors is not None:
+        out = out.unionByName(authors.where("author_id is not null").groupBy(F.col("author_id").alias("node_id")).agg(F.lit("Author").alias("node_type"), F.max("full_name").alias("label")))
+    return out
+
+
+def constraint_violations(nodes: DataFrame) -> DataFrame:
+    """(node_type, nodes, violations): how many rows of a type share an id with another of it."""
+    return nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("nodes"), (F.count(F.lit(1)) - F.count_distinct("node_id")).alias("violations"))
+
+
+def stubs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, node_type, label): targets of edges that no node stands for yet, once each."""
+    known = nodes.select("node_id").distinct()
+    ends = edges.select(F.col("target_node_id").alias("node_id"), F.col("target_node_type").alias("node_type"), F.col("target_label").alias("label")).where("node_id is not null")
+    return ends.join(known, "node_id", "left_anti").groupBy("node_id").agg(F.min("node_type").alias("node_type"), F.min("label").alias("label"))
 
 
 def structure_edges(chunks: DataFrame, papers: DataFrame, authors: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.plans import graph_queries, ranking_queries, record_queries, report_queries, search_queries, text_queries
+from paperloom.plans import graph_queries, payload_queries, ranking_queries, record_queries, report_queries, search_queries, text_queries
 
-_MODULES = [record_queries, text_queries, ranking_queries, graph_queries, report_queries, search_queries]
+_MODULES = [record_queries, text_queries, ranking_queries, graph_queries, report_queries, search_queries, payload_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

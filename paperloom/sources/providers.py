@@ -110,3 +110,94 @@ def answer(question: str, search: Callable[[str], list[dict]], synthesize: Calla
             terms = [p.get("paper_title", "") for p in passages[:2]]
             query = refine(query, passages) if refine else " ".join([question, *terms]).strip()
     return result
+
+
+@dataclass
+class RateLimit:
+    """At least ``delay`` seconds between two calls of a service."""
+
+    delay: float
+    clock: Callable[[], float] = time.time
+    sleep: Callable[[float], None] = time.sleep
+    last: dict[str, float] = field(default_factory=dict)
+
+    def wait(self, service: str) -> float:
+        """Waits as long as it must; the seconds waited."""
+        now = self.clock()
+        left = max(0.0, self.last.get(service, float("-inf")) + self.delay - now)
+        if left:
+            self.sleep(left)
+        self.last[service] = now + left
+        return left
+
+
+def extraction_prompt(text: str, required: dict[str, list[str]], rules: dict[str, list[str]] | None = None, errors: list[str] | None = None, domain: str = "general") -> str:
+    """What a provider is asked: the kinds of entities with their fields, the rules, the errors so far, the text."""
+    kinds = [f"- {kind}: {', '.join(fields)}" for kind, fields in required.items()]
+    asked = [f"- {kind}: {r}" for kind, rs in (rules or {}).items() for r in rs]
+    parts = [f"Extract entities of these kinds from a text of the domain {domain}, as a JSON list of objects with a field \"type\".", *kinds]
+    if asked:
+        parts += ["Rules:", *asked]
+    if errors:
+        parts += ["The last reply was wrong:", *(f"- {e}" for e in errors)]
+    return "\n".join([*parts, "Text:", text])
+
+
+#: Labels given to a provider at once, and how many there must be before it is worth asking.
+GROUP_AT_MOST, GROUP_FROM = 50, 10
+
+
+def group_labels(labels: list[str], provider: Callable[[str], str] | None) -> dict[str, str]:
+    """Label to canonical label by a provider, in blocks; none without a provider or with few labels.
+
+    Only labels that were asked for are taken from a reply."""
+    out: dict[str, str] = {}
+    unique = list(dict.fromkeys(labels))
+    if provider is None or len(unique) <= GROUP_FROM:
+        return out
+    for i in range(0, len(unique), GROUP_AT_MOST):
+        block = unique[i : i + GROUP_AT_MOST]
+        reply = read_json(call(provider, "Group labels that mean the same; reply with a JSON object of canonical label to its variants.\n" + "\n".join(block)))
+        for canonical, variants in (reply.items() if isinstance(reply, dict) else ()):
+            for v in variants if isinstance(variants, list) else ():
+                if v in block and v != canonical:
+                    out.setdefault(v, canonical)
+    return out
+
+
+def claims_in(text: str, provider: Callable[[str], str] | None) -> list[str]:
+    """The claims of a free text by a provider; none offline or for a blank text."""
+    if provider is None or not text.strip():
+        return []
+    reply = read_json(call(provider, "List the factual claims of this text as a JSON list of strings.\n" + text))
+    return [c.strip() for c in reply if isinstance(c, str) and c.strip()] if isinstance(reply, list) else []
+
+
+@dataclass
+class Embedder:
+    """The first of several embedders that answers; one that fails is not asked again."""
+
+    backends: list[tuple[str, Callable[[str], list[float]]]]
+    failed: set[str] = field(default_factory=set)
+
+    def probe(self) -> dict[str, bool]:
+        """Which backends answer a short text with numbers."""
+        out = {}
+        for name, f in self.backends:
+            try:
+                out[name] = len(f("probe")) > 0
+            except Exception:  # noqa: BLE001
+                out[name] = False
+        self.failed |= {n for n, ok in out.items() if not ok}
+        return out
+
+    def embed(self, text: str, dim: int) -> list[float]:
+        """The text's vector; zeros for a blank text, or if no backend answers."""
+        if text.strip():
+            for name, f in self.backends:
+                if name not in self.failed:
+                    try:
+                        return list(f(text))
+                    except Exception:  # noqa: BLE001
+                        self.failed.add(name)
+        return [0.0] * dim

@@ -109,3 +109,36 @@ def test_the_last_cache_entry_holds(spark):
     got = {r.k: r.payload for r in S.cached(asked, cache, ["k"], 8.0, 7.0).collect()}
     assert got == {"a": "new", "b": "y", "c": None, "d": None}
     assert {r.k: r.payload for r in S.cached(asked, cache, ["k"], 8.0, -1).collect()}["c"] == "stale"
+
+
+def test_rate_limit_prompt_groups_claims_and_embedders():
+    now, slept = [0.0], []
+    r = providers.RateLimit(0.4, lambda: now[0], slept.append)
+    assert (r.wait("a"), r.wait("b"), round(r.wait("a"), 6)) == (0.0, 0.0, 0.4) and slept == [0.4]
+    prompt = providers.extraction_prompt("T", {"result": ["metric"]}, {"claim": ["five words"]}, ["no metric"])
+    assert "- result: metric" in prompt and "- claim: five words" in prompt and "no metric" in prompt and prompt.endswith("T")
+    labels = [f"l{i}" for i in range(12)]
+    assert providers.group_labels(labels, lambda p: '{"l1": ["l1", "l2", "other"], "l3": "x"}') == {"l2": "l1"}
+    assert providers.group_labels(labels[:5], lambda p: "{}") == {} == providers.group_labels(labels, None)
+    assert providers.claims_in("text", lambda p: '["A holds.", 3, " "]') == ["A holds."] and providers.claims_in("text", None) == [] == providers.claims_in(" ", lambda p: '["x"]')
+
+    def broken(text):
+        raise RuntimeError
+
+    e = providers.Embedder([("far", broken), ("near", lambda t: [1.0])])
+    assert e.embed("x", 3) == [1.0] and e.failed == {"far"} and e.embed(" ", 3) == [0.0, 0.0, 0.0] and e.probe() == {"far": False, "near": True}
+    assert providers.Embedder([("far", broken)]).embed("x", 2) == [0.0, 0.0]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from paperloom.__main__ import main
+
+    assert main(["queries"], spark) == 0 and "hybrid_retrieval" in capsys.readouterr().out
+    assert main(["run", "nothing", "x"], spark) == 2
+    assert main(["run", "entity_histogram", "/root/testdata/sf0.001", "--limit", "2"], spark) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 2
+    assert main(["run", "entity_histogram", "/root/testdata/sf0.001", "--out", str(tmp_path / "o")], spark) == 0 and spark.read.parquet(str(tmp_path / "o")).count() > 2
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.xml").write_bytes(PUBLISHER)
+    assert main(["ingest", str(tmp_path / "in"), str(tmp_path / "db")], spark) == 0 and main(["status", str(tmp_path / "db")], spark) == 0
+    assert '"status":"complete"' in capsys.readouterr().out
