@@ -47,8 +47,8 @@ EDGES = ("chain", "equal", "similar")
 ROUNDS, DAMPING = 12, 0.3
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-Þ][^\W\d_]+)*"
-_INITIALS = r"(?:[A-ZÀ-ÖØ-Þ]\.[  -]?){1,3}"
-_S = r"[  ]"
+_INITIALS = r"(?:[A-ZÀ-ÖØ-Þ]\.[ \u00a0\u202f-]?){1,3}"
+_S = r"[ \u00a0\u202f]"
 # Words that stand before a name, a street or a number, in four languages.
 _TITLE = r"(?:Dra?|Prof|Professor|Mrs?|Ms|Miss|Mme|Mlle|M|Pr|Sra?|Srta|Herrn?|Frau|Don|Doña)"
 _TITLE_AFTER = _TITLE.replace("|M|", "|")  # after another title it is an initial
@@ -59,7 +59,7 @@ _EMAIL = re.compile(
     r"(?<![\w.+%-])[\w][\w.+%'-]*" + rf"(?:{_S}?@{_S}?|{_S}?[(\[]{_S}?at{_S}?[)\]]{_S}?)"
     + rf"[\w-]+(?:(?:\.|{_S}?[(\[]{_S}?dot{_S}?[)\]]{_S}?)[\w-]+)*(?:\.|{_S}?[(\[]{_S}?dot{_S}?[)\]]{_S}?)[^\W\d_]{{2,}}(?!\w)"
 )
-_DIGITS = re.compile(rf"(?<![\w,/@.-])(?:\+{_S}?)?\(?\d+\)?(?:(?:(?<=\))|[  ./-]|{_S}[/-]{_S}?)\(?\d+\)?)*(?![\w])(?!/\w)(?![.,]\d)(?:,?{_S}?(?:ext|extension|x|Durchwahl)\.?{_S}?\d{{1,5}})?", re.I)
+_DIGITS = re.compile(rf"(?<![\w,/@.-])(?:\+{_S}?)?\(?\d+\)?(?:(?:(?<=\))|[ \u00a0\u202f./-]|{_S}[/-]{_S}?)\(?\d+\)?)*(?![\w])(?!/\w)(?![.,]\d)(?:,?{_S}?(?:ext|extension|x|Durchwahl)\.?{_S}?\d{{1,5}})?", re.I)
 _CODE = re.compile(r"(?<![\w/@.-])(?:[A-Z]{1,4}[- ]?\d{3,}(?:[-/ ]\d+)*|\d{6,}[A-Z]|(?:\d{4}-){3}\d{3}X)(?![\w])(?![-/]\w)")
 _UPPER = rf"(?:{_CAP}|[NSEW]\.)"
 _PLACE = rf"(?:,{_S}(?:(?:[A-Z]{{1,3}}-?)?\d{{4,5}}{_S})?{_CAP}(?:{_S}(?:[A-Z]{{2}}\d{{1,2}}{_S}\d[A-Z]{{2}}|\d{{5}}))?(?:,{_S}[A-Z]{{2}}{_S}\d{{5}})?)"
@@ -100,7 +100,7 @@ def _mask(s: str) -> str:
 
 
 # What a text must hold for a pattern to match at all.
-_AT = re.compile(r"@|[(\[][  ]?at[  ]?[)\]]")
+_AT = re.compile(r"@|[(\[][ \u00a0\u202f]?at[ \u00a0\u202f]?[)\]]")
 _DIGIT = re.compile(r"\d")
 _STREET_WORDS = [
     ("St", "Road", "Rd", "Lane", "Ln", "Court", "Ct", "Close", "Ave", "Dr", "Way", "Place", "Square", "Terrace", "Crescent", "Boulevard", "Blvd", "Row", "Hill", "Gardens"),
@@ -179,7 +179,7 @@ def nodes_of(text: str) -> list[Node]:
                 b = a + m[1].rindex(body[-1])
                 b = a + len(text[a:b].rstrip())
             # A point of the compass behind a number is no initial.
-            if body[0] in _NOT_NAME or re.search(r"\d[  ]$", text[max(0, a - 2) : a]):
+            if body[0] in _NOT_NAME or re.search(r"\d[ \u00a0\u202f]$", text[max(0, a - 2) : a]):
                 how = ""
         elif m[2]:
             if (_given(m[3]) or m[3].endswith(".")) and m[2] not in _NOT_NAME and not _given(m[2]):
@@ -198,7 +198,7 @@ def nodes_of(text: str) -> list[Node]:
             pos = b if how != "pair" else a + len(m[4])
         else:
             # Go on behind the first word, as the next may begin a name.
-            step = re.match(rf"(?:[A-ZÀ-ÖØ-Þ]\.|{_CAP})[,  -]*", text[m.start() :])
+            step = re.match(rf"(?:[A-ZÀ-ÖØ-Þ]\.|{_CAP})[, \u00a0\u202f-]*", text[m.start() :])
             pos = m.start() + max(1, step.end() if step else 1)
     return sorted(out, key=lambda n: (n.start, -n.end))
 

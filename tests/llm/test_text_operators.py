@@ -224,6 +224,11 @@ def test_constructed_documents_of_another_seed(model):
     assert tp / (tp + fp) > 0.97 and tp / (tp + fn) > 0.88
 
 
+def test_no_break_spaces_hold_an_item_together(model):
+    text = "Tél. : 01\u00a099\u202f00\u00a045\u00a017, demander Mme\u00a0Lorand."
+    assert [(k, text[a:b]) for k, a, b in pii.items_of(text, model)] == [("phone", "01\u00a099\u202f00\u00a045\u00a017"), ("name", "Lorand")]
+
+
 def test_edges_grow_with_the_nodes(model):
     text = "Dr. Jutta Kerner wrote. " * 400 + "Call +44 20 7946 0123. " * 400 + "Dr. Jutta Kernre left."
     nodes = pii.nodes_of(text)
