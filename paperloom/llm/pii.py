@@ -341,9 +341,15 @@ def seed_groups(documents: list[tuple[str, list[tuple[int, int, str]]]]) -> list
     return out
 
 
+@lru_cache(1)
+def _constructed(documents: int) -> list[tuple]:
+    return seed_groups(pii_seeds.documents(documents))
+
+
+@lru_cache(1)
 def first_model(documents: int = SEED_DOCS) -> Model:
-    """The model of the constructed documents alone."""
-    return train(seed_groups(pii_seeds.documents(documents)))
+    """The model of the constructed documents alone (the same in every run, so made once a process)."""
+    return train(_constructed(documents))
 
 
 _LABELLED = pa.struct([("features", pa.list_(pa.list_(pa.int32()))), ("labels", pa.list_(pa.string())), ("edges", pa.list_(pa.list_(pa.int32())))])
@@ -369,13 +375,12 @@ def _sure(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def fit(docs: DataFrame, most: int = TRAIN_DOCS, nodes_at_most: int = NODES_AT_MOST) -> Model:
     """The model of the constructed documents and of at most ``most`` of ``docs``, drawn by a hash of the id."""
-    seeds = seed_groups(pii_seeds.documents(SEED_DOCS))
-    model = train(seeds)
+    model = first_model(SEED_DOCS)
     total = max(1, docs.count())
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) / 1_000_000
     sample = docs.where(draw < min(1.0, most / total)).where(F.length("text") > 0).select("text")
     got = spread(sample).mapInArrow(_sure(model), "x struct<features:array<array<int>>,labels:array<string>,edges:array<array<int>>>").limit(most).toArrow()
-    groups, used = list(seeds), 0
+    groups, used = list(_constructed(SEED_DOCS)), 0
     for x in got["x"].to_pylist():
         if used < nodes_at_most:
             groups.append((x["features"], x["labels"], [tuple(e) for e in x["edges"]]))

@@ -115,6 +115,14 @@ _FUSED = f"""
     f AS (SELECT v.query_id, v.item, it.chunk_id, v.value, n.returned_by FROM v JOIN it USING (query_id, item) JOIN (SELECT query_id, item, count(*) AS returned_by FROM one GROUP BY ALL) n USING (query_id, item))"""
 
 ORACLE = {
+    # All pairs of a kind: the tables of the comparison are small.
+    "p4_found": """
+        WITH v AS (SELECT 'chunk' AS kind, chunk_id AS key, embedding AS e FROM chunks UNION ALL SELECT 'concept', entity_id, embedding FROM entities WHERE lower(trim(entity_type, ' ')) = 'concept' UNION ALL SELECT 'paper', paper_id, abstract_embedding FROM papers),
+        g AS (SELECT kind, key, e::DOUBLE[] AS e, list_sum([x::DOUBLE * x for x in e]) AS n FROM v WHERE key IS NOT NULL AND len(e) = 64 AND list_count(e) = 64 AND NOT list_bool_or([isnan(x) OR isinf(x) for x in e])),
+        u AS (SELECT kind, key, min([x / sqrt(n) for x in e])::DOUBLE[64] AS e FROM g WHERE n > 0 GROUP BY 1, 2),
+        p AS (SELECT a.kind, a.key AS k1, b.key AS k2, array_inner_product(a.e, b.e) AS c FROM u a JOIN u b ON a.kind = b.kind AND a.key <> b.key),
+        r AS (SELECT kind, k1, k2, c FROM p QUALIFY row_number() OVER (PARTITION BY kind, k1 ORDER BY round(c, 7) DESC, k2) <= 10)
+        SELECT a.kind, a.k1 AS key_a, a.k2 AS key_b FROM r a JOIN r b ON a.kind = b.kind AND a.k1 = b.k2 AND a.k2 = b.k1 WHERE a.k1 < a.k2 AND a.c >= 0.9""",
     "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_found": _FUSED + " SELECT query_id, chunk_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(value, 9) DESC, item) = 1",
     "p5_ranking": _FUSED + " SELECT query_id, item, round(value, 6) + 0.0::DOUBLE AS value, returned_by FROM f",
