@@ -64,6 +64,52 @@ def bm25_scores(docs: DataFrame, key: str, text: str, query: str, where: Column
     return rows.withColumn("score", score).drop("_t")
 
 
+def build_postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) of a corpus, to be kept: (term, key, tf, length, df), and one row (n, average).
+
+    A query then reads the postings of its own terms only; written by :func:`write_index` they lie
+    together by a hash of the term, sorted, so that a scan of a few terms skips the rest."""
+    tokens = docs.select(F.col(key).alias("key"), T.ranking_tokens(F.col(text)).alias("t"))
+    length = tokens.select("key", F.size("t").alias("length"), "t")
+    tf = length.select("key", "length", F.explode("t").alias("term")).groupBy("term", "key", "length").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = length.agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.sum("length"), F.lit(0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("average"))
+    return tf.join(df, "term"), stats
+
+
+#: Files' worth of terms: postings are written in this many groups by a hash of the term.
+TERM_GROUPS = 64
+
+
+def write_index(docs: DataFrame, key: str, text: str, path: str) -> None:
+    postings, stats = build_postings(docs, key, text)
+    grouped = postings.withColumn("term_group", F.pmod(F.xxhash64("term"), F.lit(TERM_GROUPS)).cast("int"))
+    # A frequent term is spread over several tasks of its group.
+    dealt = grouped.repartition("term_group", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("term")
+    dealt.write.mode("overwrite").partitionBy("term_group").parquet(f"{path}/postings")
+    stats.write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def read_index(spark, path: str, query: str) -> tuple[DataFrame, DataFrame]:
+    """The postings of a query's terms (only their groups are read), and the statistics."""
+    terms = list(dict.fromkeys(query_terms(query)))
+    asked = [F.pmod(F.xxhash64(F.lit(t)), F.lit(TERM_GROUPS)).cast("int") for t in terms]
+    postings = spark.read.parquet(f"{path}/postings")
+    return (postings.where(F.col("term_group").isin(*asked)) if terms else postings.limit(0)), spark.read.parquet(f"{path}/statistics")
+
+
+def bm25_from_postings(postings: DataFrame, stats: DataFrame, query: str) -> DataFrame:
+    """(key, score) of the documents that hold a term of the query."""
+    times = {t: query_terms(query).count(t) for t in query_terms(query)}
+    if not times:
+        return postings.select("key", F.lit(0.0).alias("score")).limit(0)
+    weight = F.element_at(F.create_map(*[x for t, n in times.items() for x in (F.lit(t), F.lit(float(n)))]), F.col("term"))
+    p = postings.where(F.col("term").isin(list(times))).join(F.broadcast(stats))  # one row
+    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = weight * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest(F.col("average"), F.lit(1e-9))))
+    return p.groupBy("key").agg(F.sum(part).alias("score"))
+
+
 def top_k(scored: DataFrame, k: int, *ties: Column | str, score: str = "score") -> DataFrame:
     return scored.orderBy(F.desc(score), *ties).limit(k)
 

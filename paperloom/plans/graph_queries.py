@@ -14,7 +14,7 @@ from paperloom.operators import graph as G
 from paperloom.operators import state as S
 from paperloom.plans.ranking_queries import _SIM, _UNIT, unit_chunks, usable
 from paperloom.plans.text_queries import COLLAPSE, CUR, CURP, current_chunks, current_papers
-from paperloom.session import table
+from paperloom.session import cut, table
 from paperloom.streaming.ingest import windowed_counts
 
 QUERIES, ORACLE = {}, {}
@@ -95,14 +95,18 @@ def claim_type(spark, d):
 
 
 def _claim_pairs(spark, d):
-    """The first sentences of chunks as claims, similar by the chunks' vectors."""
-    u = unit_chunks(spark, d)
-    claims = u.select(F.col("chunk_id").alias("id"), "paper_id", F.get(T.sentences(F.col("text")), F.lit(0)).alias("text"), "chunk_id")
-    return claims, E.similar_pairs(u.select(F.col("chunk_id").alias("id"), "vec"), 0.74)
-
-
-_REL = f"""{CUR}, {_UNIT}, c AS (SELECT chunk_id AS id, paper_id, ({SENT.format('text')})[1] AS text, e FROM u),
-pr AS (SELECT a.id AS a, b.id AS b, lower(concat_ws(' ', a.text, b.text)) AS t, {_SIM} AS s FROM c a JOIN c b ON a.id < b.id AND a.paper_id <> b.paper_id WHERE {_SIM} >= 0.74),
+    """All claims of the chunks, each with its chunk's vector; pairs from the similarity 0.86."""
+    u = cut(unit_chunks(spark, d))
+    found = X.claims(u.select("chunk_id", "paper_id", "text"))
+    claims = cut(found.select(F.concat_ws("@", "entity_id", "chunk_id").alias("id"), "paper_id", F.col("label").alias("text"), "chunk_id"))
+    near = E.similar_pairs(u.select(F.col("chunk_id").alias("id"), "vec"), 0.86)
+    of = lambda chunk, name: claims.select(F.col("chunk_id").alias(chunk), F.col("id").alias(name))
+    pairs = near.withColumnsRenamed({"a": "chunk_a", "b": "chunk_b"}).join(of("chunk_a", "x"), "chunk_a").join(of("chunk_b", "y"), "chunk_b")
+    return claims, pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+_REL = f"""{CUR}, {_UNIT}, {_CLAIMS}, c AS (SELECT {ID('claim', 'label')} || '@' || chunk_id AS id, u.paper_id, label AS text, chunk_id, e FROM claims JOIN u USING (chunk_id)),
+pr AS (SELECT a.id AS a, b.id AS b, lower(concat_ws(' ', a.text, b.text)) AS t, {_SIM} AS s FROM c a JOIN c b ON a.id < b.id AND a.paper_id <> b.paper_id WHERE {_SIM} >= 0.86),
 cu AS (SELECT *, len([x for x in {_CUES(E.CONTRADICT_CUES)} if contains(t, x)]) AS cc, len([x for x in {_CUES(E.SUPPORT_CUES)} if contains(t, x)]) AS hh FROM pr)"""
 
 
@@ -358,17 +362,31 @@ def with_keywords(spark, d, chunks):
     return chunks.join(current_papers(spark, d).select("paper_id", "keywords"), "paper_id", "left")
 
 
-@query()
+_q = lambda p: p.replace("(?U)", "").replace("'", "''")
+_VALID = "length(label) >= 2 AND NOT regexp_matches(label, '^[0-9]+$') AND lower(label) NOT IN (" + ", ".join(f"'{w}'" for w in X.COMMON_HEADS) + ") AND len(regexp_split_to_array(label, '\\s+')) <= 6"
+_FOUND = lambda m: COLLAPSE.format(m)
+
+
+@query(f"""WITH {CUR}, {CURP}, k AS (SELECT chunk_id, text, unnest(keywords) AS m FROM cur JOIN curp USING (paper_id)),
+x AS (SELECT chunk_id, {_FOUND('m')} AS label, 0.92 AS confidence FROM k WHERE trim(m, ' ') <> '' AND contains(lower(text), lower({_FOUND('m')}))
+UNION ALL SELECT * FROM (SELECT chunk_id, {_FOUND('m')} AS label, 0.86 FROM (SELECT chunk_id, unnest(regexp_extract_all(text, '{_q(X.SYMBOL)}', 1)) AS m FROM cur)) WHERE {_VALID}
+UNION ALL SELECT chunk_id, label, CASE WHEN upper(label) = label AND lower(label) <> label THEN 0.72 ELSE 0.62 END FROM (SELECT chunk_id, {_FOUND(f"regexp_replace(m, '{X.OPENERS}', '')")} AS label FROM (SELECT chunk_id, unnest(regexp_extract_all(text, '{_q(X.PHRASE)}', 1)) AS m FROM cur)) WHERE {_VALID}
+UNION ALL SELECT * FROM (SELECT chunk_id, {_FOUND(f"regexp_replace(lower(m), '{X.ENDING_LEADS}', '')")} AS label, 0.6 FROM (SELECT chunk_id, unnest(regexp_extract_all(text, '{X.ending_pattern(CONCEPT_ENDINGS)}', 1)) AS m FROM cur)) WHERE {_VALID})
+SELECT chunk_id, {ID('concept', 'lower(label)')} AS entity_id, max(confidence)::DOUBLE AS confidence FROM x GROUP BY 1, 2""")
 def concept_extract(spark, d):
-    return X.concepts(with_keywords(spark, d, current_chunks(spark, d).select("chunk_id", "paper_id", "text")), "keywords", CONCEPT_ENDINGS)
+    return X.concepts(with_keywords(spark, d, current_chunks(spark, d).select("chunk_id", "paper_id", "text")), "keywords", CONCEPT_ENDINGS).select("chunk_id", "entity_id", "confidence")
 
 
 METHODS = {"suffixes": ["metry", "scopy", "graphy", "ation"], "lexicon": ["linear fit"]}
+_MLAB = f"regexp_replace({_FOUND('m')}, '{_q(X._LEAD)}', '')"
 
 
-@query()
+@query(f"""WITH {CUR}, x AS (SELECT chunk_id, {_FOUND(_MLAB)} AS label, CASE WHEN chunk_type = 'methods' THEN 0.68 ELSE 0.55 END AS confidence FROM (SELECT chunk_id, chunk_type, unnest(regexp_extract_all(text, '{_q(X.METHOD_PHRASE)}', 1)) AS m FROM cur)
+UNION ALL SELECT chunk_id, {_FOUND(_MLAB)}, CASE WHEN chunk_type = 'methods' THEN 0.68 ELSE 0.55 END FROM (SELECT chunk_id, chunk_type, unnest(regexp_extract_all(text, '{_q(X.suffix_pattern(METHODS["suffixes"]))}', 1)) AS m FROM cur)
+UNION ALL SELECT chunk_id, {_FOUND('lower(m)')}, CASE WHEN chunk_type = 'methods' THEN 0.88 ELSE 0.78 END FROM (SELECT chunk_id, chunk_type, unnest(regexp_extract_all(text, '(?i)\\b(linear fit)\\b', 1)) AS m FROM cur))
+SELECT chunk_id, {ID('method', 'lower(label)')} AS entity_id, max(confidence)::DOUBLE AS confidence FROM x WHERE length(label) >= 5 AND contains(label, ' ') GROUP BY 1, 2""")
 def method_extract(spark, d):
-    return X.methods(current_chunks(spark, d), **METHODS)
+    return X.methods(current_chunks(spark, d), **METHODS).select("chunk_id", "entity_id", "confidence")
 
 
 DATASET_NOUNS = ["survey", "cohort", "catalogue", "registry", "benchmark", "archive", "panel", "atlas"]

@@ -11,7 +11,7 @@ from paperloom.operators import reports as P
 from paperloom.operators import state as S
 from paperloom.plans.graph_queries import _REFS, references
 from paperloom.plans.ranking_queries import _DOT, _HITS, _USABLE, VECTOR, _hits, usable
-from paperloom.plans.text_queries import CUR, CURP, OSTOP, QUERY, TOKENS, W, current_chunks, current_papers
+from paperloom.plans.text_queries import COLLAPSE, CUR, CURP, OSTOP, QUERY, TOKENS, W, current_chunks, current_papers
 from paperloom.operators import edges as E
 from paperloom.session import table
 
@@ -137,7 +137,8 @@ def paper_summary(spark, d):
     return p.select("paper_id", "title", F.size("keywords").alias("keywords"), F.array_join(F.transform("l", lambda x: x["full_name"]), "; ").alias("author_names"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT DISTINCT record_id, label, aliases FROM entities WHERE lower(trim(entity_type, ' ')) = 'method')
+SELECT DISTINCT record_id, CASE WHEN lower({COLLAPSE.format('label')}) = 'linear fit' THEN 'regression' ELSE label END AS label, coalesce(array_to_string(list_sort(list_distinct(CASE WHEN lower({COLLAPSE.format('label')}) = 'linear fit' THEN list_append(coalesce(aliases, []), label) ELSE aliases END)), '|'), '') AS aliases FROM e""")
 def canonical_labels(spark, d):
     e = table(spark, d, "entities").where("lower(trim(entity_type)) = 'method'")
-    return N.canonicalize(e, {"linear fit": "regression"}).select("record_id", "label", "aliases").distinct()
+    return N.canonicalize(e, {"linear fit": "regression"}).select("record_id", "label", F.coalesce(F.array_join(F.array_sort(F.array_distinct("aliases")), "|"), F.lit("")).alias("aliases")).distinct()

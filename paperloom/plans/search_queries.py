@@ -244,3 +244,11 @@ def html_parse(spark, d):
     """What is left of a text without markup."""
     t = table(spark, d, "documents").where("text is not null").select("doc_id", "text").distinct()
     return t.select("doc_id", F.md5(T.without_markup(F.col("text"))).alias("visible"))
+
+
+@query(Q.ORACLE["bm25_topk"])
+def bm25_index_topk(spark, d):
+    """The same ranking from an index: the postings are made once and a query reads its own terms."""
+    postings, stats = R.build_postings(current_chunks(spark, d), "chunk_id", "text")
+    scored = R.bm25_from_postings(cut(postings), stats, QUERY).withColumnRenamed("key", "chunk_id")
+    return R.top_k(scored, 20, "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))

@@ -69,3 +69,17 @@ def test_salience_never_falls(spark):
     old = spark.createDataFrame([("a", 0.9), ("b", None), ("c", 0.1)], "chunk_id string, salience_score double")
     new = spark.createDataFrame([("a", 0.5), ("b", 0.4), ("c", 0.3)], "chunk_id string, salience double")
     assert {r.chunk_id: r.salience for r in X.updated_salience(old, new).collect()} == {"a": 0.9, "b": 0.4, "c": 0.3}
+
+
+def test_an_index_is_read_by_its_terms(spark, tmp_path):
+    from paperloom.operators import ranking as R
+
+    docs = spark.createDataFrame([("a", "lattice lattice flow"), ("b", "flow of the gas"), ("c", None), ("d", "")], "id string, text string")
+    R.write_index(docs, "id", "text", str(tmp_path / "i"))
+    for q in ("lattice flow", "flow", "nothing here", "of the"):
+        postings, stats = R.read_index(spark, str(tmp_path / "i"), q)
+        got = {r.key: round(r.score, 9) for r in R.bm25_from_postings(postings, stats, q).collect()}
+        want = {r.id: round(r.score, 9) for r in R.bm25_scores(docs, "id", "text", q).collect() if r.score}
+        assert got == want, q
+    plan = R.read_index(spark, str(tmp_path / "i"), "flow")[0]._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(term_group" in plan or "PartitionFilters: [term_group" in plan
