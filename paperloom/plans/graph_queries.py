@@ -367,14 +367,17 @@ _VALID = "length(label) >= 2 AND NOT regexp_matches(label, '^[0-9]+$') AND lower
 _FOUND = lambda m: COLLAPSE.format(m)
 
 
-@query(f"""WITH {CUR}, {CURP}, k AS (SELECT chunk_id, text, unnest(keywords) AS m FROM cur JOIN curp USING (paper_id)),
-x AS (SELECT chunk_id, {_FOUND('m')} AS label, 0.92 AS confidence FROM k WHERE trim(m, ' ') <> '' AND contains(lower(text), lower({_FOUND('m')}))
-UNION ALL SELECT * FROM (SELECT chunk_id, {_FOUND('m')} AS label, 0.86 FROM (SELECT chunk_id, unnest(regexp_extract_all(text, '{_q(X.SYMBOL)}', 1)) AS m FROM cur)) WHERE {_VALID}
-UNION ALL SELECT chunk_id, label, CASE WHEN upper(label) = label AND lower(label) <> label THEN 0.72 ELSE 0.62 END FROM (SELECT chunk_id, {_FOUND(f"regexp_replace(m, '{X.OPENERS}', '')")} AS label FROM (SELECT chunk_id, unnest(regexp_extract_all(text, '{_q(X.PHRASE)}', 1)) AS m FROM cur)) WHERE {_VALID}
-UNION ALL SELECT * FROM (SELECT chunk_id, {_FOUND(f"regexp_replace(lower(m), '{X.ENDING_LEADS}', '')")} AS label, 0.6 FROM (SELECT chunk_id, unnest(regexp_extract_all(text, '{X.ending_pattern(CONCEPT_ENDINGS)}', 1)) AS m FROM cur)) WHERE {_VALID})
-SELECT chunk_id, {ID('concept', 'lower(label)')} AS entity_id, max(confidence)::DOUBLE AS confidence FROM x GROUP BY 1, 2""")
+_EACH = lambda pattern: f"(SELECT chunk_id, unnest(l) AS m, generate_subscripts(l, 1) AS pos FROM (SELECT chunk_id, regexp_extract_all(text, '{pattern}', 1) AS l FROM cur))"
+
+
+@query(f"""WITH {CUR}, {CURP}, k AS (SELECT chunk_id, text, unnest(keywords) AS m, generate_subscripts(keywords, 1) AS pos FROM cur JOIN curp USING (paper_id)),
+x AS (SELECT chunk_id, {_FOUND('m')} AS label, 0.92 AS confidence, pos FROM k WHERE trim(m, ' ') <> '' AND contains(lower(text), lower({_FOUND('m')}))
+UNION ALL SELECT * FROM (SELECT chunk_id, {_FOUND('m')} AS label, 0.86, pos FROM {_EACH(_q(X.SYMBOL))}) WHERE {_VALID}
+UNION ALL SELECT chunk_id, label, CASE WHEN upper(label) = label AND lower(label) <> label THEN 0.72 ELSE 0.62 END, pos FROM (SELECT chunk_id, pos, {_FOUND(f"regexp_replace(m, '{X.OPENERS}', '')")} AS label FROM {_EACH(_q(X.PHRASE))}) WHERE {_VALID}
+UNION ALL SELECT * FROM (SELECT chunk_id, {_FOUND(f"regexp_replace(lower(m), '{X.ENDING_LEADS}', '')")} AS label, 0.6, pos FROM {_EACH(X.ending_pattern(CONCEPT_ENDINGS))}) WHERE {_VALID})
+SELECT chunk_id, {ID('concept', 'lower(label)')} AS entity_id, arg_min(label, (-confidence, pos)) AS label, max(confidence)::DOUBLE AS confidence FROM x GROUP BY 1, 2""")
 def concept_extract(spark, d):
-    return X.concepts(with_keywords(spark, d, current_chunks(spark, d).select("chunk_id", "paper_id", "text")), "keywords", CONCEPT_ENDINGS).select("chunk_id", "entity_id", "confidence")
+    return X.concepts(with_keywords(spark, d, current_chunks(spark, d).select("chunk_id", "paper_id", "text")), "keywords", CONCEPT_ENDINGS).select("chunk_id", "entity_id", "label", "confidence")
 
 
 METHODS = {"suffixes": ["metry", "scopy", "graphy", "ation"], "lexicon": ["linear fit"]}
