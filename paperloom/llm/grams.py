@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 
 
-def grams_of(word: str) -> list[int]:
+@lru_cache(1 << 17)
+def grams_of(word: str) -> tuple[int, ...]:
     """The buckets of a word's trigrams and unordered near pairs of letters, its ends marked."""
     p = f"^{word}$"
     out = {p[i : i + 3] for i in range(len(p) - 2)}
     out |= {"u" + "".join(sorted(p[i] + p[i + k])) for k in (1, 2) for i in range(len(p) - k)}
-    return sorted({zlib.crc32(g.encode()) % BUCKETS for g in out})
+    return tuple(sorted({zlib.crc32(g.encode()) % BUCKETS for g in out}))
 
 
 def vector(word: str, weights: np.ndarray) -> dict[int, float]:
@@ -81,6 +82,18 @@ def gram_weights(words: DataFrame) -> np.ndarray:
     return weights
 
 
+_made: dict[int, Callable[[str], dict[int, float]]] = {}
+
+
+def _vectors(weights: np.ndarray) -> Callable[[str], dict[int, float]]:
+    """Word to vector, remembered by this worker process from task to task."""
+    sign = zlib.crc32(weights.tobytes())
+    if sign not in _made:
+        _made.clear()
+        _made[sign] = lru_cache(1 << 16)(lambda w: vector(w, weights))
+    return _made[sign]
+
+
 def cosine_join(words: DataFrame, weights: np.ndarray, floor: float, others: DataFrame | None = None) -> DataFrame:
     """(key, a, b, cosine): the pairs of ``words(key, word)`` and ``others(key, word)`` under one key
     at the floor or above; without ``others`` the pairs a < b of the words.
@@ -94,7 +107,7 @@ def cosine_join(words: DataFrame, weights: np.ndarray, floor: float, others: Dat
     met = prefix(words).join(other, ["key", "gram"]).where(near if others is not None else near & (F.col("word") < F.col("b"))).select("key", F.col("word").alias("a"), "b").distinct()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lru_cache(1 << 16)(lambda w: vector(w, weights))
+        of = _vectors(weights)
         for b in batches:
             c = np.array([cosine(of(x), of(y)) for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist())], dtype=np.float64)
             at = pa.array(np.flatnonzero(c >= floor))
