@@ -32,7 +32,6 @@ from heapq import heapify, heappop, heappush
 from math import exp
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -360,13 +359,31 @@ def average_linkage(n: int, pairs: list[tuple[int, int, float]], weight: list[in
     return owner
 
 
-def _cluster(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
-        at = {v: i for i, v in enumerate(ids.tolist())}
-        pairs = [(at[a], at[b], s) for a, b, s in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["sim"].tolist())]
-        owner = average_linkage(len(ids), pairs, [1] * len(ids), threshold)
-        return pd.DataFrame({"pid": ids, "entity": [ids[o] for o in owner]})
+def _cluster(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The clusters of components whose rows (root, a, b, sim) follow one another."""
+
+    def one(rows: list[tuple[int, int, float]]) -> tuple[list[int], list[int]]:
+        ids = sorted({x for a, b, _ in rows for x in (a, b)})
+        at = {v: i for i, v in enumerate(ids)}
+        owner = average_linkage(len(ids), [(at[a], at[b], s) for a, b, s in rows], [1] * len(ids), threshold)
+        return ids, [ids[o] for o in owner]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, held = None, []
+        for b in batches:
+            pids, entities = [], []
+            for r, *row in zip(*(b[c].to_pylist() for c in ("root", "a", "b", "sim"))):
+                if r != root and held:
+                    p, e = one(held)
+                    pids += p
+                    entities += e
+                    held = []
+                root = r
+                held.append(tuple(row))
+            yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(entities, pa.int64())], ["pid", "entity"])
+        if held:
+            p, e = one(held)
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(e, pa.int64())], ["pid", "entity"])
 
     return run
 
@@ -461,7 +478,7 @@ def link_names(authors: DataFrame, threshold: float = LINK, floor: float = FLOOR
     many = large.limit(1).count() > 0
     # The others are small and many: dealt out by number, as adaptive execution would join them in one task.
     small = inside.join(large, "root", "left_anti") if many else inside
-    clusters = small.repartition(shuffle_width(authors.sparkSession), "root").groupBy("root").applyInPandas(_cluster(threshold), "pid bigint, entity bigint")
+    clusters = small.repartition(shuffle_width(authors.sparkSession), "root").sortWithinPartitions("root").mapInArrow(_cluster(threshold), "pid bigint, entity bigint")
     if many:
         clusters = clusters.unionByName(linkage_rounds(inside.join(large, "root", "left_semi"), threshold))
     return rows.select("author_no", "pid").join(clusters, "pid", "left").select("author_no", F.coalesce("entity", "pid").alias("entity"))
