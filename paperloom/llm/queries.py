@@ -30,6 +30,18 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p7_cover(spark: SparkSession, d: str) -> DataFrame:
+    """The words of each item, told from its pieces: their words without the repeated ones."""
+    rules = table(spark, d, "chunk_settings").select(F.lower(F.trim("profile")).alias("p"), "chunk_size_words", "chunk_overlap_words")
+    overlap = F.least("chunk_overlap_words", F.col("chunk_size_words") - 1)
+    rules = rules.select("p", overlap.alias("overlap"))
+    default = rules.where("p = 'default'").select(F.col("overlap").alias("usual"))
+    own = F.coalesce(F.nullif(F.lower(F.trim("profile")), F.lit("")), F.lit("default"))
+    repeated = table(spark, d, "bm25_documents").select("chunk_id", own.alias("p")).distinct().join(rules, "p", "left").join(F.broadcast(default)).select(F.col("chunk_id").alias("item_id"), F.coalesce("overlap", "usual").alias("overlap"))  # one row
+    n = _pieces(spark, d).groupBy("item_id").agg(F.sum("piece_words").alias("all_words"), F.count(F.lit(1)).alias("pieces"))
+    return n.join(repeated, "item_id").select(F.col("item_id").alias("chunk_id"), (F.col("all_words") - (F.col("pieces") - 1) * F.col("overlap")).alias("words"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(spread(table(spark, d, "documents").select("doc_id", "text")))
 
@@ -92,7 +104,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.find_personal(table(spark, d, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_report": p2_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_texts": p8_texts, "p9_enlarged": p9_enlarged}
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p6_found": p6_found, "p6_entities": p6_entities, "p2_found": p2_found, "p2_report": p2_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p5_found": p5_found, "p5_ranking": p5_ranking, "p7_found": p7_found, "p7_pieces": p7_pieces, "p7_cover": p7_cover, "p8_ids": p8_ids, "p8_texts": p8_texts, "p9_enlarged": p9_enlarged}
 
 def _horner(x: str, coefficients: tuple[float, ...]) -> str:
     out = f"({coefficients[0]!r})"
@@ -115,6 +127,8 @@ _FUSED = f"""
     f AS (SELECT v.query_id, v.item, it.chunk_id, v.value, n.returned_by FROM v JOIN it USING (query_id, item) JOIN (SELECT query_id, item, count(*) AS returned_by FROM one GROUP BY ALL) n USING (query_id, item))"""
 
 ORACLE = {
+    "p7_cover": r"""
+        SELECT chunk_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS words FROM (SELECT DISTINCT chunk_id, text FROM bm25_documents) WHERE trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') <> ''""",
     # All pairs of a kind: the tables of the comparison are small.
     "p4_found": """
         WITH v AS (SELECT 'chunk' AS kind, chunk_id AS key, embedding AS e FROM chunks UNION ALL SELECT 'concept', entity_id, embedding FROM entities WHERE lower(trim(entity_type, ' ')) = 'concept' UNION ALL SELECT 'paper', paper_id, abstract_embedding FROM papers),
