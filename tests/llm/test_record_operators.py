@@ -1,6 +1,7 @@
 """Mapping, vectors, fusion and names."""
 
 import math
+from pathlib import Path
 from statistics import NormalDist
 
 import numpy as np
@@ -288,6 +289,32 @@ def test_cosine_join_against_all_pairs(spark):
         assert got == want
 
 
+def test_cosine_join_shuffles_no_candidates(spark):
+    df = spark.createDataFrame([("p", "falkunovin"), ("p", "falkunovni"), ("p", "brandstetter")], "key string, word string")
+    plan = grams.cosine_join(df, np.ones(grams.BUCKETS, np.float32), 0.35)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan
+
+
+def test_pairing_leaves_no_files(spark, monkeypatch):
+    """All pairs come out of several slices of the keys, and no shuffle file and one table stay behind."""
+    rows = [author(n, f"{first} Falkunov{end}", None, town) for n, (first, end, town) in enumerate((f, e, t) for f in ("Katharina", "Kenneth", "Robert", "Bob", "J.", "") for e in ("in", "ni", "ina") for t in ("Ravgrad", None))]
+    profiles = names.settled(spark.createDataFrame(rows, AUTHORS).mapInArrow(names._read, "author_no bigint, " + names._PROFILE).withColumnRenamed("author_no", "pid"))
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    kept = lambda: {str(p) for p in Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")).glob("rdd-*")}
+    # The weights of the grams are collected, so their few files wait for the driver's garbage; they are no matter here.
+    monkeypatch.setattr(names, "gram_weights", lambda words: np.ones(grams.BUCKETS, np.float32))
+    got = {}
+    for slice_ in (names.SLICE, 10):
+        monkeypatch.setattr(names, "SLICE", slice_)
+        files, tables = shuffles(), kept()
+        pairs = names.scored_pairs(profiles)
+        assert not shuffles() - files
+        got[slice_] = {tuple(r) for r in pairs.collect()}
+        assert len(kept() - tables) <= 2  # the profiles under their keys, and the pairs
+    assert len(got[10]) > 50 and len(set(map(frozenset, got.values()))) == 1
+
+
 def test_rounds_give_the_greedy_clusters(spark):
     rng = np.random.default_rng(11)
     pairs = [(i, j, float(rng.random())) for i in range(40) for j in range(i + 1, 40) if rng.random() < 0.3]
