@@ -221,6 +221,24 @@ def test_similar_pairs_lose_none(spark):
     assert got <= want and len(got) >= 0.99 * len(want) > 20
 
 
+def moved(spark) -> int:
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("name, most", [("claim_relation_edges", 10_000)])
+def test_queries_of_similar_pairs_move_little(spark, name, most):
+    """1,248 rows of chunks and 1,844 entities: a band of signs moved each of them again."""
+    import __spark_entry__ as entry
+
+    before = moved(spark)
+    assert entry.queries()[name](spark, "/root/testdata/sf0.01").count()
+    assert moved(spark) - before < most
+
+
 def test_similar_pairs_move_little(spark, monkeypatch):
     """A vector is moved a few times, not once a band; and in cells or in hash tables no pair is lost."""
     import numpy as np
@@ -232,18 +250,11 @@ def test_similar_pairs_move_little(spark, monkeypatch):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>")
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.8, 1)))}
-    sc = spark.sparkContext
-
-    def moved() -> int:
-        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), sc._jvm.java.util.ArrayList())
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
-
-    before = moved()
+    before = moved(spark)
     got = [(r.a, r.b) for r in E.similar_pairs(df, 0.8).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     # Two cells, the vectors for the two ends, and the pairs found.
-    assert moved() - before < 12 * len(x) + 6 * len(want)
+    assert moved(spark) - before < 12 * len(x) + 6 * len(want)
     for meet, cell in ((3_000, 700), (100, 20_000), (100, 90)):
         monkeypatch.setattr(E, "ALL_MEET", meet)
         monkeypatch.setattr(E, "CELL", cell)
