@@ -229,7 +229,7 @@ def moved(spark) -> int:
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name, most", [("claim_relation_edges", 10_000), ("related_claims", 10_000)])
+@pytest.mark.parametrize("name, most", [("claim_relation_edges", 10_000), ("related_claims", 10_000), ("canonical_groups", 60_000)])
 def test_queries_of_similar_pairs_move_little(spark, name, most):
     """1,248 rows of chunks and 1,844 entities: a band of signs moved each of them again."""
     import __spark_entry__ as entry
