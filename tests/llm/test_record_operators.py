@@ -295,6 +295,15 @@ def test_cosine_join_shuffles_no_candidates(spark):
     assert "Join" in plan and "Aggregate" not in plan
 
 
+def test_given_names_are_compared_once(monkeypatch):
+    """What a token says as a given name is worked out once, not again for each row and pair."""
+    calls, slips = [], names.slips
+    monkeypatch.setattr(names, "slips", lambda *a: calls.append(a) or slips(*a))
+    first = names.given_slips("Katharinq".lower()), names.formal("katharinq")
+    n = len(calls)
+    assert n and (names.given_slips("katharinq"), names.formal("katharinq")) == first and len(calls) == n
+
+
 def test_pairing_leaves_no_files(spark, monkeypatch):
     """All pairs come out of several slices of the keys, and no shuffle file and one table stay behind."""
     rows = [author(n, f"{first} Falkunov{end}", None, town) for n, (first, end, town) in enumerate((f, e, t) for f in ("Katharina", "Kenneth", "Robert", "Bob", "J.", "") for e in ("in", "ni", "ina") for t in ("Ravgrad", None))]
